@@ -19,35 +19,59 @@ from .common import persist
 CAPACITY = 2048
 #: Pieces that one task packs; what stays half full at its end is a few sequences in many thousands.
 PIECES_PER_TASK = 40_000
-KEPT_WORDS = 500_000
+KEPT_WORDS = 700_000
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("copy_key", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES_SQL = "doc_id long, copy_key long, piece int, start long, length long, ids_crc32 long"
 PACKED_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
+@cache
+def byte_letters() -> list[str]:
+    """The byte-level alphabet of such vocabularies: visible Latin-1 characters stand for themselves, the other
+    bytes for the characters from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(256 + rest.index(b)) for b in range(256)]
+
+
 @cache
 def encoder(path: str):
-    """Ids of a text as little-endian 32-bit bytes, by white-space runs.
+    """Ids of a text as little-endian 32-bit bytes, by blanks.
 
     The vocabulary's normaliser and splitter never look across a blank, so a text's ids are those of its
     blank-separated parts in turn; each part is encoded once per worker while it stays among the last
-    ``KEPT_WORDS``.
+    ``KEPT_WORDS``.  A part of Latin-1 letters alone is one word that normalising only lower-cases, so the
+    merge model gets it directly; a full stop or comma after it is a word of its own.
     """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer, letters = Tokenizer.from_file(path), byte_letters()
+    model = tokenizer.model
+
+    def plain(part: str) -> bool:
+        return part.isalpha() and max(part) < "\u0100"
 
     class Parts(dict):
         def __missing__(self, part: str) -> bytes:
             if len(self) >= KEPT_WORDS:
                 self.clear()
-            ids = self[part] = np.array(tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-            return ids
-
+            if plain(part):
+                low = part.lower()
+                spelled = low if low.isascii() else "".join([letters[b] for b in low.encode()])
+                ids = [t.id for t in model.tokenize(spelled)]
+            elif part[-1] in ".," and plain(part[:-1]):
+                found = self[part] = self[part[:-1]] + tail[part[-1]]
+                return found
+            else:
+                ids = tokenizer.encode(part, add_special_tokens=False).ids
+            found = self[part] = np.array(ids, "<u4").tobytes()
+            return found
+
+    tail = {c: np.array(tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,"}
     parts = Parts({"": b""})
     return lambda text: b"".join(map(parts.__getitem__, text.replace("\n", " ").split(" ")))
 
