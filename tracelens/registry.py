@@ -1,11 +1,468 @@
-"""The queries of the library, by name, and their SQL."""
+"""The queries of the library, by name, and the SQL that must give the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalars
+from .model import Interval, Query
+from .operators import buckets, error, intervals, pixels
+from .plans import planner, workload
+from .plans.session import VizSession, result_stats
+from .sources import sinks
+from .sources.series import LongTable, from_parquet, wide_to_long
+
+#: The chart of the queries: a week of events and a bit, 100 x 60 pixels.
+START, END, W, H = 1704153600000, 1704153600000 + 7 * 86_400_000 + 12_345, 100, 60
+WEEK = Interval(START, END)
+STEP = (END - START) // W
+STOP = START + STEP * W
+AGG = (END - START) // (W * 4)
+DAY = 86_400_000
+E_SQL = "(SELECT event_type AS measure, epoch_us(ts)//1000 AS t, value AS v FROM events)"
+L_SQL = "(SELECT l_returnflag AS measure, epoch_us(l_shipdate)//1000 AS t, l_extendedprice::DOUBLE AS v FROM lineitem)"
+O_SQL = "(SELECT o_orderpriority AS measure, epoch_us(o_orderdate)//1000 AS t, o_totalprice::DOUBLE AS v FROM orders)"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def events(spark: SparkSession, sf_dir: str) -> LongTable:
+    return from_parquet(spark, sf_dir, "events", "event_type", "ts", "value")
+
+
+def lineitems(spark: SparkSession, sf_dir: str) -> LongTable:
+    return from_parquet(spark, sf_dir, "lineitem", "l_returnflag", "l_shipdate", "l_extendedprice")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+IN_WEEK = f"t >= {START} AND t < {END}"
+IN_COLUMNS = f"t >= {START} AND t < {STOP}"
+M4_COLUMNS = """arg_min(v, (t, v)) AS first_v, min(t) AS first_t, arg_max(v, (t, v)) AS last_v, max(t) AS last_t,
+  min(v) AS min_v, arg_max(t, (-v, t)) AS min_t, max(v) AS max_v, arg_max(t, (v, t)) AS max_t"""
+
+
+def m4_sql(table: str, start: int = START, step: int = STEP, stop: int = STOP) -> str:
+    return f"SELECT measure, (t - {start}) // {step} AS k, count(*) AS cnt, {M4_COLUMNS} FROM {table} WHERE t >= {start} AND t < {stop} GROUP BY ALL"
+
+
+GROUPS_SQL = f"SELECT measure, k, {START} + k * {AGG} AS g_from, least({START} + (k + 1) * {AGG}, {END}) AS g_to, cnt, sum_v, min_v, max_v FROM (SELECT measure, (t - {START}) // {AGG} AS k, count(*) AS cnt, sum(v) AS sum_v, min(v) AS min_v, max(v) AS max_v FROM {E_SQL} WHERE {IN_WEEK} GROUP BY ALL)"
+SYNTH_SQL = f"SELECT *, (g_from + g_to) // 2 AS min_t, (g_from + g_to) // 2 AS max_t, (min_v + max_v) / 2 AS first_v, g_from + 1 AS first_t, (min_v + max_v) / 2 AS last_v, g_to - 1 AS last_t FROM ({GROUPS_SQL})"
+ASSIGN_SQL = f"SELECT g.*, i, {START} + i * {STEP} AS px_from, {START} + (i + 1) * {STEP} AS px_to FROM ({SYNTH_SQL}) g, range({W}) r(i) WHERE g_from < {START} + (i + 1) * {STEP} AND g_to > {START} + i * {STEP}"
+ACCEPT_SQL = f"SELECT measure, i, t, v FROM (SELECT measure, i, px_from, px_to, min_t AS t, min_v AS v FROM ({ASSIGN_SQL}) UNION ALL SELECT measure, i, px_from, px_to, max_t, max_v FROM ({ASSIGN_SQL})) WHERE t >= px_from AND t < px_to"
+PX_SQL = f"SELECT measure, i, min(v) AS min_v, max(v) AS max_v, min(t) AS first_t, arg_min(v, (t, v)) AS first_v, max(t) AS last_t, arg_max(v, (t, v)) AS last_v FROM ({ACCEPT_SQL}) GROUP BY measure, i"
+
+
+def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return buckets.synthesise(buckets.min_max(events(spark, sf_dir).raw([WEEK]), WEEK, AGG))
+
+
+def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.assign(groups(spark, sf_dir), START, STEP, W)
+
+
+def column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.stats(pixels.accepted(assigned(spark, sf_dir)))
+
+
+# -- scans and metadata
+
+
+@query(f"SELECT * FROM {E_SQL} WHERE {IN_WEEK}")
+def raw_range(spark, sf_dir):
+    return events(spark, sf_dir).raw([WEEK])
+
+
+@query(f"SELECT * FROM {E_SQL}")
+def raw_all(spark, sf_dir):
+    return events(spark, sf_dir).raw()
+
+
+ASKED = [("click", Interval(START, START + DAY)), ("view", Interval(START + DAY // 2, START + 2 * DAY)), ("click", Interval(START + DAY // 2, START + 3 * DAY))]
+
+
+@query(" UNION ALL ".join(f"SELECT {k} AS u_id, measure, t, v FROM {E_SQL} WHERE measure = '{m}' AND t >= {x.start} AND t < {x.end}" for k, (m, x) in enumerate(ASKED)))
+def raw_multi_interval(spark, sf_dir):
+    return buckets.raw_multi(events(spark, sf_dir).raw([x for _, x in ASKED], [m for m, _ in ASKED]), ASKED)
+
+
+@query(" UNION ALL ".join(f"SELECT {k} AS u_id, count(*) AS n FROM {E_SQL} WHERE measure = '{m}' AND t >= {x.start} AND t < {x.end}" for k, (m, x) in enumerate(ASKED)))
+def union_all_uid(spark, sf_dir):
+    return raw_multi_interval(spark, sf_dir).groupBy("u_id").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT DISTINCT measure FROM {E_SQL}")
+def measures_distinct(spark, sf_dir):
+    return events(spark, sf_dir).measures_frame()
+
+
+@query(f"SELECT min(t) AS t_first, max(t) AS t_last FROM {E_SQL}")
+def time_range(spark, sf_dir):
+    return events(spark, sf_dir).extent_frame()
+
+
+@query(f"SELECT max(t) - min(t) AS sampling_ms FROM (SELECT t FROM {E_SQL} WHERE measure = (SELECT min(measure) FROM {E_SQL}) ORDER BY t LIMIT 2)")
+def sampling_interval(spark, sf_dir):
+    return events(spark, sf_dir).sampling_frame()
+
+
+@query("SELECT 'event_type' AS measure_col, 'ts' AS time_col, 'value' AS value_col")
+def schema_roles(spark, sf_dir):
+    table = LongTable(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "ts", "value"))
+    return spark.createDataFrame([(table.measure, table.time, table.value)], "measure_col string, time_col string, value_col string")
+
+
+@query(f"SELECT * FROM {E_SQL} WHERE {IN_WEEK} AND v BETWEEN 10 AND 50")
+def value_filter(spark, sf_dir):
+    return events(spark, sf_dir).raw([WEEK]).filter(F.col("v").between(10, 50))
+
+
+# -- buckets
+
+
+@query(GROUPS_SQL.replace("cnt, sum_v, min_v, max_v FROM (S", "cnt, round(sum_v, 6) AS sum_v, min_v, max_v FROM (S"))
+def minmax_bucket(spark, sf_dir):
+    return buckets.min_max(events(spark, sf_dir).raw([WEEK]), WEEK, AGG).withColumn("sum_v", F.round("sum_v", 6))
+
+
+@query(f"SELECT m.measure, r.k::BIGINT AS k, {START} + r.k * {AGG} AS g_from, least({START} + (r.k + 1) * {AGG}, {END}) AS g_to, coalesce(cnt, 0) AS cnt, min_v, max_v FROM (SELECT DISTINCT measure FROM {E_SQL}) m CROSS JOIN range({-(-len(WEEK) // AGG)}) r(k) LEFT JOIN ({GROUPS_SQL}) g ON g.measure = m.measure AND g.k = r.k")
+def minmax_bucket_dense(spark, sf_dir):
+    table = events(spark, sf_dir)
+    return buckets.dense(buckets.min_max(table.raw([WEEK]), WEEK, AGG), table.measures_frame(), WEEK, AGG)
+
+
+@query(f"SELECT measure, k, g_from, g_to, min_v, max_v, min_t, max_t, first_v, first_t, last_v, last_t FROM ({SYNTH_SQL})")
+def minmax_synth_first_last(spark, sf_dir):
+    return groups(spark, sf_dir).drop("cnt", "sum_v")
+
+
+@query(m4_sql(E_SQL))
+def m4_bucket(spark, sf_dir):
+    return buckets.m4(events(spark, sf_dir).raw([WEEK]), START, STEP, W)
+
+
+@query(m4_sql(E_SQL))
+def m4_bucket_hashed(spark, sf_dir):
+    return buckets.m4_hashed(events(spark, sf_dir).raw([WEEK]), START, STEP, W)
+
+
+@query(f"WITH r AS (SELECT *, (t - {START}) // {STEP} AS k FROM {E_SQL} WHERE {IN_COLUMNS}), a AS (SELECT measure, k, min(v) AS v_min, max(v) AS v_max, min(t) AS t_min, max(t) AS t_max FROM r GROUP BY ALL) SELECT r.measure, r.k, v, min(t) AS first_at, max(t) AS last_at FROM r JOIN a ON r.measure = a.measure AND r.k = a.k AND (v = v_min OR v = v_max OR t = t_min OR t = t_max) GROUP BY ALL")
+def m4_selfjoin(spark, sf_dir):
+    return buckets.extreme_points(events(spark, sf_dir).raw([WEEK]), START, STEP, W)
+
+
+@query(" UNION ALL ".join(f"SELECT measure, k, {k} AS role, {n}_t AS t, {n}_v AS v FROM ({m4_sql(E_SQL)})" for k, n in enumerate(("first", "min", "max", "last"))))
+def m4_points(spark, sf_dir):
+    return buckets.points(m4_bucket(spark, sf_dir)).orderBy("measure", "t", "role")
+
+
+LINE_START, LINE_STEP, LINE_W = 694224000000, 30 * DAY, 80
+
+
+@query(m4_sql(L_SQL, LINE_START, LINE_STEP, LINE_START + LINE_STEP * LINE_W))
+def m4_lineitem_dups(spark, sf_dir):
+    whole = Interval(LINE_START, LINE_START + LINE_STEP * LINE_W)
+    return buckets.m4(lineitems(spark, sf_dir).raw([whole]), LINE_START, LINE_STEP, LINE_W)
+
+
+@query(m4_sql(O_SQL, LINE_START, LINE_STEP, LINE_START + LINE_STEP * LINE_W))
+def m4_orders(spark, sf_dir):
+    whole = Interval(LINE_START, LINE_START + LINE_STEP * LINE_W)
+    return buckets.m4(from_parquet(spark, sf_dir, "orders", "o_orderpriority", "o_orderdate", "o_totalprice").raw([whole]), LINE_START, LINE_STEP, LINE_W)
+
+
+@query(f"SELECT measure, k, first_t, first_v, last_t, last_v, CASE WHEN last_t > first_t THEN (last_v - first_v) * 1000 / (last_t - first_t) END AS slope FROM ({m4_sql(E_SQL)})")
+def slope_bucket(spark, sf_dir):
+    return buckets.slope(events(spark, sf_dir).raw([WEEK]), START, STEP, W)
+
+
+@query(f"SELECT measure, count(*) AS cnt, round(sum(v), 4) AS sum_v, round(avg(v), 8) AS avg_v, {M4_COLUMNS} FROM {E_SQL} GROUP BY measure")
+def stats_full(spark, sf_dir):
+    return buckets.full_stats(events(spark, sf_dir).raw()).withColumn("sum_v", F.round("sum_v", 4)).withColumn("avg_v", F.round("avg_v", 8))
+
+
+@query(m4_sql(E_SQL, START, STEP * 5))
+def stats_rollup_combine(spark, sf_dir):
+    return buckets.roll_up(m4_bucket(spark, sf_dir), 5)
+
+
+# -- intervals: an hour from every event of 90 or more is an interval
+
+S_SQL = f"(SELECT measure, t AS s_from, t + 3600000 AS s_to FROM {E_SQL} WHERE v >= 90)"
+ISLAND_SQL = "WITH o AS (SELECT *, max(s_to) OVER (PARTITION BY measure ORDER BY s_from, s_to ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {s}), n AS (SELECT *, sum(CASE WHEN reach IS NULL OR s_from - reach > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY measure ORDER BY s_from, s_to ROWS UNBOUNDED PRECEDING) AS no FROM o) SELECT measure, min(s_from) AS s_from, max(s_to) AS s_to FROM n GROUP BY measure, no"
+
+
+def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).raw().filter("v >= 90").select("measure", F.col("t").alias("s_from"), (F.col("t") + 3_600_000).alias("s_to"))
+
+
+@query(ISLAND_SQL.format(s=S_SQL, gap=0))
+def interval_merge(spark, sf_dir):
+    return intervals.islands(hours(spark, sf_dir), ["measure"])
+
+
+@query(ISLAND_SQL.format(s=S_SQL, gap=10 * STEP))
+def gap_group(spark, sf_dir):
+    return intervals.islands(hours(spark, sf_dir), ["measure"], gap=10 * STEP)
+
+
+Q_SQL = f"(SELECT measure, t AS q_from, t + 7200000 AS q_to FROM {E_SQL} WHERE v < 5)"
+
+
+@query(f"SELECT s.measure, s_from, s_to, q_from, q_to FROM {S_SQL} s JOIN {Q_SQL} q ON s.measure = q.measure AND s_to > q_from AND q_to > s_from")
+def interval_overlap_join(spark, sf_dir):
+    asked = events(spark, sf_dir).raw().filter("v < 5").select("measure", F.col("t").alias("q_from"), (F.col("t") + 7_200_000).alias("q_to"))
+    return intervals.overlap_join(hours(spark, sf_dir), asked, ["measure"], 7_200_000)
+
+
+@query(f"SELECT s.measure, s_from, s_to, q_from, q_to, round(1 - (greatest(q_to - s_to, 0) + greatest(s_from - q_from, 0)) / (q_to - q_from), 9) AS share, s_from <= q_from AND s_to >= q_to AS encloses FROM {S_SQL} s JOIN {Q_SQL} q ON s.measure = q.measure AND s_to > q_from AND q_to > s_from")
+def interval_coverage(spark, sf_dir):
+    cols = [F.col(c) for c in ("s_from", "s_to", "q_from", "q_to")]
+    return interval_overlap_join(spark, sf_dir).withColumn("share", F.round(scalars.coverage(*cols), 9)).withColumn("encloses", scalars.encloses(*cols))
+
+
+COLS_SQL = f"(SELECT measure, i::INT AS i, {START} + i * {STEP} AS px_from, {START} + (i + 1) * {STEP} AS px_to FROM (SELECT DISTINCT measure FROM {E_SQL}) CROSS JOIN range({W}) r(i))"
+
+
+def all_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.columns(events(spark, sf_dir).measures_frame(), START, STEP, W)
+
+
+@query(f"SELECT * FROM {COLS_SQL} c WHERE NOT EXISTS (SELECT 1 FROM {E_SQL} e WHERE e.measure = c.measure AND v >= 60 AND t >= px_from AND t < px_to)")
+def missing_columns_anti(spark, sf_dir):
+    covered = buckets.in_range(events(spark, sf_dir).raw([WEEK]).filter("v >= 60"), START, STEP, W).select("measure", F.col("k").cast("int").alias("i"))
+    return intervals.missing_columns(all_columns(spark, sf_dir), covered)
+
+
+RAW_SPANS_SQL = f"(SELECT measure, t AS s_from, t + {2 * DAY} AS s_to FROM {E_SQL} WHERE v >= 99)"
+
+
+@query(f"WITH m AS ({ISLAND_SQL.format(s=RAW_SPANS_SQL, gap=0)}) SELECT c.* FROM {COLS_SQL} c WHERE EXISTS (SELECT 1 FROM m WHERE m.measure = c.measure AND s_from <= px_from AND s_to >= px_to)")
+def raw_enclosed_semi(spark, sf_dir):
+    spans = events(spark, sf_dir).raw().filter("v >= 99").select("measure", F.col("t").alias("s_from"), (F.col("t") + 2 * DAY).alias("s_to"))
+    return intervals.enclosed_columns(all_columns(spark, sf_dir), intervals.islands(spans, ["measure"]))
+
+
+# -- pixel columns
+
+
+@query(f"SELECT measure, g_from, g_to, i::INT AS i FROM ({ASSIGN_SQL})")
+def group_to_pixel(spark, sf_dir):
+    return assigned(spark, sf_dir).select("measure", "g_from", "g_to", "i")
+
+
+@query(PX_SQL.replace("measure, i, min(v)", "measure, i::INT AS i, min(v)"))
+def pixel_stats(spark, sf_dir):
+    return column_stats(spark, sf_dir)
+
+
+CONTAINED_SQL = f"SELECT measure, i, min(min_v) AS enc_min, max(max_v) AS enc_max, min(g_from) AS enc_from, max(g_to) AS enc_to, count(*) AS n_groups FROM ({ASSIGN_SQL}) WHERE px_from <= g_from AND g_to <= px_to GROUP BY measure, i"
+
+
+@query(CONTAINED_SQL.replace("measure, i, min(min_v)", "measure, i::INT AS i, min(min_v)"))
+def pixel_contained_stats(spark, sf_dir):
+    return pixels.contained(assigned(spark, sf_dir))
+
+
+def _pick(side: str, on: str) -> str:
+    return ", ".join(f"arg_min({c}_v, (g_to - g_from, g_from)) FILTER (WHERE {on}) AS {side}_{c}" for c in ("min", "max"))
+
+
+@query(f"SELECT a.measure, a.i::INT AS i, {_pick('left', 'g_from <= px_from AND g_to >= enc_from AND enc_from > px_from')}, {_pick('right', 'g_to >= px_to AND g_from <= enc_to AND enc_to < px_to')} FROM ({ASSIGN_SQL}) a JOIN ({CONTAINED_SQL}) c ON a.measure = c.measure AND a.i = c.i GROUP BY a.measure, a.i")
+def partial_left_right(spark, sf_dir):
+    placed = assigned(spark, sf_dir)
+    rest = pixels.contained(placed).select("measure", "i", F.col("enc_from").alias("left_end"), F.col("enc_to").alias("right_start"))
+    return pixels.partials(placed, rest)
+
+
+@query(f"SELECT measure, i::INT AS i, arg_min(min_v, (g_from, g_to)) FILTER (WHERE g_from <= px_from) AS a_min, arg_min(max_v, (g_from, g_to)) FILTER (WHERE g_from <= px_from) AS a_max, arg_min(min_v, (g_from, g_to)) FILTER (WHERE g_to >= px_to) AS b_min, arg_min(max_v, (g_from, g_to)) FILTER (WHERE g_to >= px_to) AS b_max FROM ({ASSIGN_SQL}) GROUP BY measure, i")
+def boundary_groups(spark, sf_dir):
+    return pixels.boundary(assigned(spark, sf_dir))
+
+
+@query(f"SELECT measure, g_from, g_to FROM (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY g_to - g_from, g_from) AS n FROM ({GROUPS_SQL})) WHERE n = 1")
+def top1_narrowest_group(spark, sf_dir):
+    best = groups(spark, sf_dir).groupBy("measure").agg(F.min_by(F.struct("g_from", "g_to"), F.struct(F.col("g_to") - F.col("g_from"), F.col("g_from"))).alias("b"))
+    return best.select("measure", "b.g_from", "b.g_to")
+
+
+@query(f"SELECT measure, min(min_v) AS view_min, max(max_v) AS view_max FROM ({PX_SQL}) GROUP BY measure")
+def viewport_stats(spark, sf_dir):
+    return pixels.with_view(column_stats(spark, sf_dir)).select("measure", "view_min", "view_max").distinct()
+
+
+def px_sql(v: str) -> str:
+    return f"CASE WHEN view_max > view_min THEN trunc({H - 1} * ({v} - view_min) / (view_max - view_min)) ELSE 0 END::INT"
+
+
+VIEWED_SQL = f"SELECT *, min(min_v) OVER (PARTITION BY measure) AS view_min, max(max_v) OVER (PARTITION BY measure) AS view_max FROM ({PX_SQL})"
+
+
+@query(f"SELECT measure, i::INT AS i, {', '.join(f'{px_sql(c + '_v')} AS {c}_px' for c in ('min', 'max', 'first', 'last'))} FROM ({VIEWED_SQL})")
+def pixel_ids(spark, sf_dir):
+    return pixels.with_pixels(column_stats(spark, sf_dir), H).select("measure", "i", "min_px", "max_px", "first_px", "last_px")
+
+
+LINE_AT = "least(greatest(p_v + (first_v - p_v) / (first_t - p_t) * (tx - p_t), view_min), view_max)"
+
+
+@query(f"SELECT measure, i::INT AS i, {px_sql(LINE_AT)} AS from_px, {px_sql('first_v')} AS to_px FROM (SELECT *, lag(last_t) OVER w AS p_t, lag(last_v) OVER w AS p_v, {START} + i * {STEP} AS tx FROM ({VIEWED_SQL}) WINDOW w AS (PARTITION BY measure ORDER BY i)) WHERE p_t IS NOT NULL")
+def line_segment_pixels(spark, sf_dir):
+    from pyspark.sql import Window
+
+    side = Window.partitionBy("measure").orderBy("i")
+    rows = pixels.with_view(column_stats(spark, sf_dir)).withColumn("p_t", F.lag("last_t").over(side)).withColumn("p_v", F.lag("last_v").over(side)).filter("p_t is not null")
+    at = scalars.on_line(F.col("p_t"), F.col("p_v"), F.col("first_t"), F.col("first_v"), F.lit(START) + F.col("i").cast("long") * STEP, F.col("view_min"), F.col("view_max"))
+    px = lambda v: scalars.pixel_id(v, F.col("view_min"), F.col("view_max"), H)
+    return rows.select("measure", "i", px(at).alias("from_px"), px(F.col("first_v")).alias("to_px"))
+
+
+@query(f"SELECT measure, i::INT AS i, '[' || {px_sql('min_v')} || '..' || {px_sql('max_v')} || ']' AS pixels FROM ({VIEWED_SQL})")
+def pixel_ranges_text(spark, sf_dir):
+    return pixels.with_pixels(column_stats(spark, sf_dir), H).select("measure", "i", scalars.range_text(F.col("min_px"), F.col("max_px")).alias("pixels"))
+
+
+# -- error bound: the groups of the week are one span, its last day is missing
+
+SPAN_END = START + 6 * DAY
+
+
+def bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = Interval(START, SPAN_END)
+    table = events(spark, sf_dir)
+    names = table.measures_frame()
+    own = buckets.synthesise(buckets.min_max(table.raw([part]), part, AGG))
+    spans = names.select("measure", F.lit(START).alias("s_from"), F.lit(SPAN_END).alias("s_to"), F.lit(AGG).alias("agg"))
+    return error.column_errors(names, own, spans, START, STEP, W, H)
+
+
+@query()
+def column_error(spark, sf_dir):
+    return bounded(spark, sf_dir)
+
+
+@query()
+def total_error(spark, sf_dir):
+    return error.total_errors(bounded(spark, sf_dir))
+
+
+@query(f"SELECT measure, {START} + min(i) * {STEP} AS s_from, {START} + (max(i) + 1) * {STEP} AS s_to FROM {COLS_SQL} WHERE px_to > {SPAN_END} GROUP BY measure")
+def missing_intervals(spark, sf_dir):
+    gone = bounded(spark, sf_dir).filter("missing").select("measure", F.col("px_from").alias("s_from"), F.col("px_to").alias("s_to"))
+    return intervals.islands(gone, ["measure"], gap=10 * STEP)
+
+
+@query(f"SELECT measure, count(*) AS n_columns, min(min_v) AS min_v, max(max_v) AS max_v, round(sum(min_v + max_v), 6) AS sum_v FROM ({PX_SQL}) GROUP BY measure")
+def result_measure_stats(spark, sf_dir):
+    return result_stats(column_stats(spark, sf_dir)).withColumn("sum_v", F.round("sum_v", 6))
+
+
+@query(f"SELECT (SELECT count(*) FROM ({GROUPS_SQL})) + 4 * {W} AS io_count")
+def io_count(spark, sf_dir):
+    return groups(spark, sf_dir).agg((F.count("*") + 4 * W).alias("io_count"))
+
+
+# -- planner, as tables
+
+
+@query(f"SELECT {planner.aggregation_factor(Query(0, 100, 10, 10), [], [Interval(50, 100)], 4, False)} AS cold, 5 AS mixed, 10 AS doubled")
+def agg_factor(spark, sf_dir):
+    from .model import Span
+
+    spans, gap = [Span(0, "m", 0, 50, 2)], [Interval(50, 100)]
+    q = Query(0, 100, 10, 10)
+    return spark.createDataFrame([(planner.aggregation_factor(q, [], gap, 4, False), planner.aggregation_factor(q, spans, gap, 4, False), planner.aggregation_factor(q, spans, gap, 4, True))], "cold int, mixed int, doubled int")
+
+
+@query(f"SELECT greatest(min(t), 0) AS q_from, max(t) + 1 AS q_to FROM {E_SQL}")
+def clamp_query(spark, sf_dir):
+    q = planner.clamp(Query(0, 4_000_000_000_000), events(spark, sf_dir).extent())
+    return spark.createDataFrame([(q.start, q.end)], "q_from long, q_to long")
+
+
+# -- formats
+
+
+@query("SELECT l_shipdate::VARCHAR AS text, epoch_us(l_shipdate)//1000 AS t, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') || '.000' AS shown FROM lineitem")
+def date_format_parse(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.date_format(F.col("l_shipdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("text"))
+    parsed = rows.withColumn("t", scalars.parse_time(F.col("text")))
+    return parsed.withColumn("shown", scalars.format_time(F.col("t")))
+
+
+WIDE_NAMES = ["click", "error", "purchase", "signup", "view"]
+WIDE_SQL = f"SELECT t // 3600000 * 3600000 AS \"timestamp\", {', '.join(f'max(v) FILTER (WHERE measure = {chr(39)}{m}{chr(39)}) AS {m}' for m in WIDE_NAMES)} FROM {E_SQL} GROUP BY 1"
+
+
+@query(WIDE_SQL)
+def wide_pivot(spark, sf_dir):
+    return sinks.wide(events(spark, sf_dir).raw().withColumn("t", F.col("t") - F.pmod(F.col("t"), F.lit(3_600_000))), WIDE_NAMES)
+
+
+@query(" UNION ALL ".join(f'SELECT "timestamp", \'{m}\' AS measure, {m} AS v FROM ({WIDE_SQL}) WHERE {m} IS NOT NULL' for m in WIDE_NAMES))
+def unpivot_wide(spark, sf_dir):
+    return wide_to_long(wide_pivot(spark, sf_dir), "timestamp").filter("v is not null")
+
+
+# -- sessions
+
+
+def session(spark: SparkSession, sf_dir: str, **settings) -> VizSession:
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="tracelens-")
+    return VizSession(events(spark, sf_dir), folder, **settings)
+
+
+@query()
+def approx_query_e2e(spark, sf_dir):
+    return session(spark, sf_dir).query(Query(START, END, W, H, 0.9)).points
+
+
+@query()
+def approx_query_warm(spark, sf_dir):
+    s = session(spark, sf_dir)
+    s.query(Query(START, END, W, H, 0.5))
+    return s.query(Query(START + DAY, END - DAY, W // 2, H, 0.5)).points
+
+
+@query(" UNION ALL ".join(f"SELECT measure, k::INT AS i, {k} AS role, {n}_t AS t, {n}_v AS v FROM ({m4_sql(E_SQL)})" for k, n in enumerate(("first", "min", "max", "last"))))
+def exact_query_e2e(spark, sf_dir):
+    return session(spark, sf_dir).query(Query(START, END, W, H, 1.0)).points
+
+
+@query()
+def prefetch_extend(spark, sf_dir):
+    s = session(spark, sf_dir, prefetch=1.0)
+    s.query(Query(START + 2 * DAY, START + 4 * DAY, W, H, 0.5, ("click",)))
+    return s.catalog.frame()
+
+
+@query()
+def workload_sequence(spark, sf_dir):
+    extent = events(spark, sf_dir).extent()
+    rows = [(k, op, q.start, q.end, q.width) for k, (op, q) in enumerate(workload.sequence(workload.first_query(extent, 0.1), extent, 50))]
+    return spark.createDataFrame(rows, "k int, op string, q_from long, q_to long, width int")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
