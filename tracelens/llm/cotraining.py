@@ -20,7 +20,7 @@ from .common import WORDS, persist
 
 FEATURES = 1 << 20
 #: At most so many labelled documents are fitted on, those with the lowest hashes of their ids.
-LABELLED = 10_000
+LABELLED = 8_000
 #: Rounds of exchange, and how many documents of each class a view hands over in each.
 ROUNDS, EXCHANGED = 2, 400
 #: Share of the labelled documents that calibrates, and the least probability for a document to stay.
@@ -86,12 +86,12 @@ class Content:
 
     def __init__(self, rows: list[np.ndarray], y: np.ndarray, steps: int = 60, rate: float = 0.05, penalty: float = 1e-3):
         sizes = np.array([len(r) for r in rows])
-        flat = np.concatenate(rows).astype(np.int64)
-        owner = np.repeat(np.arange(len(rows)), sizes)
+        flat = np.concatenate(rows)
+        owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
         df = np.bincount(flat, minlength=FEATURES)
         used = np.flatnonzero(df >= 3)
-        place = np.full(FEATURES, -1)
-        place[used] = np.arange(len(used))
+        place = np.full(FEATURES, -1, np.int32)
+        place[used] = np.arange(len(used), dtype=np.int32)
         col = place[flat]
         owner, col = owner[col >= 0], col[col >= 0]
         good = np.bincount(col, weights=y[owner], minlength=len(used)) + 1
@@ -202,7 +202,6 @@ def fit(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
         return None
     words, x = _words([r.words for r in own]), _matrix([r.meta for r in own])
     sets = {v: (words[back:], x[back:], y[back:]) for v in ("content", "meta")}
-    unlabelled = rows.filter("doc_id is not null").join(truth, "doc_id", "left_anti")
 
     def trained() -> Model:
         return Model(Content(sets["content"][0], sets["content"][2]), Metadata(sets["meta"][1], sets["meta"][2]), words[:back], x[:back], y[:back])
@@ -211,7 +210,8 @@ def fit(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     given: set[tuple[str, int]] = set()
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
-        scores = persist(_scored(unlabelled, sent), "scores")
+        # all documents are scored and labelled ones left out then, so that features stay where they are
+        scores = persist(_scored(rows.filter("doc_id is not null"), sent).join(truth, "doc_id", "left_anti"), "scores")
         for by, to in (("content_score", "meta"), ("metadata_score", "content")):
             # the surest of all unlabelled documents, both ways, beyond what was handed over before
             sure = []
