@@ -80,10 +80,17 @@ def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(column).to_pylist()]
 
 
+def slices(batches, rows: int = 256):
+    """Batches in parts of at most ``rows`` rows, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class WordHash(dict):
     """64-bit hashes of words, kept for the most recent ones; ``bytes.split`` yields the contracts' words."""
 
-    limit = 400_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, persist
+from .common import WORDS, persist, slices
 
 FEATURES = 1 << 20
 #: At most so many labelled documents are fitted on, those with the lowest hashes of their ids.
@@ -59,7 +59,7 @@ def featurize(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
     """doc_id, words, meta of every row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, words, meta = [], [], []
             for i, t, lang, source, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang", "source", "n_chars"))):
                 data = text_of(t)
@@ -254,7 +254,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fine = []
             for t, lang, source, n in zip(*(batch.column(named[c]).to_pylist() for c in ("text", "lang", "source", "n_chars"))):
                 data = text_of(t)
