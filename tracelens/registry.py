@@ -347,14 +347,74 @@ def bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return error.column_errors(names, own, spans, START, STEP, W, H)
 
 
-@query()
+def line_sql(t0: str, v0: str, t1: str, v1: str, at: str) -> str:
+    return f"least(greatest({v0} + ({v1} - {v0}) / ({t1} - {t0}) * ({at} - {t0}), view_min), view_max)"
+
+
+def rows_sql(*ends: tuple[str, str]) -> str:
+    """Whether pixel row r lies between the rows of two values, for any of the pairs; not where one is null."""
+    return "(" + " OR ".join(f"coalesce(r BETWEEN least({px_sql(a)}, {px_sql(b)}) AND greatest({px_sql(a)}, {px_sql(b)}), false)" for a, b in ends) + ")"
+
+
+def between_sql(l: str, r: str, on: str) -> str:  # noqa: E741
+    return f"({on} AND CASE WHEN {l}right_min IS NOT NULL THEN {rows_sql((f'{l}right_min', f'{l}right_max'))} ELSE {rows_sql((f'{r}a_min', f'{l}b_max'), (f'{r}a_max', f'{l}b_min'))} END)"
+
+
+HAS_LEFT, HAS_RIGHT = "(p_last_t IS NOT NULL AND first_t IS NOT NULL)", "(n_first_t IS NOT NULL AND first_t IS NOT NULL)"
+LEFT_SQL = f"({HAS_LEFT} AND {rows_sql((line_sql('p_last_t', 'p_last_v', 'first_t', 'first_v', 'px_from'), 'first_v'))})"
+RIGHT_SQL = f"({HAS_RIGHT} AND {rows_sql(('last_v', line_sql('last_t', 'last_v', 'n_first_t', 'n_first_v', 'px_to')))})"
+GONE_SQL = f"({between_sql('p_', '', HAS_LEFT)} OR {between_sql('', 'n_', HAS_RIGHT)} OR {rows_sql(('left_min', 'left_max'), ('right_min', 'right_max'))})"
+#: Every pixel row of every column is a row here; the sets of the bound are flags on it.
+BOUND_SQL = f"""
+WITH g AS (
+  SELECT *, (g_from + g_to) // 2 AS mid
+  FROM (SELECT measure, {START} + k * {AGG} AS g_from, least({START} + (k + 1) * {AGG}, {SPAN_END}) AS g_to, min_v, max_v
+        FROM (SELECT measure, (t - {START}) // {AGG} AS k, min(v) AS min_v, max(v) AS max_v FROM {E_SQL} WHERE t >= {START} AND t < {SPAN_END} GROUP BY ALL))),
+cols AS (
+  SELECT measure, i, px_from, px_to, px_to <= {SPAN_END} AS covered, {START} + (px_from - {START} + {AGG - 1}) // {AGG} * {AGG} AS isl_from,
+         CASE WHEN px_to >= {SPAN_END} THEN {SPAN_END} ELSE {START} + (px_to - {START}) // {AGG} * {AGG} END AS isl_to
+  FROM {COLS_SQL}),
+placed AS (SELECT g.*, i, px_from, px_to, isl_from, isl_to FROM g JOIN cols c ON g.measure = c.measure AND g_from < px_to AND g_to > px_from),
+points AS (
+  SELECT measure, i, mid AS t, unnest([min_v, max_v]) AS v FROM placed WHERE mid >= px_from AND mid < px_to),
+stats AS (
+  SELECT measure, i, min(v) AS min_v, max(v) AS max_v, min(t) AS first_t, arg_min(v, (t, v)) AS first_v, max(t) AS last_t, arg_max(v, (t, v)) AS last_v
+  FROM points GROUP BY measure, i),
+sides AS (
+  SELECT measure, i, min(min_v) FILTER (WHERE px_from <= g_from AND g_to <= px_to) AS enc_min, max(max_v) FILTER (WHERE px_from <= g_from AND g_to <= px_to) AS enc_max,
+         {_pick('left', 'isl_from < isl_to AND g_from <= px_from AND g_to >= isl_from AND isl_from > px_from')},
+         {_pick('right', 'isl_from < isl_to AND g_to >= px_to AND g_from <= isl_to AND isl_to < px_to')},
+         {', '.join(f'arg_min({c}_v, (g_from, g_to)) FILTER (WHERE {on}) AS {side}_{c}' for side, on in (('a', 'g_from <= px_from'), ('b', 'g_to >= px_to')) for c in ('min', 'max'))}
+  FROM placed GROUP BY measure, i),
+wide AS (
+  SELECT c.*, * EXCLUDE (measure, i, px_from, px_to, covered, isl_from, isl_to), min(min_v) OVER (PARTITION BY measure) AS view_min, max(max_v) OVER (PARTITION BY measure) AS view_max
+  FROM cols c LEFT JOIN stats USING (measure, i) LEFT JOIN sides USING (measure, i)),
+near AS (
+  SELECT *, {', '.join(f'lag({c}) OVER w AS p_{c}, lead({c}) OVER w AS n_{c}' for c in ('first_t', 'first_v', 'last_t', 'last_v', 'right_min', 'right_max', 'a_min', 'a_max', 'b_min', 'b_max'))}
+  FROM wide WINDOW w AS (PARTITION BY measure ORDER BY i)),
+drawn AS (
+  SELECT measure, i, px_from, px_to, covered, isl_from, isl_to, first_t, r, {LEFT_SQL} OR {RIGHT_SQL} AS lines, {rows_sql(('enc_min', 'enc_max'))} AS enc, {GONE_SQL} AS gone
+  FROM near CROSS JOIN range({H}) rows(r)),
+hulls AS (
+  SELECT *, min(r) FILTER (WHERE lines OR enc) OVER w AS low, max(r) FILTER (WHERE lines OR enc) OVER w AS high
+  FROM drawn WINDOW w AS (PARTITION BY measure, i)),
+counted AS (
+  SELECT measure, i, px_from, px_to, (isl_from < isl_to)::INT AS islands, NOT covered OR (isl_from >= isl_to AND first_t IS NOT NULL) AS missing, first_t,
+         (count(*) FILTER (WHERE lines AND NOT enc))::INT AS false_px, (count(*) FILTER (WHERE gone AND NOT coalesce(r BETWEEN low AND high, false)))::INT AS missing_px,
+         count(*) FILTER (WHERE (lines AND NOT enc) OR (gone AND NOT coalesce(r BETWEEN low AND high, false))) AS wrong
+  FROM hulls GROUP BY ALL)
+SELECT measure, i, px_from, px_to, islands, CASE WHEN missing THEN NULL WHEN first_t IS NULL THEN 0 ELSE wrong / {H} END AS err, missing, false_px, missing_px
+FROM counted"""
+
+
+@query(BOUND_SQL)
 def column_error(spark, sf_dir):
     return bounded(spark, sf_dir)
 
 
-@query()
+@query(f"SELECT measure, round(avg(err), 9) AS error, count(err) AS n_valid, sum(missing::INT)::BIGINT AS n_missing FROM ({BOUND_SQL}) GROUP BY measure")
 def total_error(spark, sf_dir):
-    return error.total_errors(bounded(spark, sf_dir))
+    return error.total_errors(bounded(spark, sf_dir)).withColumn("error", F.round("error", 9))
 
 
 @query(f"SELECT measure, {START} + min(i) * {STEP} AS s_from, {START} + (max(i) + 1) * {STEP} AS s_to FROM {COLS_SQL} WHERE px_to > {SPAN_END} GROUP BY measure")
