@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import on_line, pixel_id
 from . import pixels
 
 
@@ -33,9 +32,65 @@ def span_islands(cols: DataFrame, spans: DataFrame) -> DataFrame:
     return out.select("measure", "i", "px_from", "px_to", "exact", F.col("e.n").alias("islands"), F.col("e.f").alias("isl_from"), F.col("e.t").alias("isl_to"), ((F.col("c.n") == 1) & (F.col("c.f") == a) & (F.col("c.t") == b)).alias("covered"))
 
 
-def _rows(low: Column, high: Column) -> Column:
+def _rows(low: str, high: str) -> str:
     """All pixel rows between two, in either order; none if one is null."""
-    return F.when(low.isNull() | high.isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.least(low, high), F.greatest(low, high), F.lit(1)))
+    return f"case when {low} is null or {high} is null then cast(array() as array<int>) else sequence(least({low}, {high}), greatest({low}, {high})) end"
+
+
+def _px(v: str, height: int) -> str:
+    """As ``pixel_id``, null for null."""
+    return f"case when {v} is not null then greatest(0, least({height - 1}, cast(coalesce(try_divide({height - 1} * ({v} - view_min), view_max - view_min), 0D) as int))) end"
+
+
+def _line(t0: str, v0: str, t1: str, v1: str, at: str) -> str:
+    """As ``on_line``."""
+    return f"least(greatest({v0} + coalesce(try_divide({v1} - {v0}, cast({t1} - {t0} as double)), 0D) * ({at} - {t0}), view_min), view_max)"
+
+
+def _select(df: DataFrame, keep: list[str], made: dict[str, str]) -> DataFrame:
+    """One projection of parsed expressions: a plan this wide is slow to build from single columns."""
+    return df.selectExpr(*keep, *[f"{e} as {n}" for n, e in made.items()])
+
+
+def column_cells(cols: DataFrame, groups: DataFrame, raw: DataFrame | None, start: int, step: int, width: int) -> DataFrame:
+    """``cols`` with all that their groups and points tell, in one join and one aggregation: min_v, max_v, first
+    and last accepted point, enc_* (enclosed groups and raw points), left_* and right_* (the shortest groups
+    that cover what the island leaves open), a_* and b_* (the groups at the column's edges)."""
+    cells = pixels.assign(groups, start, step, width).select("measure", "i", "g_from", "g_to", "min_v", "max_v", "min_t", "max_t")
+    if raw is not None:
+        end = start + step * width
+        own = raw.filter((F.col("t") >= start) & (F.col("t") < end)).withColumn("i", F.call_function("div", F.col("t") - start, F.lit(step)).cast("int"))
+        point = F.struct("t", "v")
+        seen = own.groupBy("measure", "i").agg(F.min(point).alias("raw_first"), F.max(point).alias("raw_last"), F.min("v").alias("raw_min"), F.max("v").alias("raw_max"))
+        cells = cells.unionByName(seen, allowMissingColumns=True)
+
+    def both(pick: str, fold: str, raw_column: str, form: str) -> str:
+        """Over the accepted one of a group's two points, and the raw points."""
+        parts = [f"{fold}(case when {c}_t >= px_from and {c}_t < px_to then {form.format(c)} end)" for c in ("min", "max")]
+        return f"{pick}({', '.join(parts + [f'{fold}({raw_column})'] * (raw is not None))})"
+
+    def enclosed(pick: str, fold: str) -> str:
+        own_groups = f"{fold}(case when px_from <= g_from and g_to <= px_to then {fold}_v end)"
+        return own_groups if raw is None else f"{pick}({own_groups}, {fold}(raw_{fold}))"
+
+    point = "named_struct('t', {0}_t, 'v', {0}_v)"
+    shortest = "named_struct('len', g_to - g_from, 'g_from', g_from, 'min', min_v, 'max', max_v)"
+    earliest = "named_struct('g_from', g_from, 'g_to', g_to, 'min', min_v, 'max', max_v)"
+    made = {
+        "lowest": both("least", "min", "raw_min", "{0}_v"),
+        "highest": both("greatest", "max", "raw_max", "{0}_v"),
+        "first": both("least", "min", "raw_first", point),
+        "last": both("greatest", "max", "raw_last", point),
+        "enc_min": enclosed("least", "min"),
+        "enc_max": enclosed("greatest", "max"),
+        "lefts": f"min(case when islands = 1 and g_from <= px_from and g_to >= isl_from and isl_from > px_from then {shortest} end)",
+        "rights": f"min(case when islands = 1 and g_to >= px_to and g_from <= isl_to and isl_to < px_to then {shortest} end)",
+        "a": f"min(case when g_from <= px_from then {earliest} end)",
+        "b": f"min(case when g_to >= px_to then {earliest} end)",
+    }
+    out = cols.join(cells, ["measure", "i"], "left").groupBy(*cols.columns).agg(*[F.expr(e).alias(n) for n, e in made.items()])
+    flat = {"min_v": "lowest", "max_v": "highest"} | {f"{n}_{c}": f"{n}.{c}" for n in ("first", "last") for c in ("t", "v")} | {f"{n}_{c}": f"{s}.{c}" for n, s in (("left", "lefts"), ("right", "rights"), ("a", "a"), ("b", "b")) for c in ("min", "max")}
+    return _select(out, [*cols.columns, "enc_min", "enc_max"], flat)
 
 
 def column_errors(measures: DataFrame, groups: DataFrame, spans: DataFrame, start: int, step: int, width: int, height: int, raw: DataFrame | None = None, compat: bool = False) -> DataFrame:
@@ -48,49 +103,42 @@ def column_errors(measures: DataFrame, groups: DataFrame, spans: DataFrame, star
     groups inside their own column and takes the left column's left partial between columns.
     """
     cols = span_islands(pixels.columns(measures, start, step, width), spans)
-    placed = pixels.assign(groups, start, step, width)
-    points = pixels.accepted(placed)
-    inner = pixels.contained(placed)
-    if raw is not None:
-        end = start + step * width
-        own = raw.filter((F.col("t") >= start) & (F.col("t") < end)).withColumn("i", F.call_function("div", F.col("t") - start, F.lit(step)).cast("int"))
-        points = points.unionByName(own.select("measure", "i", "t", "v"))
-        of_raw = own.groupBy("measure", "i").agg(F.min("v").alias("raw_min"), F.max("v").alias("raw_max"))
-        inner = inner.join(of_raw, ["measure", "i"], "full").withColumn("enc_min", F.least("enc_min", "raw_min")).withColumn("enc_max", F.greatest("enc_max", "raw_max"))
-    key = ["measure", "i"]
-    rest = cols.filter("islands = 1").select(*key, F.col("isl_from").alias("left_end"), F.col("isl_to").alias("right_start"))
-    out = cols.join(pixels.stats(points), key, "left").join(inner.select(*key, "enc_min", "enc_max"), key, "left").join(pixels.partials(placed, rest), key, "left").join(pixels.boundary(placed), key, "left")
-    out = pixels.with_view(out)
-    px = lambda v: F.when(v.isNotNull(), pixel_id(v, F.col("view_min"), F.col("view_max"), height))
-    side = Window.partitionBy("measure").orderBy("i")
-    undetermined = ~F.col("exact") & (~F.col("covered") | ((F.col("islands") != 1) & F.col("first_t").isNotNull()))
-    out = out.withColumn("undetermined", undetermined)
-    for name, shift in (("p", F.lag), ("n", F.lead)):
-        for c in ("first_t", "first_v", "last_t", "last_v", "exact", "left_min", "left_max", "right_min", "right_max", "a_min", "a_max", "b_min", "b_max"):
-            out = out.withColumn(f"{name}_{c}", shift(c).over(side))
-    at = lambda t0, v0, t1, v1, t: on_line(F.col(t0), F.col(v0), F.col(t1), F.col(v1), F.col(t), F.col("view_min"), F.col("view_max"))
-    has_left = F.col("p_last_t").isNotNull() & ~F.col("p_exact") & F.col("first_t").isNotNull()
-    has_right = F.col("n_first_t").isNotNull() & ~F.col("n_exact") & F.col("first_t").isNotNull()
-    left = _rows(F.when(has_left, px(at("p_last_t", "p_last_v", "first_t", "first_v", "px_from"))), F.when(has_left, px(F.col("first_v"))))
-    right = _rows(F.when(has_right, px(F.col("last_v"))), F.when(has_right, px(at("last_t", "last_v", "n_first_t", "n_first_v", "px_to"))))
-    out = out.withColumn("left_px", left).withColumn("right_px", right).withColumn("enc_px", _rows(px(F.col("enc_min")), px(F.col("enc_max"))))
-
-    def between(l: str, r: str, on: Column) -> Column:  # noqa: E741
-        partial = "left" if compat else "right"
-        low, high = F.col(f"{l}{partial}_min"), F.col(f"{l}{partial}_max")
-        crossing = F.array_union(_rows(px(F.col(f"{r}a_min")), px(F.col(f"{l}b_max"))), _rows(px(F.col(f"{r}a_max")), px(F.col(f"{l}b_min"))))
-        return F.when(~on, F.array().cast("array<int>")).when(low.isNotNull(), _rows(px(low), px(high))).otherwise(crossing)
-
-    gone = F.array_union(between("p_", "", has_left), between("", "n_", has_right))
+    out = pixels.with_view(column_cells(cols, groups, raw, start, step, width))
+    # a column's neighbours: their points, what covers their open parts and their edges
+    there = ("first_t", "first_v", "last_t", "last_v", "exact", "left_min", "left_max", "right_min", "right_max", "a_min", "a_max", "b_min", "b_max")
+    side = "over (partition by measure order by i)"
+    made = {f"{p}{c}": f"{f}({c}) {side}" for p, f in (("p_", "lag"), ("n_", "lead")) for c in there}
+    out = _select(out, out.columns, made | {"undetermined": "not exact and (not covered or (islands != 1 and first_t is not null))"})
+
+    has_left = "p_last_t is not null and not p_exact and first_t is not null"
+    has_right = "n_first_t is not null and not n_exact and first_t is not null"
+    ends = {
+        "left_0": _line("p_last_t", "p_last_v", "first_t", "first_v", "px_from"),
+        "left_1": "first_v",
+        "right_0": "last_v",
+        "right_1": _line("last_t", "last_v", "n_first_t", "n_first_v", "px_to"),
+    }
+    ends = {n: f"(case when {has_left if n < 'm' else has_right} then {e} end)" for n, e in ends.items()}
+    ends |= {"enc_0": "enc_min", "enc_1": "enc_max", "own_left_0": "left_min", "own_left_1": "left_max", "own_right_0": "right_min", "own_right_1": "right_max"}
+    partial = "left" if compat else "right"
+    for name, l, r in (("before", "p_", ""), ("after", "", "n_")):
+        ends |= {f"{name}_0": f"{l}{partial}_min", f"{name}_1": f"{l}{partial}_max", f"{name}_2": f"{r}a_min", f"{name}_3": f"{l}b_max", f"{name}_4": f"{r}a_max", f"{name}_5": f"{l}b_min"}
+    keep = ["measure", "i", "px_from", "px_to", "islands", "exact", "first_t", "undetermined"]
+    flags = {"has_left": has_left, "has_right": has_right}
+    out = _select(out, keep, flags | {n: _px(e, height) for n, e in ends.items()})
+
+    def between(name: str, on: str) -> str:
+        crossing = f"array_union({_rows(f'{name}_2', f'{name}_3')}, {_rows(f'{name}_4', f'{name}_5')})"
+        return f"case when not {on} then cast(array() as array<int>) when {name}_0 is not null then {_rows(f'{name}_0', f'{name}_1')} else {crossing} end"
+
+    gone = f"array_union({between('before', 'has_left')}, {between('after', 'has_right')})"
     if not compat:
-        for s in ("left", "right"):
-            gone = F.array_union(gone, _rows(px(F.col(f"{s}_min")), px(F.col(f"{s}_max"))))
-    drawn = F.array_union(F.array_union(F.col("left_px"), F.col("right_px")), F.col("enc_px"))
-    hull = F.when(F.size(drawn) > 0, F.sequence(F.array_min(drawn), F.array_max(drawn))).otherwise(drawn)
-    out = out.withColumn("false_px", F.array_except(F.array_union(F.col("left_px"), F.col("right_px")), F.col("enc_px"))).withColumn("missing_px", F.array_except(gone, hull))
-    wrong = F.size(F.array_union("false_px", "missing_px")) / F.lit(height)
-    err = F.when(F.col("undetermined"), F.lit(None)).when(F.col("exact") | F.col("first_t").isNull(), F.lit(0.0)).otherwise(wrong)
-    return out.select("measure", "i", "px_from", "px_to", "islands", err.cast("double").alias("err"), F.col("undetermined").alias("missing"), F.size("false_px").alias("false_px"), F.size("missing_px").alias("missing_px"))
+        gone = f"array_union(array_union({gone}, {_rows('own_left_0', 'own_left_1')}), {_rows('own_right_0', 'own_right_1')})"
+    out = _select(out, keep, {"lines": f"array_union({_rows('left_0', 'left_1')}, {_rows('right_0', 'right_1')})", "enc_px": _rows("enc_0", "enc_1"), "gone": gone})
+    out = _select(out, [*keep, "gone"], {"false_rows": "array_except(lines, enc_px)", "drawn": "array_union(lines, enc_px)"})
+    out = _select(out, [*keep, "false_rows"], {"missing_rows": "array_except(gone, case when size(drawn) > 0 then sequence(array_min(drawn), array_max(drawn)) else drawn end)"})
+    err = f"cast(case when undetermined then null when exact or first_t is null then 0D else size(array_union(false_rows, missing_rows)) / {height} end as double)"
+    return _select(out, keep[:5], {"err": err, "missing": "undetermined", "false_px": "size(false_rows)", "missing_px": "size(missing_rows)"})
 
 
 def total_errors(errors: DataFrame) -> DataFrame:
