@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pixels
@@ -15,21 +15,25 @@ def span_islands(cols: DataFrame, spans: DataFrame) -> DataFrame:
     of no width, so that their part of a column is enclosed.  Spans are catalog rows, a list a measure.
     """
     lists = spans.groupBy("measure").agg(F.sort_array(F.collect_list(F.struct("s_from", "s_to", "agg"))).alias("_s"))
-    joined = cols.join(lists, "measure", "left").withColumn("_s", F.coalesce("_s", F.array().cast("array<struct<s_from:bigint,s_to:bigint,agg:bigint>>")))
-    a, b = F.col("px_from"), F.col("px_to")
-    step = lambda s: F.greatest(s["agg"], F.lit(1).cast("long"))
-    low = lambda s: s["s_from"] + F.ceil(F.greatest(a - s["s_from"], F.lit(0)) / step(s)).cast("long") * step(s)
-    high = lambda s: F.when(b >= s["s_to"], s["s_to"]).otherwise(s["s_from"] + F.floor((b - s["s_from"]) / step(s)).cast("long") * step(s))
-    ranges = F.sort_array(F.filter(F.transform("_s", lambda s: F.struct(low(s).alias("f"), F.least(high(s), b).alias("t"))), lambda r: r["f"] < r["t"]))
-    reach = F.sort_array(F.filter(F.transform("_s", lambda s: F.struct(F.greatest(s["s_from"], a).alias("f"), F.least(s["s_to"], b).alias("t"))), lambda r: r["f"] < r["t"]))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(None).cast("long").alias("f"), F.lit(None).cast("long").alias("t"))
-
-    def fold(of: Column) -> Column:
-        return F.aggregate(of, zero, lambda x, r: F.struct((x["n"] + F.when(x["t"].isNull() | (r["f"] > x["t"]), 1).otherwise(0)).alias("n"), F.coalesce(x["f"], r["f"]).alias("f"), F.greatest(x["t"], r["t"]).alias("t")))
-
-    raw = F.exists("_s", lambda s: (s["agg"] < 0) & (s["s_from"] <= a) & (s["s_to"] >= b))
-    out = joined.withColumn("e", fold(ranges)).withColumn("c", fold(reach)).withColumn("exact", raw)
-    return out.select("measure", "i", "px_from", "px_to", "exact", F.col("e.n").alias("islands"), F.col("e.f").alias("isl_from"), F.col("e.t").alias("isl_to"), ((F.col("c.n") == 1) & (F.col("c.f") == a) & (F.col("c.t") == b)).alias("covered"))
+    width = "greatest(s.agg, 1L)"
+    low = f"s.s_from + ceil(greatest(px_from - s.s_from, 0L) / {width}) * {width}"
+    high = f"case when px_to >= s.s_to then s.s_to else s.s_from + floor((px_to - s.s_from) / {width}) * {width} end"
+
+    def fold(start: str, end: str) -> str:
+        """Number and hull of the islands of one range per span."""
+        ranges = f"sort_array(filter(transform(_s, s -> named_struct('f', {start}, 't', {end})), r -> r.f < r.t))"
+        none = "named_struct('n', 0, 'f', cast(null as bigint), 't', cast(null as bigint))"
+        return f"aggregate({ranges}, {none}, (x, r) -> named_struct('n', x.n + case when x.t is null or r.f > x.t then 1 else 0 end, 'f', coalesce(x.f, r.f), 't', greatest(x.t, r.t)))"
+
+    joined = cols.join(lists, "measure", "left").withColumn("_s", F.expr("coalesce(_s, cast(array() as array<struct<s_from:bigint,s_to:bigint,agg:bigint>>))"))
+    own = ["measure", "i", "px_from", "px_to"]
+    made = {
+        "whole": fold(f"cast({low} as bigint)", f"least(cast({high} as bigint), px_to)"),
+        "reach": fold("greatest(s.s_from, px_from)", "least(s.s_to, px_to)"),
+        "exact": "exists(_s, s -> s.agg < 0 and s.s_from <= px_from and s.s_to >= px_to)",
+    }
+    flat = {"islands": "whole.n", "isl_from": "whole.f", "isl_to": "whole.t", "covered": "reach.n = 1 and reach.f = px_from and reach.t = px_to"}
+    return _select(_select(joined, own, made), [*own, "exact"], flat)
 
 
 def _rows(low: str, high: str) -> str:

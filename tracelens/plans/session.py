@@ -50,19 +50,21 @@ class VizSession:
         raw = self.catalog.rows(spans, True) if any(s.agg < 0 for s in spans) else None
         return error.column_errors(names, self.catalog.rows(spans, False), self.catalog.frame(spans), query.start, query.step, query.width, query.height, raw, self.compat)
 
-    def _verdict(self, query: Query, measures: list[str]) -> tuple[dict[str, float | None], dict[str, list[Interval]]]:
-        """Mean error and missing intervals per measure: width rows a measure at most come back."""
+    def _verdict(self, query: Query, measures: list[str]) -> tuple[dict[str, float | None], dict[str, list[Interval]], DataFrame | None]:
+        """Mean error and missing intervals per measure, of width rows a measure at most, and the column errors
+        that tell them (None while nothing is cached)."""
         if not any(self.catalog.lookup(m, query.interval, query.step) for m in measures):
             whole = Interval(query.start, query.start + query.step * query.width)
-            return dict.fromkeys(measures), {m: [whole] for m in measures}
+            return dict.fromkeys(measures), {m: [whole] for m in measures}, None
         sums: dict[str, list[float]] = {m: [] for m in measures}
         gaps: dict[str, list[Interval]] = {m: [] for m in measures}
-        for r in self._errors(query, measures).select("measure", "px_from", "px_to", "err", "missing").collect():
+        errors = self._errors(query, measures)
+        for r in errors.select("measure", "px_from", "px_to", "err", "missing").collect():
             if r.err is not None:
                 sums[r.measure].append(r.err)
             if r.missing:
                 gaps[r.measure].append(Interval(r.px_from, r.px_to))
-        return {m: sum(e) / len(e) if e else None for m, e in sums.items()}, {m: planner.group_gaps(g, query.step, self.max_gap) for m, g in gaps.items()}
+        return {m: sum(e) / len(e) if e else None for m, e in sums.items()}, {m: planner.group_gaps(g, query.step, self.max_gap) for m, g in gaps.items()}, errors
 
     def _fetch(self, query: Query, gaps: dict[str, list[Interval]], factors: dict[str, int]) -> int:
         """Fetch the gaps of all measures, raw or grouped by measure, and cache them."""
@@ -123,7 +125,7 @@ class VizSession:
         if query.accuracy >= 1:
             exact = measures
         else:
-            bound, gaps = self._verdict(query, measures)
+            bound, gaps, errors = self._verdict(query, measures)
             failed = {m: bound[m] is not None and bound[m] > 1 - query.accuracy for m in measures}
             factors = {}
             for m in measures:
@@ -134,9 +136,10 @@ class VizSession:
                 at = time.time()
                 io += self._fetch(query, gaps, factors)
                 fetched_s += time.time() - at
-                bound, _ = self._verdict(query, measures)
+                bound, _, errors = self._verdict(query, measures)
             exact = [m for m in measures if bound[m] is None or bound[m] > 1 - query.accuracy]
-            errors = self._errors(query, measures)
+            if errors is None:
+                errors = self._errors(query, measures)
         parts = []
         cached = [m for m in measures if m not in exact]
         if cached:
@@ -151,7 +154,7 @@ class VizSession:
         answer = Answer(points, result_stats(stats), errors, bound, exact, query.interval, io, time.time() - began, fetched_s)
         if self.prefetch > 0 and query.accuracy < 1:
             wider = planner.prefetch_query(query, self.prefetch, self.extent)
-            _, gaps = self._verdict(wider, measures)
+            _, gaps, _ = self._verdict(wider, measures)
             if any(gaps.values()):
                 self._fetch(wider, gaps, {m: self.initial_factor for m in measures})
         return answer
