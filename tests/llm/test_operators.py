@@ -3,8 +3,10 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -166,6 +168,25 @@ def test_neighbours_recall(spark):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("n", [neighbours.BLOCK, 2 * neighbours.BLOCK - 1])
+def test_recall_in_full_blocks(n):
+    """Against brute force on random vectors, which are harder than any with clusters, in the production settings."""
+    x = np.random.default_rng(4).normal(size=(n, 64))
+    queries, pivots = x[:60], neighbours.pick_pivots(x[-4 * neighbours.PIVOTS :], neighbours.PIVOTS)
+    sent = SimpleNamespace(value=(queries, neighbours.nearest_pivots(queries, pivots, neighbours.PREFIX), pivots))
+    table = pa.table({"v": list(x), "ids": [[i] for i in range(n)]})
+    # a batch just short of a block makes the next one join it
+    batches = [b for at in (0, neighbours.BLOCK - 1) for b in table.slice(at, neighbours.BLOCK if at else neighbours.BLOCK - 1).combine_chunks().to_batches() if b.num_rows]
+    found = list(neighbours.block_search(sent, 10, neighbours.PREFIX, neighbours.BLOCK, neighbours.RERANK)(batches))
+    assert len(found) == 1
+    hits = 0
+    for q in range(60):
+        mine = {i[0] for j, i in zip(found[0]["lot_no"].to_pylist(), found[0]["ids"].to_pylist()) if j == q}
+        hits += len(mine & set(np.argsort(((x - x[q]) ** 2).sum(1))[:11].tolist()) - {q})
+    print(n, "vectors in the block: recall", hits / 600)
+    assert hits / 600 >= 0.9
+
+
 def simple_fingerprint(text):
     w = (text or "").encode().lower().split()
     parts = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []

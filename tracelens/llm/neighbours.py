@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from .common import persist, split_join
 
 #: Pivots are drawn from a sample of at most PIVOTS * SAMPLE distinct vectors; every vector is indexed.
-PIVOTS, SAMPLE, PREFIX = 192, 4, 24
-#: Vectors per inverted-file block, how many of a block are compared truly, and queries sent out at once.
-BLOCK, RERANK, QUERY_BLOCK = 8_192, 192, 4_096
+PIVOTS, SAMPLE, PREFIX = 192, 4, 64
+#: Vectors per inverted-file block, how many of a full block are compared truly (a larger block has the same
+#: share, a smaller one as many), and queries sent out at once.
+BLOCK, RERANK, QUERY_BLOCK = 8_192, 1_536, 4_096
 
 
 def valid(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -141,12 +142,14 @@ def block_search(sent, k: int, prefix: int, block: int, rerank: int):
         def answer():
             v = np.concatenate(held)
             files = invert(nearest_pivots(v, pivots, prefix), len(pivots))
+            least = np.array([i[0] for i in ids])
+            true = max(rerank, -(-rerank * len(v) // block))
             out = [[], [], []]
             for j, (q, p) in enumerate(zip(queries, perms)):
                 ranks = footrule(p, files, len(v))
-                few = np.argpartition(ranks, rerank)[:rerank] if len(v) > rerank else np.arange(len(v))
+                few = np.argpartition(ranks, true)[:true] if len(v) > true else np.arange(len(v))
                 d = np.sqrt(((v[few] - q) ** 2).sum(1))
-                for c in np.lexsort(([ids[i][0] for i in few.tolist()], d))[: k + 1].tolist():
+                for c in np.lexsort((least[few], d))[: k + 1].tolist():
                     out[0].append(j)
                     out[1].append(ids[few[c]])
                     out[2].append(float(d[c]))
