@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tracelens.llm import chunks, cotraining, lines, mixing, neighbours, outliers, packing, pitman_yor, queries, sharding, simhash
 
 SF = "/root/testdata/sf0.001"
@@ -217,6 +218,34 @@ def test_simhash_components(spark, docs):
     assert {i: r.component_id for i, r in got.items()} == want
 
 
+def simple_shingles(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def test_near_copies_of_the_pipeline(spark, docs):
+    """Against all pairs, with edited copies, nulls, repeated rows and one id on different texts."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=rng.randint(3, 8)))
+    made = [(r.doc_id, r.text) for r in docs.collect()]
+    for i in range(40):
+        base = [word() for _ in range(rng.choice([8, 60, 300]))]
+        for j in range(4):
+            w = list(base)
+            for at in rng.sample(range(len(w)), j * len(w) // 100 + (j == 1)):
+                w[at] = word()
+            made.append((10_000 + 10 * i + j, " ".join(w)))
+    made += [(None, made[-1][1]), (None, "a text of its own without any id"), (10_000, "same id, other text than before"), *made[-3:], (None, None), (20_000, "")]
+    schema = "doc_id long, text string"
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(made, schema), SF).select("doc_id", "text").collect())
+    rows = sorted(made, key=lambda r: (r[0] is None, r[0] or 0))
+    sets_ = [simple_shingles(t) for _, t in rows]
+    near = lambda a, b: a == b or 10 * len(a & b) >= 8 * len(a | b)
+    root = closed(range(len(rows)), [(x, y) for x, a in enumerate(sets_) for y, b in enumerate(sets_[:x]) if near(a, b)])
+    assert got == Counter(rows[i] for i, r in root.items() if i == r)
+    assert corpus_pipeline.near_dedup(spark, spark.createDataFrame([], schema), SF).collect() == []
+
+
 def test_links_of_a_dense_group(monkeypatch):
     rng = random.Random(3)
     fps = sorted({rng.getrandbits(64) for _ in range(20)} | {sum(1 << b for b in rng.sample(range(14), rng.randint(0, 14))) for _ in range(300)})
