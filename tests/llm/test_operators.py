@@ -306,6 +306,33 @@ def test_mix_meets_targets_and_reruns_agree(spark, docs):
     assert mixing.order(docs, mixing.plan(docs)).count() == sum(r.copies for r in got)
 
 
+SAME = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"{chr(97 + i % 26)}{i} " * (i % 5 + 1), "en", "s" if i % 2 else None) for i in range(60)]
+
+
+def test_mixing_stage_keeps_null_and_repeated_ids(spark):
+    """Each row comes out as often as the plan takes it: two rows of one id don't take each other's positions."""
+    rows = SAME + SAME[:2] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = Counter(tuple(r) for r in corpus_pipeline.source_mixing(spark, docs, SF).collect())
+    plan = mixing.plan(docs).collect()
+    assert sum(got.values()) == sum(r.copies for r in plan)
+    for key in {(r.doc_id, r.source, r.size) for r in plan}:
+        want = sum(r.copies for r in plan if (r.doc_id, r.source, r.size) == key)
+        assert sum(n for (i, t, _, s), n in got.items() if (i, s, len(t.split())) == key) == want
+    assert all(n <= 2 * rows.count(r) for r, n in got.items())
+
+
+def test_line_stage_tells_rows_of_one_id_apart(spark):
+    schema = "doc_id long, text string, lang string, source string"
+    rows = [
+        (None, "a b c d\nfirst own line", "en", "s"), (None, "second own text\na b c d", "en", "s"), (5, "e f g h i\none more here", "en", "s"),
+        (5, "quite another text\ne f g h i", "en", "s"), (5, "quite another text\ne f g h i", "en", "s"), (6, None, "en", "s"),
+    ]
+    got = Counter(r.text for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, schema), SF).collect())
+    assert got == Counter(["a b c d\nfirst own line", "second own text", "e f g h i\none more here", "quite another text", "", None])
+    assert corpus_pipeline.line_dedup(spark, spark.createDataFrame([], schema), SF).collect() == []
+
+
 def test_schedule_inverts():
     from pyspark.sql import SparkSession
 
