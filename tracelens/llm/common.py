@@ -31,11 +31,14 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def persist(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors lose nothing."""
+def persist(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors lose nothing.
+
+    The values of the columns ``folders`` get a folder each, so that one can be deleted before the others.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/tracelens/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,6 +61,11 @@ def reclaim(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what was written: it does when the driver's JVM collects their handles."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def split_join(rows: DataFrame, side: DataFrame, key: str, weight: str, how: str = "inner", parts: int = 10_000) -> DataFrame:
     """Equi-join of ``rows`` with ``side`` (one row per key), where ``side[weight]`` is the key's row count.
 

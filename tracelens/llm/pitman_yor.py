@@ -1,14 +1,14 @@
-"""A hierarchical Pitman-Yor language model over words, sampled by Gibbs and shared out by word.
+"""A hierarchical Pitman-Yor language model over words, sampled by Gibbs and shared out by context.
 
-A token is predicted from the ending of the word before it: 256 fine contexts (the last three bytes, hashed
-within a class) have restaurants whose parents are the 16 coarse classes of the last letter, whose parent is
-the restaurant of all tokens, whose base is uniform over the vocabulary and one unknown word.  The number of
-restaurants is fixed; their dishes, one per distinct word, grow with the corpus.
+Every word that precedes another is a context with a restaurant of its own; the parent of all of them is the
+restaurant of all words, whose base is uniform over the vocabulary and one unknown word.  A rare context has
+few customers, so most of its prediction is the parent's.
 
-All dishes of a word lie in one bucket, so seating is local: a sweep re-seats every dish's customers given
-its parent's probability and the restaurants' table counts, which a bucket knows as its own share times the
-number of buckets (words fall into buckets by hash).  The sampled seatings are kept; predictive
-probabilities use the exact totals over all buckets and are averaged over the samples.
+Contexts fall into buckets by hash, so a restaurant lies whole in one bucket; words fall into buckets of their
+own, where the root's dishes lie.  A round seats the contexts' customers given the root's probabilities, sends
+the tables of every word to the root, seats those there, and sends the root's customers and tables back.
+Given an auxiliary gamma variable per restaurant its dishes are independent, so all are seated at once and
+exactly.  Between rounds everything lies in tables; counts are summed per block of documents before they travel.
 """
 
 from __future__ import annotations
@@ -22,38 +22,39 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix64, persist, text_bytes
+from .common import as_bytes, noted, persist, reclaim, release, text_bytes
 
-FINE, COARSE = 256, 16
 BLOCK_TOKENS = 3_000_000
-BURN_IN, SAMPLES = 2, 3
-#: Discount and strength of the fine, coarse and root restaurants.
-DISCOUNTS, STRENGTHS = (0.8, 0.75, 0.7), (1.0, 1.0, 1.0)
-EXACT = 16
-LOW = np.uint64(FINE - 1)
+#: Rounds whose seatings aren't used, rounds that are averaged, and sweeps over the contexts in each.
+BURN_IN, SAMPLES, SWEEPS = 1, 2, 2
+#: Discount and strength of the contexts' restaurants and of the root.
+DISCOUNTS, STRENGTHS = (0.8, 0.7), (1.0, 1.0)
+#: Up to so many customers the number of tables is drawn from a table of Stirling numbers, beyond it by
+#: Metropolis steps on the sizes of the tables; both for the same conditional distribution.
+EXACT, STEPS = 256, 24
 
 
 class Tokens(dict):
-    """Word -> 56 bits of its hash, then the context class that it is for the next word."""
+    """Word -> 64-bit hash, kept for recent words."""
 
     limit = 400_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        stem = word.rstrip(b".,;:!?\"')") or word
-        coarse = zlib.crc32(stem[-1:]) % COARSE
-        value = self[word] = xxhash.xxh64_intdigest(word) >> 8 << 8 | coarse * (FINE // COARSE) + zlib.crc32(stem[-3:]) % (FINE // COARSE)
+        value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
 
 TOKENS = Tokens()
 #: No word can hold a line break.
 END = TOKENS[b"\n"]
-START = TOKENS[b""] & (FINE - 1)
+START = TOKENS[b""]
 
-BLOCKS = "block long, bucket int, doc_ids binary, lengths binary, index binary, keys binary, counts binary"
-STATES = "bucket int, keys binary, counts binary, fine binary, coarse binary, root binary, blocks array<struct<block:long,index:binary>>, n long, v long, totals array<long>"
+BLOCKS = "block long, bucket int, doc_ids binary, lengths binary, index binary, contexts binary, runs binary, words binary, counts binary"
+STATIC = "bucket int, words binary, place binary, runs binary, counts binary, blocks array<struct<block:long,n:int,index:binary>>, n_contexts long, n_keys long"
+ROUND = "bucket int, part int, a binary, b binary, c binary"
+REPLIES = "bucket int, part int, a binary, b binary, c binary, totals array<long>"
 ANSWERS = "block long, bucket int, logs binary, known binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -63,9 +64,31 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else b"%d" % doc_id) % 10 == 0
 
 
+def share(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The part of ``parts`` that each hash falls into; parts follow the order of the hashes."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def slim(x: np.ndarray) -> bytes:
+    """Counts in 1, 2 or 4 bytes each; the reader tells by the length."""
+    most = int(x.max()) if len(x) else 0
+    return x.astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def wide(data: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(data, {1: "u1", 2: "<u2", 4: "<u4"}[len(data) // count if count else 1]).astype(np.int64)
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
+
+
 def blocks(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents in blocks of about BLOCK_TOKENS tokens: a row with ids, lengths and every token's place among
-    the block's distinct (word, context) keys, and a row per bucket with its keys and their training counts."""
+    the block's distinct (context, word) keys, and a row per bucket with its keys and their training counts.
+    Keys are in the order of the hashes of context and word, as runs of words per context."""
 
     def run(batches):
         ids: list = []
@@ -75,35 +98,41 @@ def blocks(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str
         task = TaskContext.get().partitionId() << 24
 
         def emit():
-            lengths = np.array([len(p) for p in parts], np.int64)
-            flat = np.concatenate(parts)
-            keys, index = np.unique(flat, return_inverse=True)
+            lengths = np.array([len(p) - 1 for p in parts], np.int64)
+            distinct, place = np.unique(np.concatenate(parts), return_inverse=True)
+            # every part begins with the start symbol, which precedes its first word
+            ends = np.cumsum(lengths + 1)
+            word = np.ones(len(place), bool)
+            word[ends - lengths - 1] = False
+            before = np.ones(len(place), bool)
+            before[ends - 1] = False
+            keys, index = np.unique(place[before].astype(np.uint64) << np.uint64(32) | place[word].astype(np.uint64), return_inverse=True)
             train = np.repeat(np.array([not held_out(i) for i in ids]), lengths)
-            counts = np.bincount(index, weights=train, minlength=len(keys)).astype("<u4")
-            bucket = (mix64(keys >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(keys), "<u4")
-            place[order] = np.arange(len(keys), dtype="<u4")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            keys, counts = keys[order].astype("<u8"), counts[order]
+            counts = np.bincount(index, weights=train, minlength=len(keys)).astype(np.int64)
+            context, words = (keys >> np.uint64(32)).astype(np.int64), distinct[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+            first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+            runs = np.diff(np.append(first, len(keys)))
+            contexts = distinct[context[first]]
+            edges = np.searchsorted(share(contexts, buckets), np.arange(buckets + 1))
+            at = np.append(first, len(keys))
             name = task + n
             # ids of null documents are marked by their length's sign
             known = np.array([0 if i is None else i for i in ids], "<i8")
-            lengths = np.where([i is None for i in ids], -lengths, lengths).astype("<i8")
-            rows = [(name, -1, known.tobytes(), lengths.tobytes(), place[index].tobytes(), None, None)]
-            rows += [(name, b, None, None, None, keys[x:y].tobytes(), counts[x:y].tobytes()) for b, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
-            types = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
-            names = ["block", "bucket", "doc_ids", "lengths", "index", "keys", "counts"]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            signed = np.where([i is None for i in ids], -lengths, lengths).astype("<i8")
+            rows = [(name, -1, known.tobytes(), signed.tobytes(), index.astype("<u4").tobytes(), None, None, None, None)]
+            for b, (x, y) in enumerate(zip(edges, edges[1:])):
+                if y > x:
+                    own = slice(at[x], at[y])
+                    rows.append((name, b, None, None, None, contexts[x:y].astype("<u8").tobytes(), slim(runs[x:y]), words[own].astype("<u8").tobytes(), slim(counts[own])))
+            return _batch(rows, BLOCKS)
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch)):
                 words = text.lower().split()
                 values = np.fromiter(map(TOKENS.__getitem__, words), np.uint64, len(words))
-                values = np.append(values, np.uint64(END))
-                parts.append(values & ~LOW | np.concatenate([start, values[:-1]]) & LOW)
+                parts.append(np.concatenate([start, values, np.array([END], np.uint64)]))
                 ids.append(doc_id)
-                tokens += len(values)
+                tokens += len(values) + 1
                 if tokens >= BLOCK_TOKENS:
                     yield emit()
                     ids, parts, tokens, n = [], [], 0, n + 1
@@ -113,150 +142,265 @@ def blocks(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str
     return as_bytes(docs, id_col, text_col).mapInArrow(run, BLOCKS)
 
 
+def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The restaurants of a bucket from what the blocks sent: distinct words, each key's word, keys per context,
+    counts, and where each block's keys went (as steps, both being in the same order)."""
+    table = table.sort_by("block")
+    contexts, words, counts, sizes = [], [], [], []
+    for c, r, w, n in zip(*(table.column(f).to_pylist() for f in ("contexts", "runs", "words", "counts"))):
+        own = np.frombuffer(c, "<u8")
+        contexts.append(np.repeat(own, wide(r, len(own))))
+        words.append(np.frombuffer(w, "<u8"))
+        sizes.append(len(words[-1]))
+        counts.append(wide(n, sizes[-1]))
+    _, of = np.unique(np.concatenate(contexts), return_inverse=True)
+    distinct, place = np.unique(np.concatenate(words), return_inverse=True)
+    keys, index = np.unique(of.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64), return_inverse=True)
+    count = np.bincount(index, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
+    runs = np.bincount((keys >> np.uint64(32)).astype(np.int64))
+    edges = np.cumsum([0, *sizes])
+    steps = [{"block": b, "n": int(y - x), "index": slim(np.diff(index[x:y], prepend=0))} for b, x, y in zip(table.column("block").to_pylist(), edges, edges[1:])]
+    row = [key[0].as_py(), distinct.astype("<u8").tobytes(), (keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), slim(runs), slim(count), steps, len(runs), len(keys)]
+    types = [pa.int32(), *[pa.binary()] * 4, pa.list_(pa.struct([("block", pa.int64()), ("n", pa.int32()), ("index", pa.binary())])), pa.int64(), pa.int64()]
+    return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=["bucket", "words", "place", "runs", "counts", "blocks", "n_contexts", "n_keys"])
+
+
+_stirling: dict[float, np.ndarray] = {}
+
+
 def stirling(discount: float, most: int = EXACT) -> np.ndarray:
     """log of the generalised Stirling numbers: ways to seat c customers at t tables, weighted by discounts."""
-    out = np.full((most + 1, most + 1), -np.inf)
-    out[1, 1] = 0.0
-    for c in range(1, most):
-        for t in range(1, c + 2):
-            stay = out[c, t] + np.log(c - discount * t) if t <= c else -np.inf
-            out[c + 1, t] = np.logaddexp(out[c, t - 1], stay)
+    if discount not in _stirling:
+        out = np.full((most + 1, most + 1), -np.inf)
+        out[1, 1] = 0.0
+        with np.errstate(divide="ignore"):
+            for c in range(1, most):
+                t = np.arange(1, c + 2)
+                out[c + 1, 1 : c + 2] = np.logaddexp(out[c, t - 1], out[c, 1 : c + 2] + np.log(np.maximum(c - discount * t, 0.0)))
+        _stirling[discount] = out
+    return _stirling[discount]
+
+
+def log_size(n: np.ndarray, discount: float) -> np.ndarray:
+    """log probability of a table of size n among tables of a restaurant, up to a constant: gamma(n - d) / n!."""
+    n = np.asarray(n, np.float64)
+    # by Stirling's series from n + 8 on and the recursion below it
+    low = np.zeros_like(n)
+    for k in range(8):
+        low += np.log(n + k - discount) - np.log(n + k + 1)
+    a, b = n + 8 - discount, n + 9
+    series = lambda x: (x - 0.5) * np.log(x) - x + 1 / (12 * x) - 1 / (360 * x**3)
+    return series(a) - series(b) - low
+
+
+def draw_sizes(count: int, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Sizes of ``count`` tables when nothing is known of their sum: geometric with a beta success rate."""
+    p = np.maximum(rng.beta(discount, 1 - discount, count), 1e-15)
+    return np.minimum(np.ceil(np.log(np.maximum(rng.random(count), 1e-300)) / np.log1p(-np.minimum(p, 1 - 1e-15))), 1e15).astype(np.int64).clip(1)
+
+
+def tilt(customers: np.ndarray, rate: np.ndarray, discount: float) -> np.ndarray:
+    """log r at which tables of rate rate * r**size hold nearly all customers on average; 0 where few do anyway."""
+    low, high = np.full(len(customers), -40.0), np.zeros(len(customers))  # log(1 - r)
+    for _ in range(50):
+        mid = (low + high) / 2
+        above = np.log(np.maximum(rate * discount, 1e-300)) + np.log1p(-np.exp(mid)) - (1 - discount) * mid > np.log(0.9 * customers)
+        low, high = np.where(above, mid, low), np.where(above, high, mid)
+    return np.log1p(-np.exp(low))
+
+
+def seat_many(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Like ``seat``, for any number of customers, by Metropolis steps on the seating itself.
+
+    Without its largest table, a dish's tables are a Poisson process of rate fresh / discount, weighted by
+    the probability of the largest table's size; sizes are tilted so that their sum comes near the number of
+    customers, and the largest table's size makes up for it.  A step thins the process, adds new tables in
+    proportion and is taken by the ratio of the weights, so the conditional distribution of the seating stays.
+    Where most customers sit at small tables steps are small, and there are more of them.
+    """
+    rate = fresh / discount
+    log_r = tilt(customers, rate, discount)
+    thin = np.minimum(1.0, 0.5 * customers**discount / np.maximum(rate, 1e-300))
+    thin = np.where(log_r < -0.05, np.minimum(thin, 4 / np.maximum(rate, 1e-300)), thin)
+    turns = np.exp2(np.ceil(np.log2(np.clip(8 / thin, STEPS, 256)))).astype(np.int64)
+    out = np.empty(len(customers), np.int64)
+    for k in np.unique(turns).tolist():
+        at = np.flatnonzero(turns == k)
+        out[at] = _metropolis(customers[at], rate[at], log_r[at], thin[at], discount, rng, k)
     return out
 
 
-def seat(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Numbers of tables for dishes with ``customers``, where ``fresh`` is the weight of opening a table.
+def _metropolis(customers, rate, log_r, thin, discount: float, rng: np.random.Generator, steps: int) -> np.ndarray:
+    n = len(customers)
+    owner, sizes = np.empty(0, np.int64), np.empty(0, np.int64)
+    weight = lambda large, ties: log_size(large, discount) + large * log_r - np.log1p(ties)
+    large = customers.copy()
+    now = weight(large, np.zeros(n))
+    for _ in range(steps):
+        stay = rng.random(len(owner)) >= thin[owner]
+        new = np.repeat(np.arange(n), rng.poisson(thin * rate * np.exp(log_r)))
+        drawn = draw_sizes(len(new), discount, rng)
+        few = np.log(np.maximum(rng.random(len(new)), 1e-300)) < (drawn - 1) * log_r[new]
+        who = np.concatenate([owner[stay], new[few]])
+        size = np.concatenate([sizes[stay], drawn[few]])
+        most = np.zeros(n, np.int64)
+        np.maximum.at(most, who, size)
+        left = (customers - np.bincount(who, weights=size.astype(np.float64), minlength=n)).astype(np.int64)
+        can = left >= np.maximum(most, 1)
+        # the largest may have equals, any of which could be called the largest
+        then = weight(np.where(can, left, 1), np.bincount(who, weights=size == left[who], minlength=n))
+        take = can & (np.log(np.maximum(rng.random(n), 1e-300)) < then - now)
+        large, now = np.where(take, left, large), np.where(take, then, now)
+        old, fine = ~take[owner], take[who]
+        owner, sizes = np.concatenate([owner[old], who[fine]]), np.concatenate([sizes[old], size[fine]])
+    return np.bincount(owner, minlength=n) + 1
 
-    Up to EXACT customers the number is drawn from its exact conditional; above, the customers come one by
-    one (a table with k others attracts by k - discount), from the 64th on in growing groups.
-    """
+
+def seat(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Numbers t of tables for dishes with ``customers``, drawn in proportion to stirling(customers, t) * fresh**t."""
     tables = np.minimum(customers, 1).astype(np.int64)
     logs = stirling(discount)
     log_fresh = np.log(np.maximum(fresh, 1e-300))
-    for c in range(2, EXACT + 1):
-        at = np.flatnonzero(customers == c)
-        if len(at):
-            t = np.arange(1, c + 1)
-            weight = logs[c, 1 : c + 1][None, :] + t[None, :] * log_fresh[at][:, None]
-            tables[at] = (weight + rng.gumbel(size=weight.shape)).argmax(1) + 1
-    at = np.flatnonzero(customers > EXACT)
+    order = np.argsort(customers, kind="stable")
+    edges = np.searchsorted(customers[order], np.arange(2, EXACT + 2))
+    for c, (x, y) in enumerate(zip(edges, edges[1:]), 2):
+        for low in range(x, y, 1 << 16):
+            at = order[low : min(low + (1 << 16), y)]
+            weight = logs[c, 1 : c + 1][None, :] + np.arange(1, c + 1)[None, :] * log_fresh[at][:, None]
+            np.exp(weight - weight.max(1, keepdims=True), out=weight)
+            np.cumsum(weight, axis=1, out=weight)
+            tables[at] = (weight < (rng.random(len(at)) * weight[:, -1])[:, None]).sum(1) + 1
+    at = order[edges[-1] :]
     if len(at):
-        c, f, t = customers[at], fresh[at], np.ones(len(at))
-        i = 1
-        while i < c.max():
-            step = 1 if i < 64 else max(1, i // 8)
-            coming = np.clip(c - i, 0, step)
-            p = f / (f + np.maximum(i + step / 2 - 0.5 - discount * t, 1e-9))
-            t = t + rng.binomial(coming, np.minimum(p, 1.0))
-            i += step
-        tables[at] = np.minimum(t, c)
+        tables[at] = seat_many(customers[at].astype(np.int64), fresh[at], discount, rng)
     return tables
 
 
-def bucket_state(buckets: int, seed: int, burn_in: int, samples: int):
-    """applyInArrow over the requests of a bucket: counts, sampled tables, and where each block's keys went."""
+class Root:
+    """The root's share of the prediction, from its customers and tables of words and its totals."""
+
+    def __init__(self, totals: list[int]):
+        self.customers, self.tables, self.vocabulary, self.tokens = totals
+
+    def predict(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        d, s = DISCOUNTS[1], STRENGTHS[1]
+        return (customers - d * tables + (s + d * self.tables) / (self.vocabulary + 1)) / (s + self.customers)
+
+
+class Bucket:
+    """The contexts of a bucket, and what the root has told about their words."""
+
+    def __init__(self, static: pa.Table, replies: pa.Table, root: Root):
+        row = static.to_pylist()[0]
+        self.name, self.blocks = row["bucket"], row.get("blocks")
+        self.words = np.frombuffer(row["words"], "<u8")
+        self.place = np.frombuffer(row["place"], "<u4").astype(np.int64)
+        self.runs = wide(row["runs"], row["n_contexts"])
+        self.counts = wide(row["counts"], row["n_keys"])
+        self.starts = np.cumsum(self.runs) - self.runs
+        self.tables = np.minimum(self.counts, 1)
+        self.sum = np.zeros(row["n_keys"], np.float32)
+        seen = []
+        for r in replies.sort_by("part").to_pylist():
+            if r["part"] < 0:
+                self.tables, self.sum = wide(r["a"], row["n_keys"]), np.frombuffer(r["b"], "<f4").copy()
+            else:
+                seen.append([np.frombuffer(r[c], "<u4").astype(np.int64) for c in "abc"])
+        if seen:
+            customers, tables, self.known = (np.concatenate(x) for x in zip(*seen))
+            self.base = root.predict(customers, tables)[self.place]
+        self.customers_of = np.repeat(self.total(self.counts), self.runs)
+
+    def total(self, x: np.ndarray) -> np.ndarray:
+        """Sums per context."""
+        return np.add.reduceat(x, self.starts)
+
+    def predict(self) -> np.ndarray:
+        d, s = DISCOUNTS[0], STRENGTHS[0]
+        tables_of = np.repeat(self.total(self.tables), self.runs)
+        return (self.counts - d * self.tables + (s + d * tables_of) * self.base) / (s + self.customers_of)
+
+    def seat(self, rng: np.random.Generator) -> None:
+        d, s = DISCOUNTS[0], STRENGTHS[0]
+        more = np.flatnonzero(self.counts > 1)
+        of = np.repeat(np.arange(len(self.runs)), self.runs)[more]
+        for _ in range(SWEEPS):
+            weight = rng.gamma(s / d + self.total(self.tables))
+            self.tables[more] = seat(self.counts[more], d * weight[of] * self.base[more], d, rng)
+
+    def asks(self, parts: int) -> list[tuple]:
+        """A row per part of the words: hashes, tables of all contexts here, training count."""
+        tables, counts = (np.bincount(self.place, weights=x, minlength=len(self.words)).astype("<u4") for x in (self.tables, self.counts))
+        edges = np.searchsorted(share(self.words, parts), np.arange(parts + 1))
+        return [(self.name, k, self.words[x:y].tobytes(), tables[x:y].tobytes(), counts[x:y].tobytes()) for k, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
+
+
+def first_asks(parts: int):
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = pa.Table.from_batches([batch.slice(k, 1)])
+                yield _batch(Bucket(own, EMPTY, Root([0, 0, 0, 0])).asks(parts), ROUND)
+
+    return run
+
+
+EMPTY = pa.table({"bucket": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in "abc"}})
+
+
+def seat_root(before: list[int] | None, seed: int, turn: int):
+    """applyInArrow over a part of the words: the root's customers and tables, told to every bucket that asked.
+
+    ``before`` holds the totals of the round before; without them every word has one table.
+    """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
-        table = table.sort_by("block")
-        names = table.column("block").to_pylist()
-        keys = [np.frombuffer(b, "<u8") for b in table.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(b, "<u4") for b in table.column("counts").to_pylist()])
-        distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
-        count = np.bincount(index, weights=counts, minlength=len(distinct)).astype(np.int64)
-        of = Dishes(distinct)
-        rng = np.random.default_rng([seed, bucket])
-        t2, t1, t0 = np.minimum(count, 1), None, None
-        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        v = int((of.by_word(count) > 0).sum())
-        for sweep in range(burn_in + samples):
-            c1 = of.by_coarse(t2)
-            t1 = np.minimum(c1, 1) if t1 is None else t1
-            c0 = of.by_word_of_coarse(t1)
-            t0 = np.minimum(c0, 1) if t0 is None else t0
-            totals = of.totals(t2, t1, t0) * buckets
-            p0, p1, _ = of.predict(count, t2, t1, t0, totals, max(v * buckets, 1), None)
-            t2 = seat(count, (STRENGTHS[0] + DISCOUNTS[0] * totals[of.fine]) * p1[of.coarse_of], DISCOUNTS[0], rng)
-            c1 = of.by_coarse(t2)
-            t1 = seat(c1, (STRENGTHS[1] + DISCOUNTS[1] * totals[FINE + of.coarse]) * p0[of.word_of_coarse], DISCOUNTS[1], rng)
-            c0 = of.by_word_of_coarse(t1)
-            t0 = seat(c0, np.full(len(c0), (STRENGTHS[2] + DISCOUNTS[2] * totals[-1]) / (max(v * buckets, 1) + 1)), DISCOUNTS[2], rng)
-            if sweep >= burn_in:
-                kept.append((t2, t1, t0))
-        pack = lambda k: np.concatenate([s[k] for s in kept]).astype("<u4").tobytes()
-        edges = np.cumsum([0, *map(len, keys)])
-        places = [{"block": b, "index": index[x:y].astype("<u4").tobytes()} for b, x, y in zip(names, edges, edges[1:])]
-        # customers and tables of every restaurant, per sample; counts of the fine ones are the same in all
-        sums = [np.bincount(of.fine, weights=count, minlength=FINE)] + [of.totals(*s) for s in kept]
-        row = [bucket, distinct.astype("<u8").tobytes(), count.astype("<u4").tobytes(), pack(0), pack(1), pack(2), places, int(count.sum()), v, np.concatenate(sums).astype(np.int64).tolist()]
-        types = [pa.int32(), *[pa.binary()] * 5, pa.list_(pa.struct([("block", pa.int64()), ("index", pa.binary())])), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=[c.split()[0] for c in STATES.replace("array<struct<block:long,index:binary>>", "a").split(", ")])
+        part = key[0].as_py()
+        rng = np.random.default_rng([seed, turn, 1, part])
+        table = table.sort_by("bucket")
+        asked = [np.frombuffer(b, "<u8") for b in table.column("a").to_pylist()]
+        words, index = np.unique(np.concatenate(asked), return_inverse=True)
+        add = lambda c: np.bincount(index, weights=np.concatenate([np.frombuffer(b, "<u4") for b in table.column(c).to_pylist()]), minlength=len(words)).astype(np.int64)
+        customers, known = add("b"), add("c")
+        tables = np.minimum(customers, 1)
+        if before is not None:
+            d, s = DISCOUNTS[1], STRENGTHS[1]
+            weight = np.random.default_rng([seed, turn]).gamma(s / d + before[1])  # one draw that all parts share
+            tables = seat(customers, np.full(len(words), d * weight / (before[2] + 1)), d, rng)
+        edges = np.cumsum([0, *map(len, asked)])
+        rows = [(b, part, *[x[index[i:j]].astype("<u4").tobytes() for x in (customers, tables, known)], None) for b, i, j in zip(table.column("bucket").to_pylist(), edges, edges[1:])]
+        rows.append((-1, part, None, None, None, [int(customers.sum()), int(tables.sum()), int((known > 0).sum()), int(known.sum())]))
+        return pa.Table.from_batches([_batch(rows, REPLIES)])
 
     return run
 
 
-class Dishes:
-    """How the sorted (word, context) keys of a bucket fall into coarse dishes and words."""
-
-    def __init__(self, keys: np.ndarray):
-        keys = keys.astype(np.uint64)
-        self.fine = (keys & LOW).astype(np.int64)
-        coarse_key = keys >> np.uint64(4)
-        word_key = keys >> np.uint64(8)
-        first = np.append(True, coarse_key[1:] != coarse_key[:-1]) if len(keys) else np.empty(0, bool)
-        self.coarse_starts = np.flatnonzero(first)
-        self.coarse_of = np.cumsum(first) - 1
-        self.coarse = self.fine[self.coarse_starts] // (FINE // COARSE)
-        words = word_key[self.coarse_starts]
-        start = np.append(True, words[1:] != words[:-1]) if len(words) else np.empty(0, bool)
-        self.word_starts = np.flatnonzero(start)
-        self.word_of_coarse = np.cumsum(start) - 1
-
-    def by_coarse(self, x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(x, self.coarse_starts)
-
-    def by_word_of_coarse(self, x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(x, self.word_starts)
-
-    def by_word(self, x: np.ndarray) -> np.ndarray:
-        return self.by_word_of_coarse(self.by_coarse(x))
-
-    def totals(self, t2: np.ndarray, t1: np.ndarray, t0: np.ndarray) -> np.ndarray:
-        """Tables of the fine, coarse and root restaurants in one vector."""
-        return np.concatenate([np.bincount(self.fine, weights=t2, minlength=FINE), np.bincount(self.coarse, weights=t1, minlength=COARSE), [t0.sum()]]).astype(np.float64)
-
-    def predict(self, count, t2, t1, t0, totals, v: int, customers):
-        """Predictive probabilities of root, coarse and (with the fine restaurants' customers) fine dishes."""
-        c1, (d2, d1, d0), (s2, s1, s0) = self.by_coarse(t2), DISCOUNTS, STRENGTHS
-        c0 = self.by_word_of_coarse(t1)
-        in_coarse = totals[:FINE].reshape(COARSE, -1).sum(1)
-        in_root = totals[FINE:-1].sum()
-        p0 = (np.maximum(c0 - d0 * t0, 0) + (s0 + d0 * totals[-1]) / (v + 1)) / (s0 + in_root)
-        p1 = (np.maximum(c1 - d1 * t1, 0) + (s1 + d1 * totals[FINE + self.coarse]) * p0[self.word_of_coarse]) / (s1 + in_coarse[self.coarse])
-        if customers is None:
-            return p0, p1, None
-        p2 = (np.maximum(count - d2 * t2, 0) + (s2 + d2 * totals[self.fine]) * p1[self.coarse_of]) / (s2 + customers[self.fine])
-        return p0, p1, p2
-
-
-def answers(sent, samples: int):
-    """mapInArrow over bucket states: the averaged log10 probability and word count of every block's keys."""
+def seat_contexts(totals: list[int], seed: int, turn: int, parts: int, burn_in: int):
+    """cogroup of a bucket with the root's replies: seat its customers and ask again; from the round after
+    ``burn_in`` on, the prediction of the seating before is added up."""
 
-    def run(batches):
-        v, customers, totals = sent.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                of = Dishes(np.frombuffer(row["keys"], "<u8"))
-                count = np.frombuffer(row["counts"], "<u4").astype(np.int64)
-                t2, t1, t0 = (np.frombuffer(row[c], "<u4").astype(np.int64).reshape(samples, -1) for c in ("fine", "coarse", "root"))
-                p = sum(of.predict(count, t2[s], t1[s], t0[s], totals[s], v, customers)[2] for s in range(samples)) / samples
-                logs = np.log10(p).astype("<f4")
-                known = of.by_word(count)[of.word_of_coarse][of.coarse_of].astype("<u4")
-                rows = []
-                for b in row["blocks"]:
-                    at = np.frombuffer(b["index"], "<u4")
-                    rows.append((b["block"], row["bucket"], logs[at].tobytes(), known[at].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int32(), pa.binary(), pa.binary()])], names=["block", "bucket", "logs", "known"])
+    def run(static: pa.Table, replies: pa.Table) -> pa.Table:
+        own = Bucket(static, replies, Root(totals))
+        if turn > burn_in:
+            own.sum += own.predict().astype(np.float32)
+        own.seat(np.random.default_rng([seed, turn, 0, own.name]))
+        return pa.Table.from_batches([_batch([(own.name, -1, slim(own.tables), own.sum.astype("<f4").tobytes(), None), *own.asks(parts)], ROUND)])
+
+    return run
+
+
+def answers(totals: list[int], samples: int):
+    """cogroup of a bucket with the root's last replies: averaged log10 probabilities and word counts, by block."""
+
+    def run(static: pa.Table, replies: pa.Table) -> pa.Table:
+        own = Bucket(static, replies, Root(totals))
+        logs = np.log10((own.sum + own.predict()) / samples).astype("<f4")
+        known = own.known[own.place]
+        rows = []
+        for b in own.blocks:
+            at = np.cumsum(wide(b["index"], b["n"]))
+            rows.append((b["block"], own.name, logs[at].tobytes(), slim(known[at])))
+        return pa.Table.from_batches([_batch(rows, ANSWERS)])
 
     return run
 
@@ -264,8 +408,9 @@ def answers(sent, samples: int):
 def score_block(n: int, v: int):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         found = found.sort_by("bucket")
-        logs = np.concatenate([np.frombuffer(b, "<f4") for b in found.column("logs").to_pylist()]).astype(np.float64)
-        known = np.concatenate([np.frombuffer(b, "<u4") for b in found.column("known").to_pylist()])
+        parts = [np.frombuffer(b, "<f4") for b in found.column("logs").to_pylist()]
+        known = np.concatenate([wide(b, len(p)) for b, p in zip(found.column("known").to_pylist(), parts)])
+        logs = np.concatenate(parts).astype(np.float64)
         base = np.log10((known + 0.1) / (n + 0.1 * (v + 1)))
         ids = np.frombuffer(docs.column("doc_ids")[0].as_py(), "<i8")
         signed = np.frombuffer(docs.column("lengths")[0].as_py(), "<i8")
@@ -289,20 +434,35 @@ def score(docs: DataFrame, buckets: int | None = None, seed: int = 1, burn_in: i
     Tokens are the lower-cased (A-Z) words of the whole text and one end token; a null text is empty and has
     the end token alone.  Training takes the documents whose crc32(doc_id as text) mod 10 is not 0.  Repeated
     rows count as often as they occur.  Without training documents every token has the base probability.
-    An empty table gives no rows.  Words are told apart by 56 bits of their hash.
+    An empty table gives no rows.  Words are told apart by 64 bits of their hash.
     """
     spark = docs.sparkSession
-    # more buckets for more input; a block writes a row to each, so not without end
-    buckets = buckets or min(max(32, 2 * docs.rdd.getNumPartitions()), 4096)
-    stored = persist(blocks(docs, buckets, id_col, text_col), "blocks")
-    asked = stored.filter("bucket >= 0").select("bucket", "block", "keys", "counts")
-    states = persist(asked.groupBy("bucket").applyInArrow(bucket_state(buckets, seed, burn_in, samples), STATES), "states")
-    summed = states.select("n", "v", F.posexplode("totals").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("v").alias("v")).orderBy("at").collect()
-    if not summed:
-        return spark.createDataFrame([], SCORES)
-    n, v = int(summed[0].n), int(summed[0].v)
-    sums = np.array([float(r.x) for r in summed])
-    sent = spark.sparkContext.broadcast((max(v, 0), sums[:FINE], sums[FINE:].reshape(samples, -1)))
-    replies = states.select("bucket", "keys", "counts", "fine", "coarse", "root", "blocks").mapInArrow(answers(sent, samples), ANSWERS)
-    own = stored.filter("bucket = -1").select("block", "doc_ids", "lengths", "index")
-    return own.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score_block(n, v), SCORES)
+    # as many buckets as the input has; a block writes a row to each in which it has a key
+    buckets = buckets or max(32, 4 * docs.rdd.getNumPartitions())
+    parts = max(12, buckets // 4)
+    used: list[str] = []
+    with noted(used):
+        stored = persist(blocks(docs, buckets, id_col, text_col).withColumn("keys", F.col("bucket") >= 0), "blocks", "keys")
+    asked = stored.filter("keys").select("bucket", "block", "contexts", "runs", "words", "counts")
+    static = persist(asked.groupBy("bucket").applyInArrow(gather, STATIC), "restaurants")
+    reclaim(spark, [f"{p}/keys=true" for p in used])
+    release(spark)
+    lean = static.drop("blocks")
+    asks = persist(lean.mapInArrow(first_asks(parts), ROUND), "asks")
+    totals, dynamic = None, None
+    for turn in range(burn_in + samples + 1):
+        replies = persist(asks.groupBy("part").applyInArrow(seat_root(totals, seed, turn), REPLIES), "replies")
+        summed = replies.filter("bucket < 0").select(F.posexplode("totals").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()
+        if not summed:
+            return spark.createDataFrame([], SCORES)
+        totals = [int(r.x) for r in summed]
+        told = replies.filter("bucket >= 0").drop("totals")
+        told = told if dynamic is None else told.unionByName(dynamic)
+        if turn < burn_in + samples:
+            made = lean.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(seat_contexts(totals, seed, turn, parts, burn_in), ROUND)
+            made = persist(made, "seated")
+            release(spark)
+            asks, dynamic = made.filter("part >= 0"), made.filter("part < 0")
+    logs = static.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(answers(totals, samples), ANSWERS)
+    own = stored.filter("not keys").select("block", "doc_ids", "lengths", "index")
+    return own.groupBy("block").cogroup(logs.groupBy("block")).applyInArrow(score_block(totals[3], totals[2]), SCORES)
