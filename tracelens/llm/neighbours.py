@@ -1,24 +1,29 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its nearest pivots in order.  Each pivot has an inverted file of the vectors that
-hold it and at which place; a query adds up footrule distances along its own pivots' files, and the best
-ranked vectors are compared by their true distance.
+A vector is represented by its nearest pivots in order.  Every pivot has an inverted file of the vectors that
+hold it and at which place, stored in parts by blocks of vectors, so that no file is unbounded.  Queries have
+such files too: joined by pivot, the two give the footrule distances between a block of queries and a block of
+vectors, and each query's best ranked vectors are compared by their true distance.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import persist, split_join
 
 #: Pivots are drawn from a sample of at most PIVOTS * SAMPLE distinct vectors; every vector is indexed.
-PIVOTS, SAMPLE, PREFIX = 192, 4, 64
-#: Vectors per inverted-file block, how many of a full block are compared truly (a larger block has the same
-#: share, a smaller one as many), and queries sent out at once.
-BLOCK, RERANK, QUERY_BLOCK = 8_192, 1_536, 4_096
+PIVOTS, SAMPLE, PREFIX = 512, 4, 128
+#: Vectors and queries per block.
+BLOCK, QUERY_BLOCK = 8_192, 1_024
+#: Of a block of n vectors, n * SHARE + LEAST * (k + 1) are compared truly.
+SHARE, LEAST = 0.125, 4
+
+INDEX = "block long, pivot int, n int, a binary, b binary, c binary"
 
 
 def valid(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -51,44 +56,121 @@ def nearest_pivots(v: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray
     return np.take_along_axis(part, np.argsort(np.take_along_axis(d, part, 1), axis=1, kind="stable"), 1)
 
 
-def invert(perms: np.ndarray, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inverted files of a block: start of each pivot's file, row numbers, places."""
-    prefix = perms.shape[1]
-    flat = perms.ravel()
-    by_pivot = np.argsort(flat, kind="stable")
-    return np.searchsorted(flat[by_pivot], np.arange(pivots + 1)), by_pivot // prefix, by_pivot % prefix
+def blocked(rows: DataFrame, column: str, pivots: np.ndarray, prefix: int, block: int) -> DataFrame:
+    """The index of ``rows`` (v and the array of numbers ``column``) in blocks: a row of pivot -1 with the block's
+    vectors, how many numbers each has and the numbers, and a row per pivot with its inverted file, the rows that
+    hold the pivot and its place in each."""
+
+    def run(batches):
+        held, numbers, made = [], [], 0
+        task = TaskContext.get().partitionId() << 32
+
+        def emit():
+            v = np.concatenate(held)
+            perms = nearest_pivots(v, pivots, prefix)
+            flat = perms.ravel()
+            order = np.argsort(flat, kind="stable")
+            edges = np.searchsorted(flat[order], np.arange(len(pivots) + 1))
+            owner, place = (order // prefix).astype("<u2"), (order % prefix).astype("<u2")
+            sizes = np.array([len(x) for x in numbers], "<u2")
+            rows = [(task + made, -1, len(v), v.astype("<f8").tobytes(), sizes.tobytes(), np.concatenate([np.array(x, "<i8") for x in numbers]).tobytes())]
+            rows += [(task + made, p, len(v), owner[x:y].tobytes(), place[x:y].tobytes(), None) for p, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["block", "pivot", "n", "a", "b", "c"])
+
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                piece = batch.slice(at, block - len(numbers))
+                held.append(piece.column("v").flatten().to_numpy(zero_copy_only=False).reshape(piece.num_rows, -1))
+                numbers += piece.column(column).to_pylist()
+                at += piece.num_rows
+                if len(numbers) == block:
+                    yield emit()
+                    held, numbers, made = [], [], made + 1
+        if numbers:
+            yield emit()
+
+    return rows.select("v", column).mapInArrow(run, INDEX)
 
 
-def footrule(query: np.ndarray, files, n: int) -> np.ndarray:
-    """Footrule distance of a query's pivots to all rows of a block, a pivot that is missing counting as place ``prefix``.
+def footrule(queries: int, vectors: int, prefix: int, files) -> np.ndarray:
+    """Footrule distances between a block of queries and a block of vectors, a pivot that is missing counting as
+    place ``prefix``; ``files`` gives, pivot by pivot, query numbers and places, vector numbers and places.
 
-    Every row starts at the distance of sharing nothing; each shared pivot takes off what it costs when missing.
+    Every pair starts at the distance of sharing nothing; each shared pivot takes off what it costs when missing.
     """
-    starts, rows, places = files
-    prefix = len(query)
-    gain = np.zeros(n)
-    for place, pivot in enumerate(query.tolist()):
-        a, b = starts[pivot], starts[pivot + 1]
-        at = places[a:b]
-        gain[rows[a:b]] += (prefix - place) + (prefix - at) - np.abs(at - place)
-    return prefix * (prefix + 1) - gain
+    out = np.full((queries, vectors), prefix * (prefix + 1), np.int32)
+    for q, at, x, place in files:
+        place = place.astype(np.int32)[None, :]
+        at = at.astype(np.int32)[:, None]
+        out[q[:, None], x[None, :]] -= 2 * prefix - at - place - np.abs(at - place)
+    return out
+
+
+def rank(prefix: int, k: int, share: float, least: int):
+    """applyInArrow over a block of queries and a block of vectors: each query's best ranked vectors."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        queries, vectors = table.column("qn")[0].as_py(), table.column("n")[0].as_py()
+        files = [[np.frombuffer(x, "<u2") for x in row] for row in zip(*(table.column(c).to_pylist() for c in ("qa", "qb", "a", "b")))]
+        most = min(vectors, int(np.ceil(vectors * share)) + least * (k + 1))
+        best = np.empty((queries, most), "<u2")
+        for low in range(0, queries, 128):
+            high = min(low + 128, queries)
+            part = []
+            for q, at, x, place in files:
+                i, j = np.searchsorted(q, [low, high])
+                part.append((q[i:j] - low, at[i:j], x, place))
+            ranks = footrule(high - low, vectors, prefix, part)
+            best[low:high] = np.argpartition(ranks, most - 1, axis=1)[:, :most]
+        return pa.table({"qblock": pa.array([key[0].as_py()]), "block": pa.array([key[1].as_py()]), "best": pa.array([best.tobytes()], pa.binary())})
 
+    return run
+
+
+def compare(k: int):
+    """mapInArrow over ranked pairs of blocks with their vectors: each query's k + 1 nearest by true distance."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                queries = np.frombuffer(row["qa"], "<f8").reshape(row["qn"], -1)
+                vectors = np.frombuffer(row["a"], "<f8").reshape(row["n"], -1)
+                names, best = np.frombuffer(row["qc"], "<i8").tolist(), np.frombuffer(row["best"], "<u2").reshape(row["qn"], -1)
+                sizes, ids = np.frombuffer(row["b"], "<u2").astype(np.int64), np.frombuffer(row["c"], "<i8")
+                ends = np.cumsum(sizes)
+                first = ids[ends - sizes]
+                out = [[], [], []]
+                for name, q, few in zip(names, queries, best.astype(np.int64)):
+                    d = np.sqrt(((vectors[few] - q) ** 2).sum(1))
+                    near = np.lexsort((first[few], d))[: k + 1]
+                    for c in near.tolist():
+                        x = few[c]
+                        out[0].append(name)
+                        out[1].append(ids[ends[x] - sizes[x] : ends[x]].tolist())
+                        out[2].append(float(d[c]))
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.float64())], names=["no", "ids", "score"])
+
+    return run
 
-def search(vectors: DataFrame, is_query, k: int = 10, pivots: int = PIVOTS, prefix: int = PREFIX, block: int = BLOCK, rerank: int = RERANK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+
+def search(vectors: DataFrame, is_query, k: int = 10, pivots: int = PIVOTS, prefix: int = PREFIX, block: int = BLOCK, share: float = SHARE, least: int = LEAST, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for rows where ``is_query`` (a Column over vec_id), their k nearest other rows.
 
     Nearness is the Euclidean distance in double precision, ties go to the smaller vec_id.  Vectors that are
     null, zero or hold null or non-finite components take no part, nor do those whose length differs from
-    the most frequent one.  Copies of a vector are indexed once and keep their ids.  Queries are sent out in
-    blocks of ``QUERY_BLOCK`` distinct vectors, each block against all rows; a table without valid vectors
-    gives no rows.
+    the most frequent one.  Copies of a vector are indexed once and keep their ids.  A table without valid
+    vectors gives no rows.
+
+    The index is a table in the shared folder.  Each block of queries meets each block of vectors, so work
+    grows with queries times vectors: queries that are a fixed share of all rows ask for that.
     """
     spark = vectors.sparkSession
     rows = valid(vectors, id_col, vec_col)
     common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if common is None:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.filter(F.size("v") == common["d"])
     classes = persist(distinct(rows, k), "vectors")
     asked = persist(rows.filter(is_query).groupBy("v").agg(F.count("*").alias("n")).select("v", F.monotonically_increasing_id().alias("no"), "n"), "queries")
@@ -97,16 +179,19 @@ def search(vectors: DataFrame, is_query, k: int = 10, pivots: int = PIVOTS, pref
     drawn = np.array([r.v for r in sample.collect()])
     chosen = pick_pivots(drawn, min(pivots, len(drawn)))
     length = min(prefix, len(chosen))
-    found = None
-    for lot in query_blocks(asked):
-        queries = np.array([r.v for r in lot])
-        sent = spark.sparkContext.broadcast((queries, nearest_pivots(queries, chosen, length), chosen))
-        part = classes.mapInArrow(block_search(sent, k, length, block, rerank), "lot_no int, ids array<long>, score double")
-        names = spark.createDataFrame([(j, r.no) for j, r in enumerate(lot)], "lot_no int, no long")
-        part = part.join(F.broadcast(names), "lot_no").select("no", "ids", "score")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return empty
+
+    def index(frame: DataFrame, column: str, size: int, name: str) -> DataFrame:
+        # full blocks, whatever the number of partitions that the rows came in
+        dealt = frame.repartition(max(1, -(-frame.count() // size)), F.xxhash64("v"))
+        return persist(blocked(dealt, column, chosen, length, size), name)
+
+    files = index(classes, "ids", block, "index")
+    queries = index(asked.select("v", F.array("no").alias("no")), "no", QUERY_BLOCK, "query-index")
+    queries = queries.select(F.col("block").alias("qblock"), "pivot", F.col("n").alias("qn"), F.col("a").alias("qa"), F.col("b").alias("qb"), F.col("c").alias("qc"))
+    met = queries.filter("pivot >= 0").drop("qc").join(files.filter("pivot >= 0").drop("c"), "pivot")
+    ranked = persist(met.groupBy("qblock", "block").applyInArrow(rank(length, k, share, least), "qblock long, block long, best binary"), "ranked")
+    pairs = ranked.join(queries.filter("pivot < 0").drop("pivot", "qb"), "qblock").join(files.filter("pivot < 0").drop("pivot"), "block")
+    found = pairs.mapInArrow(compare(k), "no long, ids array<long>, score double")
     # a class holds up to k + 1 ids; of k + 1 classes at a distance the query's own id is one at most
     near = Window.partitionBy("no").orderBy("score", F.col("ids")[0])
     best = found.withColumn("n", F.row_number().over(near)).filter(F.col("n") <= k + 1)
@@ -118,55 +203,3 @@ def search(vectors: DataFrame, is_query, k: int = 10, pivots: int = PIVOTS, pref
     own = F.slice(F.filter("c", lambda x: x["vec_id"] != F.col("vec_id")), 1, k)
     out = owners.select(F.col("vec_id").alias("query_id"), F.posexplode(own).alias("p", "x"))
     return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
-
-
-def query_blocks(asked: DataFrame):
-    """The distinct query vectors in lists of at most QUERY_BLOCK."""
-    lot: list = []
-    for row in asked.select("v", "no").toLocalIterator():
-        lot.append(row)
-        if len(lot) == QUERY_BLOCK:
-            yield lot
-            lot = []
-    if lot:
-        yield lot
-
-
-def block_search(sent, k: int, prefix: int, block: int, rerank: int):
-    """mapInArrow: index blocks of rows and return each query's k + 1 nearest classes of every block."""
-
-    def run(batches):
-        queries, perms, pivots = sent.value
-        held, ids, n = [], [], 0
-
-        def answer():
-            v = np.concatenate(held)
-            files = invert(nearest_pivots(v, pivots, prefix), len(pivots))
-            least = np.array([i[0] for i in ids])
-            true = max(rerank, -(-rerank * len(v) // block))
-            out = [[], [], []]
-            for j, (q, p) in enumerate(zip(queries, perms)):
-                ranks = footrule(p, files, len(v))
-                few = np.argpartition(ranks, true)[:true] if len(v) > true else np.arange(len(v))
-                d = np.sqrt(((v[few] - q) ** 2).sum(1))
-                for c in np.lexsort((least[few], d))[: k + 1].tolist():
-                    out[0].append(j)
-                    out[1].append(ids[few[c]])
-                    out[2].append(float(d[c]))
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.float64())], names=["lot_no", "ids", "score"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                piece = batch.slice(at, block)
-                if not piece.num_rows:
-                    continue
-                held.append(piece.column("v").flatten().to_numpy(zero_copy_only=False).reshape(piece.num_rows, -1))
-                ids += piece.column("ids").to_pylist()
-                n += piece.num_rows
-                if n >= block:
-                    yield answer()
-                    held, ids, n = [], [], 0
-        if n:
-            yield answer()
-
-    return run
