@@ -35,14 +35,14 @@ EXACT, STEPS = 256, 24
 
 
 class Tokens(dict):
-    """Word -> 64-bit hash, kept for recent words."""
+    """Word -> 48 bits of its hash, kept for recent words."""
 
     limit = 400_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = self[word] = xxhash.xxh64_intdigest(word) >> 16
         return value
 
 
@@ -51,11 +51,11 @@ TOKENS = Tokens()
 END = TOKENS[b"\n"]
 START = TOKENS[b""]
 
-BLOCKS = "block long, bucket int, doc_ids binary, lengths binary, index binary, contexts binary, runs binary, words binary, counts binary"
-STATIC = "bucket int, words binary, place binary, runs binary, counts binary, blocks array<struct<block:long,n:int,index:binary>>, n_contexts long, n_keys long"
-ROUND = "bucket int, part int, a binary, b binary, c binary"
-REPLIES = "bucket int, part int, a binary, b binary, c binary, totals array<long>"
-ANSWERS = "block long, bucket int, logs binary, known binary"
+BLOCKS = "block long, bucket long, doc_ids binary, lengths binary, index binary, contexts binary, runs binary, words binary, counts binary"
+STORED = "block long, bucket long, doc_ids binary, lengths binary, index binary, words binary, place binary, runs binary, counts binary, blocks array<struct<block:long,n:int,index:binary>>, n_contexts long, n_keys long"
+ROUND = "bucket long, part int, n int, a binary, b binary, c binary"
+REPLIES = "bucket long, part int, n int, a binary, b binary, c binary, totals array<long>"
+ANSWERS = "block long, bucket long, logs binary, known binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -66,17 +66,25 @@ def held_out(doc_id: int | None) -> bool:
 
 def share(hashes: np.ndarray, parts: int) -> np.ndarray:
     """The part of ``parts`` that each hash falls into; parts follow the order of the hashes."""
-    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    return ((hashes >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def slim(x: np.ndarray) -> bytes:
-    """Counts in 1, 2 or 4 bytes each; the reader tells by the length."""
-    most = int(x.max()) if len(x) else 0
-    return x.astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+def slim(x: np.ndarray, least: int = 1) -> bytes:
+    """Numbers in as few bytes each as the largest needs; the reader tells by the length."""
+    bytes_ = max(least, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return np.ascontiguousarray(x.astype("<u8").view("u1").reshape(-1, 8)[:, :bytes_]).tobytes()
 
 
-def wide(data: bytes, count: int) -> np.ndarray:
-    return np.frombuffer(data, {1: "u1", 2: "<u2", 4: "<u4"}[len(data) // count if count else 1]).astype(np.int64)
+def wide(data: bytes, count: int, kind: str = "<i8") -> np.ndarray:
+    out = np.zeros((count, 8), "u1")
+    if count:
+        out[:, : len(data) // count] = np.frombuffer(data, "u1").reshape(count, -1)
+    return out.view(kind).ravel()
+
+
+def hashes(data: bytes) -> np.ndarray:
+    """What ``slim`` made of hashes in 6 bytes each."""
+    return wide(data, len(data) // 6, "<u8")
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -88,6 +96,7 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def blocks(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents in blocks of about BLOCK_TOKENS tokens: a row with ids, lengths and every token's place among
     the block's distinct (context, word) keys, and a row per bucket with its keys and their training counts.
+    The former has a negative bucket of its own.
     Keys are in the order of the hashes of context and word, as runs of words per context."""
 
     def run(batches):
@@ -119,11 +128,11 @@ def blocks(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str
             # ids of null documents are marked by their length's sign
             known = np.array([0 if i is None else i for i in ids], "<i8")
             signed = np.where([i is None for i in ids], -lengths, lengths).astype("<i8")
-            rows = [(name, -1, known.tobytes(), signed.tobytes(), index.astype("<u4").tobytes(), None, None, None, None)]
+            rows = [(name, -1 - name, known.tobytes(), signed.tobytes(), slim(index), None, None, None, None)]
             for b, (x, y) in enumerate(zip(edges, edges[1:])):
                 if y > x:
                     own = slice(at[x], at[y])
-                    rows.append((name, b, None, None, None, contexts[x:y].astype("<u8").tobytes(), slim(runs[x:y]), words[own].astype("<u8").tobytes(), slim(counts[own])))
+                    rows.append((name, b, None, None, None, slim(contexts[x:y], 6), slim(runs[x:y]), slim(words[own], 6), slim(counts[own])))
             return _batch(rows, BLOCKS)
 
         for batch in batches:
@@ -144,13 +153,18 @@ def blocks(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str
 
 def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """The restaurants of a bucket from what the blocks sent: distinct words, each key's word, keys per context,
-    counts, and where each block's keys went (as steps, both being in the same order)."""
+    counts, and where each block's keys went (as steps, both being in the same order).  A block's own row stays."""
+    own = ["block", "bucket", "doc_ids", "lengths", "index"]
+    types = [pa.int64(), pa.int64(), *[pa.binary()] * 7, pa.list_(pa.struct([("block", pa.int64()), ("n", pa.int32()), ("index", pa.binary())])), pa.int64(), pa.int64()]
+    names = [f.split()[0] for f in STORED.replace("block:long,n:int,", "").split(", ")]
+    if key[0].as_py() < 0:
+        return pa.Table.from_arrays([table.column(n).combine_chunks() if n in own else pa.nulls(table.num_rows, t) for n, t in zip(names, types)], names=names)
     table = table.sort_by("block")
     contexts, words, counts, sizes = [], [], [], []
     for c, r, w, n in zip(*(table.column(f).to_pylist() for f in ("contexts", "runs", "words", "counts"))):
-        own = np.frombuffer(c, "<u8")
-        contexts.append(np.repeat(own, wide(r, len(own))))
-        words.append(np.frombuffer(w, "<u8"))
+        here = hashes(c)
+        contexts.append(np.repeat(here, wide(r, len(here))))
+        words.append(hashes(w))
         sizes.append(len(words[-1]))
         counts.append(wide(n, sizes[-1]))
     _, of = np.unique(np.concatenate(contexts), return_inverse=True)
@@ -160,9 +174,8 @@ def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     runs = np.bincount((keys >> np.uint64(32)).astype(np.int64))
     edges = np.cumsum([0, *sizes])
     steps = [{"block": b, "n": int(y - x), "index": slim(np.diff(index[x:y], prepend=0))} for b, x, y in zip(table.column("block").to_pylist(), edges, edges[1:])]
-    row = [key[0].as_py(), distinct.astype("<u8").tobytes(), (keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), slim(runs), slim(count), steps, len(runs), len(keys)]
-    types = [pa.int32(), *[pa.binary()] * 4, pa.list_(pa.struct([("block", pa.int64()), ("n", pa.int32()), ("index", pa.binary())])), pa.int64(), pa.int64()]
-    return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=["bucket", "words", "place", "runs", "counts", "blocks", "n_contexts", "n_keys"])
+    row = [None, key[0].as_py(), None, None, None, slim(distinct, 6), slim(keys & np.uint64(0xFFFFFFFF)), slim(runs), slim(count), steps, len(runs), len(keys)]
+    return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=names)
 
 
 _stirling: dict[float, np.ndarray] = {}
@@ -293,21 +306,20 @@ class Bucket:
     def __init__(self, static: pa.Table, replies: pa.Table, root: Root):
         row = static.to_pylist()[0]
         self.name, self.blocks = row["bucket"], row.get("blocks")
-        self.words = np.frombuffer(row["words"], "<u8")
-        self.place = np.frombuffer(row["place"], "<u4").astype(np.int64)
+        self.words = hashes(row["words"])
+        self.place = wide(row["place"], row["n_keys"])
         self.runs = wide(row["runs"], row["n_contexts"])
         self.counts = wide(row["counts"], row["n_keys"])
         self.starts = np.cumsum(self.runs) - self.runs
         self.tables = np.minimum(self.counts, 1)
         self.sum = np.zeros(row["n_keys"], np.float32)
-        seen = []
-        for r in replies.sort_by("part").to_pylist():
-            if r["part"] < 0:
-                self.tables, self.sum = wide(r["a"], row["n_keys"]), np.frombuffer(r["b"], "<f4").copy()
-            else:
-                seen.append([np.frombuffer(r[c], "<u4").astype(np.int64) for c in "abc"])
+        seen = sorted(replies.to_pylist(), key=lambda r: r["part"])
+        if seen and seen[0]["part"] < 0:
+            before = seen.pop(0)
+            self.tables = wide(before["a"], row["n_keys"])
+            self.sum = np.frombuffer(before["b"], "<f4").copy() if before["b"] else self.sum
         if seen:
-            customers, tables, self.known = (np.concatenate(x) for x in zip(*seen))
+            customers, tables, self.known = (np.concatenate([wide(r[c], r["n"]) for r in seen]) for c in "abc")
             self.base = root.predict(customers, tables)[self.place]
         self.customers_of = np.repeat(self.total(self.counts), self.runs)
 
@@ -330,9 +342,9 @@ class Bucket:
 
     def asks(self, parts: int) -> list[tuple]:
         """A row per part of the words: hashes, tables of all contexts here, training count."""
-        tables, counts = (np.bincount(self.place, weights=x, minlength=len(self.words)).astype("<u4") for x in (self.tables, self.counts))
-        edges = np.searchsorted(share(self.words, parts), np.arange(parts + 1))
-        return [(self.name, k, self.words[x:y].tobytes(), tables[x:y].tobytes(), counts[x:y].tobytes()) for k, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
+        tables, counts = (np.bincount(self.place, weights=x, minlength=len(self.words)).astype(np.int64) for x in (self.tables, self.counts))
+        edges = np.searchsorted(share(self.words, parts), np.arange(parts + 1)).tolist()
+        return [(self.name, k, y - x, slim(self.words[x:y], 6), slim(tables[x:y]), slim(counts[x:y])) for k, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
 
 
 def first_asks(parts: int):
@@ -345,7 +357,7 @@ def first_asks(parts: int):
     return run
 
 
-EMPTY = pa.table({"bucket": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in "abc"}})
+EMPTY = pa.table({"bucket": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "n": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in "abc"}})
 
 
 def seat_root(before: list[int] | None, seed: int, turn: int):
@@ -358,18 +370,19 @@ def seat_root(before: list[int] | None, seed: int, turn: int):
         part = key[0].as_py()
         rng = np.random.default_rng([seed, turn, 1, part])
         table = table.sort_by("bucket")
-        asked = [np.frombuffer(b, "<u8") for b in table.column("a").to_pylist()]
+        sizes = table.column("n").to_pylist()
+        asked = [hashes(b) for b in table.column("a").to_pylist()]
         words, index = np.unique(np.concatenate(asked), return_inverse=True)
-        add = lambda c: np.bincount(index, weights=np.concatenate([np.frombuffer(b, "<u4") for b in table.column(c).to_pylist()]), minlength=len(words)).astype(np.int64)
+        add = lambda c: np.bincount(index, weights=np.concatenate([wide(b, n) for b, n in zip(table.column(c).to_pylist(), sizes)]), minlength=len(words)).astype(np.int64)
         customers, known = add("b"), add("c")
         tables = np.minimum(customers, 1)
         if before is not None:
             d, s = DISCOUNTS[1], STRENGTHS[1]
             weight = np.random.default_rng([seed, turn]).gamma(s / d + before[1])  # one draw that all parts share
             tables = seat(customers, np.full(len(words), d * weight / (before[2] + 1)), d, rng)
-        edges = np.cumsum([0, *map(len, asked)])
-        rows = [(b, part, *[x[index[i:j]].astype("<u4").tobytes() for x in (customers, tables, known)], None) for b, i, j in zip(table.column("bucket").to_pylist(), edges, edges[1:])]
-        rows.append((-1, part, None, None, None, [int(customers.sum()), int(tables.sum()), int((known > 0).sum()), int(known.sum())]))
+        edges = np.cumsum([0, *sizes]).tolist()
+        rows = [(b, part, j - i, *[slim(x[index[i:j]]) for x in (customers, tables, known)], None) for b, i, j in zip(table.column("bucket").to_pylist(), edges, edges[1:])]
+        rows.append((-1, part, 0, None, None, None, [int(customers.sum()), int(tables.sum()), int((known > 0).sum()), int(known.sum())]))
         return pa.Table.from_batches([_batch(rows, REPLIES)])
 
     return run
@@ -384,7 +397,7 @@ def seat_contexts(totals: list[int], seed: int, turn: int, parts: int, burn_in:
         if turn > burn_in:
             own.sum += own.predict().astype(np.float32)
         own.seat(np.random.default_rng([seed, turn, 0, own.name]))
-        return pa.Table.from_batches([_batch([(own.name, -1, slim(own.tables), own.sum.astype("<f4").tobytes(), None), *own.asks(parts)], ROUND)])
+        return pa.Table.from_batches([_batch([(own.name, -1, len(own.counts), slim(own.tables), own.sum.astype("<f4").tobytes() if turn > burn_in else None, None), *own.asks(parts)], ROUND)])
 
     return run
 
@@ -408,14 +421,14 @@ def answers(totals: list[int], samples: int):
 def score_block(n: int, v: int):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         found = found.sort_by("bucket")
-        parts = [np.frombuffer(b, "<f4") for b in found.column("logs").to_pylist()]
-        known = np.concatenate([wide(b, len(p)) for b, p in zip(found.column("known").to_pylist(), parts)])
-        logs = np.concatenate(parts).astype(np.float64)
+        found_logs = [np.frombuffer(b, "<f4") for b in found.column("logs").to_pylist()]
+        known = np.concatenate([wide(b, len(p)) for b, p in zip(found.column("known").to_pylist(), found_logs)])
+        logs = np.concatenate(found_logs).astype(np.float64)
         base = np.log10((known + 0.1) / (n + 0.1 * (v + 1)))
         ids = np.frombuffer(docs.column("doc_ids")[0].as_py(), "<i8")
         signed = np.frombuffer(docs.column("lengths")[0].as_py(), "<i8")
         lengths = np.abs(signed)
-        index = np.frombuffer(docs.column("index")[0].as_py(), "<u4")
+        index = wide(docs.column("index")[0].as_py(), int(lengths.sum()))
         starts = np.cumsum(lengths) - lengths
         names = [None if s < 0 else i for i, s in zip(ids.tolist(), signed.tolist())]
         total = lambda x: np.add.reduceat(x, starts)
@@ -440,18 +453,19 @@ def score(docs: DataFrame, buckets: int | None = None, seed: int = 1, burn_in: i
     # as many buckets as the input has; a block writes a row to each in which it has a key
     buckets = buckets or max(32, 4 * docs.rdd.getNumPartitions())
     parts = max(12, buckets // 4)
-    used: list[str] = []
+    used, seated, told_by = [], [], []
     with noted(used):
-        stored = persist(blocks(docs, buckets, id_col, text_col).withColumn("keys", F.col("bucket") >= 0), "blocks", "keys")
-    asked = stored.filter("keys").select("bucket", "block", "contexts", "runs", "words", "counts")
-    static = persist(asked.groupBy("bucket").applyInArrow(gather, STATIC), "restaurants")
-    reclaim(spark, [f"{p}/keys=true" for p in used])
+        made = blocks(docs, buckets, id_col, text_col).groupBy("bucket").applyInArrow(gather, STORED)
+        stored = persist(made.withColumn("restaurants", F.col("bucket") >= 0), "restaurants", "restaurants")
     release(spark)
+    static = stored.filter("restaurants").drop("block", "doc_ids", "lengths", "index", "restaurants")
     lean = static.drop("blocks")
-    asks = persist(lean.mapInArrow(first_asks(parts), ROUND), "asks")
+    with noted(seated):
+        asks = persist(lean.mapInArrow(first_asks(parts), ROUND), "asks")
     totals, dynamic = None, None
     for turn in range(burn_in + samples + 1):
-        replies = persist(asks.groupBy("part").applyInArrow(seat_root(totals, seed, turn), REPLIES), "replies")
+        with noted(told_by):
+            replies = persist(asks.groupBy("part").applyInArrow(seat_root(totals, seed, turn), REPLIES), "replies")
         summed = replies.filter("bucket < 0").select(F.posexplode("totals").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()
         if not summed:
             return spark.createDataFrame([], SCORES)
@@ -459,10 +473,16 @@ def score(docs: DataFrame, buckets: int | None = None, seed: int = 1, burn_in: i
         told = replies.filter("bucket >= 0").drop("totals")
         told = told if dynamic is None else told.unionByName(dynamic)
         if turn < burn_in + samples:
-            made = lean.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(seat_contexts(totals, seed, turn, parts, burn_in), ROUND)
-            made = persist(made, "seated")
+            before, seated = seated, []
+            with noted(seated):
+                made = lean.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(seat_contexts(totals, seed, turn, parts, burn_in), ROUND)
+                made = persist(made, "seated")
+            reclaim(spark, before + told_by)
+            told_by = []
             release(spark)
             asks, dynamic = made.filter("part >= 0"), made.filter("part < 0")
-    logs = static.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(answers(totals, samples), ANSWERS)
-    own = stored.filter("not keys").select("block", "doc_ids", "lengths", "index")
+    logs = persist(static.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(answers(totals, samples), ANSWERS), "answers")
+    reclaim(spark, seated + told_by + [f"{p}/restaurants=true" for p in used])
+    release(spark)
+    own = stored.filter("not restaurants").select("block", "doc_ids", "lengths", "index")
     return own.groupBy("block").cogroup(logs.groupBy("block")).applyInArrow(score_block(totals[3], totals[2]), SCORES)
