@@ -83,6 +83,16 @@ def split_join(rows: DataFrame, side: DataFrame, key: str, weight: str, how: str
     return warm.unionByName(rest)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each lengthened until none of ``columns`` has it; column names know no case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The texts of a batch as UTF-8 bytes; null counts as empty."""
     return [t or b"" for t in batch.column(column).to_pylist()]

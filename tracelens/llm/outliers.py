@@ -1,9 +1,10 @@
 """Robust multivariate outliers, in DataFrame operations only.
 
-Per language and source, the minimum-covariance-determinant estimate of a vector of text statistics: from
-deterministic starts, concentration steps keep the closest rows and re-estimate centre and scatter from
-them; the start that ends with the smaller determinant counts.  Documents whose squared Mahalanobis distance
-passes a chi-square quantile are rejected.
+Per language and source, the minimum-covariance-determinant estimate of a vector of text statistics: from the
+medians and from random elemental sets, concentration steps keep the closest rows and re-estimate centre and
+scatter from them; the start with the smallest determinant goes on until it settles.  A group's estimate is
+drawn towards its language's as if that had a few more rows, and a language's towards that of all rows.
+Documents whose squared Mahalanobis distance passes a chi-square quantile are rejected.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from .common import SPACE, persist
 VECTOR = {"word_length": 0.05, "symbols": 0.05, "dup_lines": 0.15, "repeats": 0.15, "upper": 0.05}
 COVERAGE = 0.75
 CUTOFF = 0.9999
-STEPS = 4
-#: Groups with fewer rows take the estimate of their language, then of all.
-MIN_ROWS = 100
-#: Distances are ranked by bins of 1/32 in log2.
-BIN = 32
+#: Random elemental starts, steps that all starts make, and steps that the best makes at most to settle.
+RANDOM, EARLY, LATE = 4, 2, 12
+SETTLED = 1e-3
+#: Rows that the estimate of the language, or of all, counts for in that of a group.
+PRIOR_ROWS = 30
+#: Distances are ranked by bins of 1/4096 in log2; those in the bin of the last row needed all belong.
+BIN = 4096
 #: Estimates are broadcast up to so many rows, else joined by a shuffle whose skew Spark splits.
 BROADCAST_ROWS = 20_000
 
@@ -110,8 +113,8 @@ def consistency(h: float, k: int) -> float:
     return h / chi_square_cdf(chi_square_quantile(h, k), k + 2)
 
 
-def _scatter_inverse(moments: DataFrame, names: list[str], factor: float, floors: dict[str, float]) -> DataFrame:
-    """m_i (centre), w_i_j (rows of the inverse Cholesky factor), log_det from means m_i and covariances c_i_j."""
+def _with_inverse(moments: DataFrame, names: list[str], factor: float, floors: dict[str, float]) -> DataFrame:
+    """``moments`` (means m_i, covariances c_i_j) with w_i_j (rows of the inverse Cholesky factor) and log_det."""
     p = len(names)
     out = moments
     for i in range(p):
@@ -129,8 +132,7 @@ def _scatter_inverse(moments: DataFrame, names: list[str], factor: float, floors
                 terms = sum((F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}") for k in range(j + 1, i)), F.col(f"l_{i}_{j}") * F.col(f"w_{j}_{j}"))
                 out = out.withColumn(f"w_{i}_{j}", -terms / F.col(f"l_{i}_{i}"))
     log_det = sum((F.log(f"l_{i}_{i}") for i in range(1, p)), F.log("l_0_0"))
-    keep = [c for c in moments.columns if not c.startswith("c_")]
-    return out.select(*keep, *[f"w_{i}_{j}" for i in range(p) for j in range(i + 1)], (2 * log_det).alias("log_det"))
+    return out.select(*moments.columns, *[f"w_{i}_{j}" for i in range(p) for j in range(i + 1)], (2 * log_det).alias("log_det"))
 
 
 def _distance(names: list[str]) -> Column:
@@ -141,65 +143,89 @@ def _distance(names: list[str]) -> Column:
     return total
 
 
-def _with(rows: DataFrame, estimates: DataFrame, keys: list[str]) -> DataFrame:
-    small = estimates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(estimates) if small else estimates, keys)
-
-
 def _moments(names: list[str]) -> list[Column]:
     """Means and covariances; every one is a sum that Spark combines before it shuffles."""
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
     return [F.count("*").alias("rows"), *[F.avg(n).alias(f"m_{i}") for i, n in enumerate(names)], *[F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i, j in pairs]]
 
 
-def estimates(rows: DataFrame, keys: list[str], coverage: float = COVERAGE, steps: int = STEPS, floors: dict[str, float] = VECTOR) -> DataFrame:
-    """Per value of ``keys``: rows, m_i, w_i_j and log_det of the minimum-covariance-determinant estimate."""
+def estimates(rows: DataFrame, keys: list[str], coverage: float = COVERAGE, random: int = RANDOM, floors: dict[str, float] = VECTOR) -> DataFrame:
+    """Per value of ``keys``: total (rows), rows (the closest ones), m_i and c_i_j of the minimum-covariance-
+    determinant estimate, before consistency factor and floors.
+
+    ``rows`` has a column hash, by which elemental sets of one row more than there are statistics are drawn.
+    """
     names = list(floors)
-    no = {n: 0.0 for n in names}
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
     factor = consistency(coverage, len(names))
     quantiles = rows.groupBy(*keys).agg(*[F.percentile_approx(n, [0.25, 0.5, 0.75], 1000).alias(f"q_{i}") for i, n in enumerate(names)], F.count("*").alias("rows"))
-    diagonal = [(F.pow((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(len(names)) for j in range(i + 1)]
+    quantiles = persist(quantiles, "mcd-rows")
+    groups, totals = quantiles.count(), quantiles.select(*keys, F.col("rows").alias("total"))
+    small = lambda frame, n: F.broadcast(frame) if n <= BROADCAST_ROWS else frame
+    diagonal = [(F.pow((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in pairs]
     by_median = quantiles.select(F.lit(0).alias("start"), *keys, "rows", *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(len(names))], *diagonal)
-    by_mean = rows.groupBy(*keys).agg(*_moments(names)).select(F.lit(1).alias("start"), *keys, "rows", *[f"m_{i}" for i in range(len(names))], *[f"c_{i}_{j}" for i in range(len(names)) for j in range(i + 1)])
-    now = persist(_scatter_inverse(by_median.unionByName(by_mean), names, 1.0, floors), "mcd")
-    totals = persist(rows.groupBy(*keys).agg(F.count("*").alias("total")), "mcd-rows")
-    group = ["start", *keys]
-    for _ in range(steps):
-        ranked = _with(rows, now.drop("rows", "log_det"), keys).withColumn("bin", F.floor(F.log2(_distance(names) + 1e-9) * BIN).cast("int"))
+    size = len(names) + 1
+    # Spark keeps the least of every task before the shuffle
+    drawn = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("hash", *names))).filter(F.col("_n") <= size * random)
+    by_sets = drawn.withColumn("start", F.ceil(F.col("_n") / size).cast("int")).groupBy("start", *keys).agg(*_moments(names))
+    now = persist(_with_inverse(by_median.unionByName(by_sets), names, 1.0, floors), "mcd")
+    group, told, last = ["start", *keys], random + 1, None
+    for step in range(EARLY + LATE):
+        model = now.select(*group, *[f"m_{i}" for i in range(len(names))], *[f"w_{i}_{j}" for i, j in pairs])
+        ranked = rows.join(small(model, groups * told), keys).withColumn("bin", F.floor(F.log2(_distance(names) + 1e-9) * BIN).cast("int"))
         bins = ranked.groupBy(*group, "bin").agg(F.count("*").alias("n"))
         upto = Window.partitionBy(*group).orderBy("bin")
-        held = bins.withColumn("upto", F.sum("n").over(upto)).join(totals, keys).filter(F.col("upto") >= F.ceil(F.col("total") * coverage))
+        held = bins.withColumn("upto", F.sum("n").over(upto)).join(small(totals, groups), keys).filter(F.col("upto") >= F.ceil(F.col("total") * coverage))
         limit = persist(held.groupBy(*group).agg(F.min("bin").alias("limit")), "mcd-limit")
-        closest = _with(ranked.drop(*[c for c in now.columns if c not in group]), limit, group).filter("bin <= limit")
-        now = persist(_scatter_inverse(closest.groupBy(*group).agg(*_moments(names)), names, factor, floors), "mcd")
-    best = now.groupBy(*keys).agg(F.min_by(F.struct("*"), F.struct("log_det", "start")).alias("best"))
-    return best.select(*keys, *[F.col(f"best.{c}").alias(c) for c in now.columns if c not in group and c != "rows"]).join(totals, keys)
-
-
-def robust_outliers(docs: DataFrame, coverage: float = COVERAGE, cutoff: float = CUTOFF, min_rows: int = MIN_ROWS, **columns: str) -> DataFrame:
+        closest = ranked.select(*group, *names, "bin").join(small(limit, groups * told), group).filter("bin <= limit")
+        now = _with_inverse(closest.groupBy(*group).agg(*_moments(names)), names, factor, floors)
+        if step == EARLY - 1:
+            now = now.groupBy(*keys).agg(F.min_by(F.struct("*"), F.struct("log_det", "start")).alias("best")).select("best.*")
+            told = 1
+        now = persist(now, "mcd")
+        if step >= EARLY - 1:
+            # only a number comes to the driver
+            fall = last and now.join(last, keys).agg(F.max(F.col("before") - F.col("log_det"))).first()[0]
+            if last and (fall is None or fall < SETTLED):
+                break
+            last = now.select(*keys, F.col("log_det").alias("before"))
+    return now.join(totals, keys).select(*keys, "total", "rows", *[f"m_{i}" for i in range(len(names))], *[f"c_{i}_{j}" for i, j in pairs])
+
+
+def drawn_towards(own: DataFrame, prior: DataFrame, keys: list[str], weight: float) -> DataFrame:
+    """``own`` with centre and covariances averaged with those of ``prior``, which counts for ``weight`` rows."""
+    cells = [c for c in own.columns if c[:2] in ("m_", "c_")]
+    both = own.join(prior.select(*keys, *[F.col(c).alias(f"p_{c}") for c in cells]), keys) if keys else own.crossJoin(F.broadcast(prior.select(*[F.col(c).alias(f"p_{c}") for c in cells])))
+    mixed = [((F.col("rows") * F.col(c) + F.lit(float(weight)) * F.col(f"p_{c}")) / (F.col("rows") + F.lit(float(weight)))).alias(c) for c in cells]
+    return both.select(*[c for c in own.columns if c not in cells], *mixed)
+
+
+def robust_outliers(docs: DataFrame, coverage: float = COVERAGE, cutoff: float = CUTOFF, prior_rows: float = PRIOR_ROWS, **columns: str) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, distance (squared, null if base_failed), cut, level (group, lang or all), kept.
+    base_failed, distance (squared, null if base_failed), cut, group_rows, kept.
 
     base_failed: fewer than 20 words, or more than 30 in 100 words in repeated 8-word windows.  Such rows are
     not kept and take no part in the estimates.  A null text has no words, so it fails.  Null languages and
-    sources are groups of their own.  Groups under ``min_rows`` rows use their language's estimate, languages
-    under it the estimate of all rows; where all are fewer, nothing but base_failed is rejected.
+    sources are groups of their own.  One rule holds for groups of all sizes: the estimate of a group with n
+    closest rows is n parts its own and ``prior_rows`` parts its language's, which is drawn to that of all rows
+    in the same way.  group_rows is the number of rows in a group's estimate.
     """
     marked = statistics(docs, **columns).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     # a null and the text "" must not share a key, nor may nulls be lost in a join
     key = lambda c: F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(c)))
-    rows = persist(marked.withColumn("k_lang", key("lang")).withColumn("k_source", key("source")).withColumn("k_all", F.lit(0)), "statistics")
-    fine = rows.filter("not base_failed")
+    rows = persist(marked.withColumn("k_lang", key("lang")).withColumn("k_source", key("source")), "statistics")
     names = list(VECTOR)
     cut = chi_square_quantile(cutoff, len(names))
-    out = rows
-    for level, keys in (("group", ["k_lang", "k_source"]), ("lang", ["k_lang"]), ("all", ["k_all"])):
-        found = persist(estimates(fine.select(*keys, *names), keys, coverage), "mcd-final").filter(F.col("total") >= min_rows)
-        small = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        cells = [c for c in found.columns if c not in keys]
-        out = out.join(F.broadcast(found) if small else found, keys, "left").withColumn(f"d_{level}", _distance(names)).drop(*cells)
-    distance = F.coalesce("d_group", "d_lang", "d_all")
-    level = F.when(F.col("d_group").isNotNull(), "group").when(F.col("d_lang").isNotNull(), "lang").when(F.col("d_all").isNotNull(), "all")
-    out = out.withColumn("distance", F.when(~F.col("base_failed"), distance)).withColumn("level", level)
+    # all three levels at once: a row counts in its group, in its language and in all
+    level = lambda n, a, b: F.struct(F.lit(n).alias("level"), a.alias("k_lang"), b.alias("k_source"))
+    one, two, none = F.col("k_lang"), F.col("k_source"), F.lit("")
+    fine = rows.filter("not base_failed").select(F.xxhash64("doc_id", *names).alias("hash"), *names, F.explode(F.array(level(0, one, two), level(1, one, none), level(2, none, none))).alias("l"))
+    found = persist(estimates(fine.select("l.*", "hash", *names), ["level", "k_lang", "k_source"], coverage), "mcd-final")
+    at = lambda n, *drop: found.filter(F.col("level") == n).drop("level", *drop)
+    by_lang = drawn_towards(at(1, "k_source"), at(2, "k_lang", "k_source"), [], prior_rows)
+    by_group = drawn_towards(at(0), by_lang, ["k_lang"], prior_rows)
+    model = persist(_with_inverse(by_group, names, consistency(coverage, len(names)), VECTOR).drop("log_det", "total"), "mcd-groups")
+    small = model.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    out = rows.join(F.broadcast(model) if small else model, ["k_lang", "k_source"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(names)))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= F.lit(cut), F.lit(True))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", F.lit(cut).alias("cut"), "level", kept.alias("kept"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", F.lit(cut).alias("cut"), F.col("rows").alias("group_rows"), kept.alias("kept"))
