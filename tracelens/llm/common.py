@@ -62,7 +62,11 @@ def reclaim(spark: SparkSession, paths: list[str]) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of what was written: it does when the driver's JVM collects their handles."""
+    """Let Spark delete the shuffle files of what was written: it does when the driver's JVM collects their handles.
+
+    The scheduler holds on to the last job's handles until the next one, so a job of one row goes before.
+    """
+    spark.range(1).count()
     spark.sparkContext._jvm.System.gc()
 
 
