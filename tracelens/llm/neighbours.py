@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,42 +55,29 @@ def nearest_pivots(v: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray
     return np.take_along_axis(part, np.argsort(np.take_along_axis(d, part, 1), axis=1, kind="stable"), 1)
 
 
-def blocked(rows: DataFrame, column: str, pivots: np.ndarray, prefix: int, block: int) -> DataFrame:
-    """The index of ``rows`` (v and the array of numbers ``column``) in blocks: a row of pivot -1 with the block's
-    vectors, how many numbers each has and the numbers, and a row per pivot with its inverted file, the rows that
-    hold the pivot and its place in each."""
+def blocked(rows: DataFrame, column: str, pivots: np.ndarray, prefix: int, size: int) -> DataFrame:
+    """The index of ``rows`` (v and the array of numbers ``column``) in blocks of about ``size``, dealt by hash: a
+    row of pivot -1 with the block's vectors, how many numbers each has and the numbers, and a row per pivot
+    with its inverted file, the rows that hold the pivot and its place in each."""
 
-    def run(batches):
-        held, numbers, made = [], [], 0
-        task = TaskContext.get().partitionId() << 32
-
-        def emit():
-            v = np.concatenate(held)
-            perms = nearest_pivots(v, pivots, prefix)
-            flat = perms.ravel()
-            order = np.argsort(flat, kind="stable")
-            edges = np.searchsorted(flat[order], np.arange(len(pivots) + 1))
-            owner, place = (order // prefix).astype("<u2"), (order % prefix).astype("<u2")
-            sizes = np.array([len(x) for x in numbers], "<u2")
-            rows = [(task + made, -1, len(v), v.astype("<f8").tobytes(), sizes.tobytes(), np.concatenate([np.array(x, "<i8") for x in numbers]).tobytes())]
-            rows += [(task + made, p, len(v), owner[x:y].tobytes(), place[x:y].tobytes(), None) for p, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["block", "pivot", "n", "a", "b", "c"])
-
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                piece = batch.slice(at, block - len(numbers))
-                held.append(piece.column("v").flatten().to_numpy(zero_copy_only=False).reshape(piece.num_rows, -1))
-                numbers += piece.column(column).to_pylist()
-                at += piece.num_rows
-                if len(numbers) == block:
-                    yield emit()
-                    held, numbers, made = [], [], made + 1
-        if numbers:
-            yield emit()
-
-    return rows.select("v", column).mapInArrow(run, INDEX)
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        block, n = key[0].as_py(), table.num_rows
+        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        perms = nearest_pivots(v, pivots, prefix)
+        flat = perms.ravel()
+        order = np.argsort(flat, kind="stable")
+        edges = np.searchsorted(flat[order], np.arange(len(pivots) + 1))
+        owner, place = (order // prefix).astype("<u2"), (order % prefix).astype("<u2")
+        numbers = table.column(column).combine_chunks()
+        sizes, flat = np.diff(numbers.offsets.to_numpy()).astype("<u2"), numbers.flatten().to_numpy().astype("<i8")
+        out = [(block, -1, n, v.astype("<f8").tobytes(), sizes.tobytes(), flat.tobytes())]
+        out += [(block, p, n, owner[x:y].tobytes(), place[x:y].tobytes(), None) for p, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["block", "pivot", "n", "a", "b", "c"])
+
+    blocks = max(1, -(-rows.count() // size))
+    dealt = rows.select("v", column, F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("block"))
+    return dealt.groupBy("block").applyInArrow(run, INDEX)
 
 
 def footrule(queries: int, vectors: int, prefix: int, files) -> np.ndarray:
@@ -180,13 +166,8 @@ def search(vectors: DataFrame, is_query, k: int = 10, pivots: int = PIVOTS, pref
     chosen = pick_pivots(drawn, min(pivots, len(drawn)))
     length = min(prefix, len(chosen))
 
-    def index(frame: DataFrame, column: str, size: int, name: str) -> DataFrame:
-        # full blocks, whatever the number of partitions that the rows came in
-        dealt = frame.repartition(max(1, -(-frame.count() // size)), F.xxhash64("v"))
-        return persist(blocked(dealt, column, chosen, length, size), name)
-
-    files = index(classes, "ids", block, "index")
-    queries = index(asked.select("v", F.array("no").alias("no")), "no", QUERY_BLOCK, "query-index")
+    files = persist(blocked(classes, "ids", chosen, length, block), "index")
+    queries = persist(blocked(asked.select("v", F.array("no").alias("no")), "no", chosen, length, QUERY_BLOCK), "query-index")
     queries = queries.select(F.col("block").alias("qblock"), "pivot", F.col("n").alias("qn"), F.col("a").alias("qa"), F.col("b").alias("qb"), F.col("c").alias("qc"))
     met = queries.filter("pivot >= 0").drop("qc").join(files.filter("pivot >= 0").drop("c"), "pivot")
     ranked = persist(met.groupBy("qblock", "block").applyInArrow(rank(length, k, share, least), "qblock long, block long, best binary"), "ranked")
