@@ -8,7 +8,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of anything but the six ASCII white-space characters.
@@ -87,6 +87,11 @@ def split_join(rows: DataFrame, side: DataFrame, key: str, weight: str, how: str
     return warm.unionByName(rest)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """``names``, each lengthened until none of ``columns`` has it; column names know no case."""
     taken, out = {c.lower() for c in columns}, []

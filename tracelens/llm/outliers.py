@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, persist
+from .common import SPACE, let, persist
 
 #: The statistics, each with the standard deviation that is added to the estimated scatter: shares that are 0 in
 #: most documents have no scatter of their own.
@@ -32,11 +32,6 @@ BIN = 4096
 BROADCAST_ROWS = 20_000
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _repeat_words(words: Column, window: int = 8) -> Column:
     """Words inside windows of 8 that occur twice or more, the first included."""
 
