@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from .common import WORDS, persist, slices
 
 FEATURES = 1 << 20
-#: At most so many labelled documents are fitted on, those with the lowest hashes of their ids.
-LABELLED = 8_000
+#: At most so many labelled documents are fitted on, those with the lowest hashes of their ids, and of them
+#: those with so many distinct words and word starts at most: 256 MB of features on the driver whatever the input.
+LABELLED, WIDEST = 8_000, 8_192
 #: Rounds of exchange, and how many documents of each class a view hands over in each.
 ROUNDS, EXCHANGED = 2, 400
-#: Share of the labelled documents that calibrates, and the least probability for a document to stay.
-HELD_BACK, THRESHOLD = 0.25, 0.5
+#: Share of the labelled documents that calibrates, and the least probability for a document to stay: a bad one
+#: that stays does more harm than a good one that goes.
+HELD_BACK, THRESHOLD = 0.25, 0.65
 PREFIX = 4
 
 ROWS = "doc_id long, words binary, meta binary"
@@ -153,15 +155,17 @@ class Model:
         a, b = content.score(words), meta.score(x)
         self.platt = [newton(np.stack([np.ones(len(y)), s], 1), y, 1e-3) for s in (a, b)]
         self.mix = newton(np.stack([np.ones(len(y)), *self.calibrated(a, b)], 1), y, 1e-3)
+        # fits weigh both classes the same; probabilities are for the classes as often as they are labelled
+        self.prior = np.log(y.sum() / (1 - y).sum())
 
     def calibrated(self, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
         return [np.clip(p[0] + p[1] * s, -12, 12) for p, s in zip(self.platt, (a, b))]
 
-    def predict(self, words: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probabilities of good quality by content, by metadata and by both."""
+    def predict(self, words: list[np.ndarray], x: np.ndarray, even: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities of good quality by content, by metadata and by both; ``even``: if both classes were as frequent."""
         u, v = self.calibrated(self.content.score(words), self.meta.score(x))
         z = self.mix[0] + self.mix[1] * u + self.mix[2] * v
-        return tuple(1 / (1 + np.exp(-np.clip(s, -30, 30))) for s in (u, v, z))
+        return tuple(1 / (1 + np.exp(-np.clip(s + (0 if even else self.prior), -30, 30))) for s in (u, v, z))
 
 
 def _matrix(meta: list[bytes]) -> np.ndarray:
@@ -172,18 +176,29 @@ def _words(column: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(b, "<i4") for b in column]
 
 
-def _scored(rows: DataFrame, sent) -> DataFrame:
+def _scored(rows: DataFrame, sent, even: bool = False) -> DataFrame:
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 if part.num_rows:
-                    got = sent.value.predict(_words(part.column("words").to_pylist()), _matrix(part.column("meta").to_pylist()))
+                    got = sent.value.predict(_words(part.column("words").to_pylist()), _matrix(part.column("meta").to_pylist()), even)
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(g, pa.float64()) for g in got]], names=["doc_id", "content_score", "metadata_score", "score"])
 
     return rows.mapInArrow(run, "doc_id long, content_score double, metadata_score double, score double")
 
 
+def _chosen(rows: DataFrame, labels: DataFrame) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray]:
+    """Ids in an order of their own, features and labels of the documents in ``labels`` (bounded); an id on several
+    rows counts once, with the same one of them however rows are split."""
+    met = rows.filter(F.octet_length("words") <= 4 * WIDEST).join(F.broadcast(labels), "doc_id")
+    one = met.groupBy("doc_id").agg(F.min("good").alias("good"), F.min_by(F.struct("words", "meta"), F.xxhash64("words", "meta")).alias("f"))
+    found = one.select("doc_id", "good", "f.words", "f.meta").toArrow()
+    order = np.argsort([zlib.crc32(b"%d" % i) for i in found.column("doc_id").to_pylist()], kind="stable")
+    found = found.take(pa.array(order))
+    return found.column("doc_id").to_pylist(), _words(found.column("words").to_pylist()), _matrix(found.column("meta").to_pylist()), np.array(found.column("good").to_pylist(), np.float64)
+
+
 def fit(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, exchanged: int = EXCHANGED) -> Model | None:
     """The co-trained model from feature ``rows`` and ``labels`` (doc_id, good), or None if a class is missing.
 
@@ -193,14 +208,10 @@ def fit(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     truth = labels.filter("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("good"))
     some = truth.join(rows.select("doc_id").distinct(), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     some = persist(some, "labelled")
-    own = rows.join(F.broadcast(some), "doc_id").collect()  # at most `labelled` documents
-    own = list({r.doc_id: r for r in own}.values())
-    own.sort(key=lambda r: zlib.crc32(b"%d" % r.doc_id))
-    back = int(len(own) * HELD_BACK)
-    y = np.array([r.good for r in own], np.float64)
+    ids, words, x, y = _chosen(rows, some)  # at most `labelled` documents
+    back = int(len(ids) * HELD_BACK)
     if min(y[:back].sum(), (1 - y[:back]).sum(), y[back:].sum(), (1 - y[back:]).sum()) < 1:
         return None
-    words, x = _words([r.words for r in own]), _matrix([r.meta for r in own])
     sets = {v: (words[back:], x[back:], y[back:]) for v in ("content", "meta")}
 
     def trained() -> Model:
@@ -211,7 +222,7 @@ def fit(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
         # all documents are scored and labelled ones left out then, so that features stay where they are
-        scores = persist(_scored(rows.filter("doc_id is not null"), sent).join(truth, "doc_id", "left_anti"), "scores")
+        scores = persist(_scored(rows.filter("doc_id is not null"), sent, True).join(truth, "doc_id", "left_anti"), "scores")
         for by, to in (("content_score", "meta"), ("metadata_score", "content")):
             # the surest of all unlabelled documents, both ways, beyond what was handed over before
             sure = []
@@ -222,9 +233,9 @@ def fit(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
             if not sure:
                 continue
             label = spark.createDataFrame(sure, "doc_id long, good int")
-            new = list({r.doc_id: r for r in rows.join(F.broadcast(label), "doc_id").collect()}.values())
+            _, new_words, new_x, new_y = _chosen(rows, label)
             w, m, t = sets[to]
-            sets[to] = (w + _words([r.words for r in new]), np.concatenate([m, _matrix([r.meta for r in new])]), np.append(t, [r.good for r in new]))
+            sets[to] = (w + new_words, np.concatenate([m, new_x]), np.append(t, new_y))
         model = trained()
     return model
 
@@ -255,13 +266,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
     def run(batches):
         for batch in slices(batches):
-            fine = []
+            words, meta = [], []
             for t, lang, source, n in zip(*(batch.column(named[c]).to_pylist() for c in ("text", "lang", "source", "n_chars"))):
                 data = text_of(t)
                 split = data.split()
-                score = sent.value.predict([word_features(split)], meta_features(data, split, lang, source, n)[None, :].astype(np.float64))[2][0]
-                fine.append(bool(score >= threshold))
-            yield batch.filter(pa.array(fine, pa.bool_()))
+                words.append(word_features(split))
+                meta.append(meta_features(data, split, lang, source, n))
+            if words:
+                yield batch.filter(pa.array(sent.value.predict(words, np.stack(meta).astype(np.float64))[2] >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
