@@ -21,8 +21,8 @@ CAPACITY = 2048
 PIECES_PER_TASK = 40_000
 KEPT_WORDS = 700_000
 
-PIECES = pa.schema([("doc_id", pa.int64()), ("copy_key", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-PIECES_SQL = "doc_id long, copy_key long, piece int, start long, length long, ids_crc32 long"
+PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -77,23 +77,23 @@ def encoder(path: str):
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, copy_key, piece, start, length, ids_crc32 of every document's tokens and ``end_id``.
+    """doc_id, piece, start, length, ids_crc32 of every document's tokens and ``end_id``.
 
     A null or empty text is the end token alone.  Documents over ``capacity`` tokens are cut every
-    ``capacity`` tokens.  copy_key tells repeated rows apart only by where they were read.
+    ``capacity`` tokens.
     """
     end = np.array([end_id], "<u4").tobytes()
     step = 4 * capacity
 
     def cut(batches):
-        encode, n = encoder(tokenizer), 0
+        encode = encoder(tokenizer)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids, n = encode(text or "") + end, n + 1
+                ids = encode(text or "") + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
-                    rows.append((doc_id, n, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECES)], schema=PIECES)
 
@@ -138,13 +138,17 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Pieces are dealt by a hash over as many tasks as ``per_task`` asks for and packed there longest first,
-    ties by crc, id and piece, so that reruns agree.  Repeated rows are packed as often as they occur.
+    ties by crc, id and piece, so that reruns agree however rows are split.  Repeated rows are packed as often
+    as they occur: equal pieces are counted and dealt one by one, so that copies don't meet in one task.
     sequence_id is the task's number times 2**40 plus the sequence's in the task.  An empty table gives no rows.
     """
     stored = persist(pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
     tasks = max(1, -(-stored.filter(F.col("length") < capacity).count() // per_task))
     full = stored.filter(F.col("length") == capacity)
-    dealt = stored.filter(F.col("length") < capacity).withColumn("task", F.pmod(F.xxhash64("doc_id", "piece", "copy_key"), F.lit(tasks)).cast("int"))
+    own = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    counted = stored.filter(F.col("length") < capacity).groupBy(*own).agg(F.count("*").alias("n"))
+    single = counted.select(*own, F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    dealt = single.withColumn("task", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "copy"), F.lit(tasks)).cast("int"))
 
     def fill(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("ids_crc32", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
@@ -153,6 +157,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         return table.select(["doc_id", "piece", "start", "length", "ids_crc32"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     partial = dealt.groupBy("task").applyInArrow(fill, PACKED_SQL)
-    alone = full.select("doc_id", "piece", "start", "length", "ids_crc32", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    alone = full.select(*own, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     # ids of whole sequences are below those of packed ones as long as a table has under 2**31 partitions
     return alone.withColumn("sequence_id", -F.col("sequence_id") - 1).unionByName(partial)
