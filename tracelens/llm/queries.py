@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +48,8 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.plan(documents(spark, sf_dir))
-    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    at = lambda k: F.round(F.get("positions", F.lit(k)), 6)
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", at(0).alias("position"), at(1).alias("position_again"))
 
 
 def op9_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +72,7 @@ def queries() -> dict:
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS o
+         md5(coalesce(doc_id::VARCHAR, 'text ' || coalesce(text, ''))) AS o
   FROM documents),
 named AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS ordinal
@@ -85,18 +88,37 @@ levels AS (
 open_level AS (
   SELECT arg_min(level, (cap / weight, ordinal)) AS level FROM levels WHERE cap > level * weight),
 t AS (
-  SELECT source, source_size, CASE WHEN cap <= l.level * weight THEN cap ELSE o.level * weight END AS target
+  SELECT source, ordinal, source_size, CASE WHEN cap <= l.level * weight THEN cap ELSE o.level * weight END AS target
   FROM levels l CROSS JOIN open_level o),
 placed AS (
-  SELECT d.*, t.source_size, t.target,
+  SELECT d.*, t.ordinal, t.source_size, t.target,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, round(target, 6) AS target,
-       (size * (CASE WHEN size > 0 AND 2 * start + size < 2 * target THEN 1 ELSE 0 END
-              + CASE WHEN size > 0 AND 2 * (start + source_size) + size < 2 * target THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM placed
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+readings AS (
+  SELECT *, start AS r0, start + source_size AS r1, size > 0 AND 2 * start + size < 2 * target AS once,
+         size > 0 AND 2 * (start + source_size) + size < 2 * target AS twice
+  FROM placed),
+demands AS (
+  SELECT *, least(r0 / target, 1.0::DOUBLE) * CASE ordinal % 3 WHEN 0 THEN 1.0::DOUBLE ELSE 1.125::DOUBLE END AS n0,
+         least(r1 / target, 1.0::DOUBLE) * CASE ordinal % 3 WHEN 0 THEN 1.0::DOUBLE ELSE 1.125::DOUBLE END AS n1
+  FROM readings)
+SELECT doc_id, size, source_size, round(target, 6) AS target, (size * (once::INT + twice::INT))::BIGINT AS taken,
+       CASE WHEN once THEN round(POSITION0, 6) END AS position, CASE WHEN twice THEN round(POSITION1, 6) END AS position_again
+FROM demands
 """
 
 
+#: The inverse of each schedule's integral: constant; falling from 2 to 1 at half time and to 0.5; its mirror image.
+INVERSE_SQL = """CASE ordinal % 3
+         WHEN 0 THEN CASE WHEN n < 1.0 THEN n ELSE 1.0::DOUBLE END
+         WHEN 1 THEN CASE WHEN n < 0.75 THEN 2 * n / (2 + sqrt(greatest(4 - 4 * n, 0)))
+                          WHEN n < 1.125 THEN 0.5 + 2 * (n - 0.75) / (1 + sqrt(greatest(1 - 2 * (n - 0.75), 0))) ELSE 1.0::DOUBLE END
+         ELSE CASE WHEN n < 0.375 THEN 2 * n / (0.5 + sqrt(greatest(0.25 + 2 * n, 0)))
+                   WHEN n < 1.125 THEN 0.5 + 2 * (n - 0.375) / (1 + sqrt(greatest(1 + 4 * (n - 0.375), 0))) ELSE 1.0::DOUBLE END END"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_curriculum_mix": MIX_SQL}
+    sql = MIX_SQL
+    for k in "01":
+        sql = sql.replace(f"POSITION{k}", re.sub(r"\bn\b", f"n{k}", INVERSE_SQL))
+    return {"op8_curriculum_mix": sql}
