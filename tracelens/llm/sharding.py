@@ -1,16 +1,19 @@
 """Fixed virtual slots: records hash into thousands of slots, a versioned map puts slots on shards.
 
-``slot_table`` aggregates rows and bytes per slot, ``first_map`` writes version 1 of the map and ``edit_map``
+``slot_table`` aggregates rows and bytes per slot, ``first_map`` makes version 1 of the map and ``edit_map``
 the next version when shards are added, removed or out of balance.  Only the slots that an edit names move.
-The map has ``slots`` rows whatever the data, so it may be held by the driver and broadcast.
+``store_map`` keeps every version in a folder, ``load_map`` reads the newest or a given one, and ``rebalance``
+does both.  The map has ``slots`` rows whatever the data, so it may be held by the driver and broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import persist
+from .common import persist, work_dir
 
 SLOTS = 4096
 
@@ -18,7 +21,7 @@ SLOTS = 4096
 def with_slots(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text, null none, plus 1), text_crc32, vslot.
 
-    Null texts have the check sum of empty text.  A null id goes to the slot that hashing null gives.
+    Null texts have the check sum of empty text.  A document without an id goes to the slot of its text.
     Repeated rows share a slot; columns besides id and text are left behind.
     """
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
@@ -26,7 +29,7 @@ def with_slots(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(slots)).cast("int").alias("vslot"),
+        F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(F.col(id_col).cast("long"))), F.lit(slots)).cast("int").alias("vslot"),
     )
 
 
@@ -85,23 +88,47 @@ def edit_map(old: list[tuple[int, int, int]], sizes: dict[int, int], shards: int
     return sorted((version, slot, shard) for slot, shard in shard_of.items())
 
 
-def map_frame(spark, entries: list[tuple[int, int, int]]) -> DataFrame:
-    return spark.createDataFrame(entries, "version int, vslot int, shard int")
+def store_map(spark: SparkSession, entries: list[tuple[int, int, int]], folder: str) -> None:
+    """Add a version of the map to ``folder``, a path that all executors share; a version is written once."""
+    version = max(v for v, _, _ in entries)
+    made = spark.createDataFrame([(s, k) for _, s, k in entries], "vslot int, shard int")
+    made.coalesce(1).write.parquet(f"{folder}/version={version}")
+
+
+def load_map(spark: SparkSession, folder: str, version: int | None = None) -> list[tuple[int, int, int]]:
+    """The entries (version, vslot, shard) of a stored version, the newest if none is named."""
+    found = spark.read.schema("vslot int, shard int, version int").parquet(folder)
+    version = version or found.agg(F.max("version")).first()[0]
+    return sorted((r.version, r.vslot, r.shard) for r in found.filter(F.col("version") == version).collect())
+
+
+def slot_sizes(table: DataFrame) -> dict[int, int]:
+    """Bytes by slot: at most as many as there are slots."""
+    return {r.vslot: r.n_bytes for r in table.collect()}
+
+
+def rebalance(docs: DataFrame, folder: str, shards: int, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, int, int]]:
+    """Edit the newest stored map for ``shards`` shards and the present bytes per slot, and store the edit."""
+    edited = edit_map(load_map(docs.sparkSession, folder), slot_sizes(slot_table(with_slots(docs, slots, id_col, text_col))), shards)
+    store_map(docs.sparkSession, edited, folder)
+    return edited
 
 
-def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, version: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, vslot, shard, slot (row number in its shard, gapless from 0), map_version.
 
-    ``version`` is a stored slot-to-shard map; without one, version 1 is made from the bytes per slot.
-    Rows of a shard are numbered by virtual slot, then id: a window per virtual slot (1 of ``slots`` of the
-    rows) plus the sum of the slots before it.  An empty table gives no rows.
+    ``folder`` holds the stored maps, the newest of which counts; without a folder, version 1 is made from
+    the bytes per slot and stored in the work folder.  Rows of a shard are numbered by
+    virtual slot, then id: a window per virtual slot (1 of ``slots`` of the rows) plus the sum of the slots
+    before it.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = persist(with_slots(docs, slots, id_col, text_col), "slots")
     table = slot_table(rows)
-    if version is None:
-        sizes = {r.vslot: r.n_bytes for r in table.collect()}  # at most `slots` rows
-        version = map_frame(spark, first_map(sizes, shards, slots))
+    if folder is None:
+        folder = f"{work_dir(spark)}/tracelens/slot-map-{uuid.uuid4().hex}"
+        store_map(spark, first_map(slot_sizes(table), shards, slots), folder)
+    version = spark.createDataFrame(load_map(spark, folder), "version int, vslot int, shard int")
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         table.join(F.broadcast(version), "vslot")
