@@ -108,14 +108,21 @@ def blocks(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str
 
         def emit():
             lengths = np.array([len(p) - 1 for p in parts], np.int64)
-            distinct, place = np.unique(np.concatenate(parts), return_inverse=True)
+            flat = np.concatenate(parts)
+            parts.clear()
+            distinct, place = np.unique(flat, return_inverse=True)
+            del flat
             # every part begins with the start symbol, which precedes its first word
             ends = np.cumsum(lengths + 1)
             word = np.ones(len(place), bool)
             word[ends - lengths - 1] = False
             before = np.ones(len(place), bool)
             before[ends - 1] = False
-            keys, index = np.unique(place[before].astype(np.uint64) << np.uint64(32) | place[word].astype(np.uint64), return_inverse=True)
+            pair = place[before].astype(np.uint64) << np.uint64(32)
+            pair |= place[word].astype(np.uint64)
+            del place, before, word
+            keys, index = np.unique(pair, return_inverse=True)
+            del pair
             train = np.repeat(np.array([not held_out(i) for i in ids]), lengths)
             counts = np.bincount(index, weights=train, minlength=len(keys)).astype(np.int64)
             context, words = (keys >> np.uint64(32)).astype(np.int64), distinct[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)]
@@ -312,16 +319,17 @@ class Bucket:
         self.counts = wide(row["counts"], row["n_keys"])
         self.starts = np.cumsum(self.runs) - self.runs
         self.tables = np.minimum(self.counts, 1)
-        self.sum = np.zeros(row["n_keys"], np.float32)
-        seen = sorted(replies.to_pylist(), key=lambda r: r["part"])
+        self.customers_of = np.repeat(self.total(self.counts), self.runs)
+        self.hear(replies.to_pylist(), root)
+
+    def hear(self, replies: list[dict], root: Root) -> None:
+        """Take in the root's replies, and the seating that they were asked with."""
+        seen = sorted(replies, key=lambda r: r["part"])
         if seen and seen[0]["part"] < 0:
-            before = seen.pop(0)
-            self.tables = wide(before["a"], row["n_keys"])
-            self.sum = np.frombuffer(before["b"], "<f4").copy() if before["b"] else self.sum
+            self.tables = wide(seen.pop(0)["a"], len(self.counts))
         if seen:
             customers, tables, self.known = (np.concatenate([wide(r[c], r["n"]) for r in seen]) for c in "abc")
             self.base = root.predict(customers, tables)[self.place]
-        self.customers_of = np.repeat(self.total(self.counts), self.runs)
 
     def total(self, x: np.ndarray) -> np.ndarray:
         """Sums per context."""
@@ -388,26 +396,28 @@ def seat_root(before: list[int] | None, seed: int, turn: int):
     return run
 
 
-def seat_contexts(totals: list[int], seed: int, turn: int, parts: int, burn_in: int):
-    """cogroup of a bucket with the root's replies: seat its customers and ask again; from the round after
-    ``burn_in`` on, the prediction of the seating before is added up."""
+def seat_contexts(totals: list[int], seed: int, turn: int, parts: int):
+    """cogroup of a bucket with the root's replies: seat its customers, keep the seating, and ask again."""
 
     def run(static: pa.Table, replies: pa.Table) -> pa.Table:
         own = Bucket(static, replies, Root(totals))
-        if turn > burn_in:
-            own.sum += own.predict().astype(np.float32)
         own.seat(np.random.default_rng([seed, turn, 0, own.name]))
-        return pa.Table.from_batches([_batch([(own.name, -1, len(own.counts), slim(own.tables), own.sum.astype("<f4").tobytes() if turn > burn_in else None, None), *own.asks(parts)], ROUND)])
+        return pa.Table.from_batches([_batch([(own.name, -1, len(own.counts), slim(own.tables), None, None), *own.asks(parts)], ROUND)])
 
     return run
 
 
-def answers(totals: list[int], samples: int):
-    """cogroup of a bucket with the root's last replies: averaged log10 probabilities and word counts, by block."""
+def answers(totals: dict[int, list[int]]):
+    """cogroup of a bucket with the replies of all rounds that count: averaged log10 probabilities and word counts, by block."""
 
     def run(static: pa.Table, replies: pa.Table) -> pa.Table:
-        own = Bucket(static, replies, Root(totals))
-        logs = np.log10((own.sum + own.predict()) / samples).astype("<f4")
+        own = Bucket(static, EMPTY, Root([0, 0, 0, 0]))
+        found = replies.to_pylist()
+        p = np.zeros(len(own.counts))
+        for turn, sums in totals.items():
+            own.hear([r for r in found if r["turn"] == turn], Root(sums))
+            p += own.predict()
+        logs = np.log10(p / len(totals)).astype("<f4")
         known = own.known[own.place]
         rows = []
         for b in own.blocks:
@@ -453,36 +463,38 @@ def score(docs: DataFrame, buckets: int | None = None, seed: int = 1, burn_in: i
     # as many buckets as the input has; a block writes a row to each in which it has a key
     buckets = buckets or max(32, 4 * docs.rdd.getNumPartitions())
     parts = max(12, buckets // 4)
-    used, seated, told_by = [], [], []
-    with noted(used):
+    written, asked_by = [], []
+    with noted(written):
         made = blocks(docs, buckets, id_col, text_col).groupBy("bucket").applyInArrow(gather, STORED)
         stored = persist(made.withColumn("restaurants", F.col("bucket") >= 0), "restaurants", "restaurants")
     release(spark)
     static = stored.filter("restaurants").drop("block", "doc_ids", "lengths", "index", "restaurants")
     lean = static.drop("blocks")
-    with noted(seated):
+    with noted(asked_by):
         asks = persist(lean.mapInArrow(first_asks(parts), ROUND), "asks")
-    totals, dynamic = None, None
+    seats, counted, totals, sums = None, None, {}, None
     for turn in range(burn_in + samples + 1):
-        with noted(told_by):
-            replies = persist(asks.groupBy("part").applyInArrow(seat_root(totals, seed, turn), REPLIES), "replies")
+        replies = persist(asks.groupBy("part").applyInArrow(seat_root(sums, seed, turn), REPLIES), "replies")
+        reclaim(spark, asked_by)
         summed = replies.filter("bucket < 0").select(F.posexplode("totals").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()
         if not summed:
             return spark.createDataFrame([], SCORES)
-        totals = [int(r.x) for r in summed]
+        sums = [int(r.x) for r in summed]
         told = replies.filter("bucket >= 0").drop("totals")
-        told = told if dynamic is None else told.unionByName(dynamic)
+        told = told if seats is None else told.unionByName(seats)
+        if turn > burn_in:
+            totals[turn] = sums
+            own = told.withColumn("turn", F.lit(turn))
+            counted = own if counted is None else counted.unionByName(own)
         if turn < burn_in + samples:
-            before, seated = seated, []
-            with noted(seated):
-                made = lean.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(seat_contexts(totals, seed, turn, parts, burn_in), ROUND)
-                made = persist(made, "seated")
-            reclaim(spark, before + told_by)
-            told_by = []
+            made = lean.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(seat_contexts(sums, seed, turn, parts), ROUND)
+            with noted(asked_by):
+                both = persist(made.withColumn("asks", F.col("part") >= 0), "seated", "asks")
+            asked_by = [f"{p}/asks=true" for p in asked_by]
             release(spark)
-            asks, dynamic = made.filter("part >= 0"), made.filter("part < 0")
-    logs = persist(static.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(answers(totals, samples), ANSWERS), "answers")
-    reclaim(spark, seated + told_by + [f"{p}/restaurants=true" for p in used])
+            asks, seats = both.filter("asks").drop("asks"), both.filter("not asks").drop("asks")
+    logs = persist(static.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(answers(totals), ANSWERS), "answers")
+    reclaim(spark, [f"{p}/restaurants=true" for p in written])
     release(spark)
     own = stored.filter("not restaurants").select("block", "doc_ids", "lengths", "index")
-    return own.groupBy("block").cogroup(logs.groupBy("block")).applyInArrow(score_block(totals[3], totals[2]), SCORES)
+    return own.groupBy("block").cogroup(logs.groupBy("block")).applyInArrow(score_block(sums[3], sums[2]), SCORES)
