@@ -26,8 +26,8 @@ RANDOM, EARLY, LATE = 4, 2, 12
 SETTLED = 1e-3
 #: Rows that the estimate of the language, or of all, counts for in that of a group.
 PRIOR_ROWS = 30
-#: Distances are ranked by bins of 1/4096 in log2; those in the bin of the last row needed all belong.
-BIN = 4096
+#: Distances are ranked by bins of 1/512 in log2; those in the bin of the last row needed all belong.
+BIN = 512
 #: Estimates are broadcast up to so many rows, else joined by a shuffle whose skew Spark splits.
 BROADCAST_ROWS = 20_000
 
