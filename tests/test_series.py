@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from tracelens.functions import scalars
 from tracelens.model import Interval, Query, Span, merge, subtract
 from tracelens.operators import buckets, error, intervals, pixels
-from tracelens.plans import planner, workload
+from tracelens.plans import experiments, planner, workload
 from tracelens.plans.catalog import SpanCatalog
 from tracelens.plans.session import VizSession
 from tracelens.sources import sinks
-from tracelens.sources.series import CsvConfig, JdbcConfig, LongTable, TableConfig, open_source
+from tracelens.sources.series import CsvConfig, FieldStoreConfig, JdbcConfig, LongTable, TableConfig, open_source
 from tracelens.streaming import groups as stream
 
 POINTS = [(0, 5.0), (3, 9.0), (7, 9.0), (9, 1.0), (10, 1.0), (15, 4.0), (19, 4.0), (20, 100.0)]
@@ -86,6 +86,18 @@ def test_catalog_keeps_resolutions_apart(spark, tmp_path):
     assert c.lookup("m", Interval(21, 30), 1) == [] and c.first("m") == c.last("m") and c.drop("m", Interval(0, 1)) == 1
 
 
+def test_dropped_spans_stay_dropped(spark, tmp_path):
+    c = SpanCatalog(spark, str(tmp_path))
+    put = lambda x, v: c.insert([("m", x, -1)], series(spark, [(x.start, v)]).withColumn("u_id", F.lit(0)), True)[0]
+    a, b = put(Interval(0, 10), 1), put(Interval(10, 20), 2)
+    assert c.predecessor(b) == a and c.successor(a) == b and c.predecessor(a) is None and c.first_overlapping("m", Interval(5, 15)) == a
+    assert a.residual(Interval(5, 15)) == [Interval(10, 15)] and a.residual(Interval(2, 8)) == []
+    assert c.drop("m", Interval(0, 5)) == 1
+    z = put(Interval(20, 30), 3)
+    assert len({a.span_id, b.span_id, z.span_id}) == 3
+    assert [r.v for r in c.rows([z], True).collect()] == [3.0] and [r.v for r in c.rows([b], True).collect()] == [2.0]
+
+
 def test_csv_source_and_sinks(spark, tmp_path):
     folder = tmp_path / "wide"
     folder.mkdir()
@@ -98,11 +110,53 @@ def test_csv_source_and_sinks(spark, tmp_path):
     assert [tuple(r)[1:] for r in wide] == [(1, None), (2, 3), (-1, 4), (5, None)]
     sinks.write_per_measure(s.raw(), str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 6
+    day = 1704067200000
+    assert [f.rsplit("/", 1)[1] for f in s.reached([Interval(day + 2000, day + 9000)])] == ["b.csv"]
+    assert {(r.measure, r.v) for r in s.raw([Interval(day + 1000, day + 3000)]).collect()} == {("x", 2.0), ("y", 3.0), ("x", -1.0), ("y", 4.0)}
+    assert s.raw([Interval(day, day + 1000)]).inputFiles()[0].endswith("a.csv") and len(s.raw([Interval(day, day + 1000)]).inputFiles()) == 1
+    assert s.raw([Interval(0, 5)]).count() == 0 and s.metadata() == (Interval(day, day + 3001), ["x", "y"], 1000)
+    (folder / "c.csv").write_text("time,x,y\n2024-01-01 00:00:04.000,1,1\n2024-01-01 00:00:09.000,2,3\n")
+    with pytest.raises(ValueError, match="sampling"):
+        open_source(spark, CsvConfig(str(folder), "time"))
     for bad in (lambda: CsvConfig("", "t"), lambda: CsvConfig("p", "t", ";;"), lambda: JdbcConfig("u", "t", "", "p")):
         with pytest.raises(ValueError):
             bad()
 
 
+def test_jdbc_source_on_an_embedded_store(spark, tmp_path):
+    """Derby comes with Spark: ranges are read in parts, and groups are made by the store."""
+    url = f"jdbc:derby:{tmp_path}/store;create=true"
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    day = 1704067200000
+    points = [("m", day + 250 * k, float(k % 7)) for k in range(40)] + [("n", day + 1000, 5.0), ("n", day + 2000, None)]
+    frame = spark.createDataFrame(points, "ID string, t long, VALUE_ double").select("ID", F.timestamp_millis("t").alias("AT"), "VALUE_")
+    frame.write.format("jdbc").options(url=url, dbtable="POINTS", driver=driver, createTableColumnTypes="ID varchar(20)").save()
+    millis = "{{fn TIMESTAMPDIFF(SQL_TSI_FRAC_SECOND, TIMESTAMP('2024-01-01 00:00:00'), {time})}} / 1000000 + " + str(day)
+    config = JdbcConfig(url, "POINTS", "app", "app", "ID", "AT", "VALUE_", driver, 4, millis)
+    s = open_source(spark, config)
+    x = Interval(day + 1000, day + 8000)
+    got = s.raw([x], ["m"])
+    assert got.rdd.getNumPartitions() == 4 and len(s.predicates([x], ["m"])) == 4
+    assert sorted((r.t, r.v) for r in got.collect()) == sorted((t, v) for m, t, v in points if m == "m" and x.contains(t))
+    assert s.raw().count() == 41 and s.measures() == ["m", "n"]
+    groups = {(r.measure, r.k): tuple(r)[2:] for r in s.groups(x, 2000).collect()}
+    own = {}
+    for m, t, v in points:
+        if v is not None and x.contains(t):
+            own.setdefault((m, (t - x.start) // 2000), []).append(v)
+    assert groups == {k: (len(v), sum(v), min(v), max(v)) for k, v in own.items()}
+
+
+def test_field_store_in_files(spark, tmp_path):
+    head = "#datatype,string,string,double,dateTime:RFC3339\n_measurement,_field,_value,_time\n"
+    (tmp_path / "a.csv").write_text(head + "plant,x,1.5,2024-01-01T00:00:00Z\nother,x,9,2024-01-01T00:00:00Z\n")
+    (tmp_path / "b.csv").write_text(head + "plant,y,2.5,2024-01-01T00:00:01Z\nplant,x,,2024-01-01T00:00:02Z\n")
+    s = open_source(spark, FieldStoreConfig(f"{tmp_path}/a.csv,{tmp_path}/b.csv", "t", "o", "b", "plant", "fieldfiles"))
+    day = 1704067200000
+    assert sorted(tuple(r) for r in s.raw().collect()) == [("x", day, 1.5), ("y", day + 1000, 2.5)]
+    assert [r.measure for r in s.raw([Interval(day + 500, day + 5000)]).collect()] == ["y"]
+
+
 def test_range_filters_reach_the_scan(spark):
     plan = open_source(spark, TableConfig("/root/testdata/sf0.001/events.parquet")).raw([Interval(1704153600000, 1704240000000)])._jdf.queryExecution().toString()
     assert "PushedFilters: [" in plan and "GreaterThanOrEqual(ts" in plan
@@ -121,9 +175,10 @@ def test_error_of_constant_and_missing_columns(spark):
     assert [r.err for r in got] == [0.0, 0.0, 0.0, None] and [r.missing for r in got] == [False, False, False, True]
 
 
+@pytest.mark.parametrize("agg", [5, 8, 20])
 @pytest.mark.parametrize("seed", range(3))
-def test_bound_covers_the_true_error(spark, seed):
-    """Pixels of a column that the cached chart draws wrong never exceed the bound (aligned groups of a random walk)."""
+def test_bound_covers_the_true_error(spark, seed, agg):
+    """The share of pixels that the cached chart draws wrong doesn't exceed the bound (aligned groups of a random walk)."""
     import random
 
     rng, v, points = random.Random(seed), 0.0, []
@@ -131,7 +186,7 @@ def test_bound_covers_the_true_error(spark, seed):
         v += rng.gauss(0, 1)
         points.append((t, v))
     step, width, height = 40, 10, 50
-    got = cached_errors(spark, points, 5, step, width, height, [("m", 0, 400, 5)])
+    got = cached_errors(spark, points, agg, step, width, height, [("m", 0, 400, agg)])
     low, high = min(v for _, v in points), max(v for _, v in points)
     px = lambda v: int((height - 1) * (v - low) / (high - low))
 
@@ -145,15 +200,34 @@ def test_bound_covers_the_true_error(spark, seed):
         return cells
 
     served = []
-    for k in range(0, 400, 5):
-        part = [v for _, v in points[k : k + 5]]
-        served += [(k + 2, min(part)), (k + 2, max(part))]
+    for k in range(0, 400, agg):
+        part = [v for _, v in points[k : k + agg]]
+        served += [(k + agg // 2, min(part)), (k + agg // 2, max(part))]
     assert all(r.err is not None and 0 <= r.err <= 1 for r in got)
     exact, cached = drawn(points), drawn(served)
     wrong = sum(len(a ^ b) / height for a, b in zip(exact, cached)) / width
     bound = sum(r.err for r in got) / width
-    assert math.isfinite(bound)
-    print(f"seed {seed}: wrong {wrong:.3f}, bound {bound:.3f}")
+    assert math.isfinite(bound) and wrong <= bound
+
+
+def test_verdicts_are_sums_and_runs(spark):
+    rows = [("m", i, 10 * i, 10 * i + 10, None if i in (2, 3, 7, 19) else i / 10, i in (2, 3, 7, 19)) for i in range(20)]
+    errors = spark.createDataFrame(rows, "measure string, i int, px_from long, px_to long, err double, missing boolean")
+    got = error.verdicts(errors, 30).collect()
+    assert sorted((r.s_from, r.s_to) for r in got if r.s_from is not None) == [(20, 80), (190, 200)]
+    (whole,) = [r for r in got if r.s_from is None]
+    assert whole.n == 16 and abs(whole.err - sum(i / 10 for i in range(20) if i not in (2, 3, 7, 19))) < 1e-9
+
+
+def test_experiment_writes_its_log(spark, tmp_path):
+    arguments = ["--path", "/root/testdata/sf0.001/events.parquet", "--out", str(tmp_path / "log"), "--cache", str(tmp_path / "cache"), "--count", "3", "--width", "20", "--height", "10", "--accuracy", "0.5"]
+    records = experiments.main(arguments)
+    log = spark.read.option("header", True).csv(str(tmp_path / "log")).collect()
+    assert len(log) == len(records) == 3 and log[0].asDict().keys() == records[0].keys()
+    assert sum(int(r.io_count) for r in log) == sum(r["io_count"] for r in records) > 0
+    (tmp_path / "asked.csv").write_text(f"{records[0]['t_from']},{records[0]['t_to']}\n")
+    again = experiments.main([*arguments[:2], "--out", str(tmp_path / "log2"), *arguments[4:], "--queries", str(tmp_path / "asked.csv")])
+    assert [(r["t_from"], r["t_to"]) for r in again] == [(records[0]["t_from"], records[0]["t_to"])]
 
 
 def test_session_warm_and_exact(spark, tmp_path):

@@ -111,6 +111,10 @@ class Span:
     agg: int
     rows: int = field(default=0, compare=False)
 
+    def residual(self, x: Interval) -> list[Interval]:
+        """What of an interval the span leaves open."""
+        return subtract(x, [self.interval])
+
     @property
     def interval(self) -> Interval:
         return Interval(self.start, self.end)

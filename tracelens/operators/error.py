@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import pixels
@@ -145,6 +145,18 @@ def column_errors(measures: DataFrame, groups: DataFrame, spans: DataFrame, star
     return _select(out, keep[:5], {"err": err, "missing": "undetermined", "false_px": "size(false_rows)", "missing_px": "size(missing_rows)"})
 
 
+def verdicts(errors: DataFrame, gap: int) -> DataFrame:
+    """Per measure a row with the sum and count of the column errors (s_from null), and a row per run of missing
+    columns, those at most ``gap`` apart joined; one pass over the column errors."""
+    order = Window.partitionBy("measure").orderBy("px_from")
+    reach = F.max(F.when(F.col("missing"), F.col("px_to"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(F.col("missing"), F.coalesce((F.col("px_from") - reach > gap).cast("int"), F.lit(1))).otherwise(0)
+    marked = errors.select("measure", "px_from", "px_to", "err", "missing").withColumn("_new", begins)
+    marked = marked.withColumn("_no", F.when(F.col("missing"), F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    ends = [f(F.when(F.col("_no").isNotNull(), F.col(c))).alias(n) for f, c, n in ((F.min, "px_from", "s_from"), (F.max, "px_to", "s_to"))]
+    return marked.groupBy("measure", "_no").agg(F.sum("err").alias("err"), F.count("err").alias("n"), *ends).drop("_no")
+
+
 def total_errors(errors: DataFrame) -> DataFrame:
     """Mean error over determined columns and how many are missing; null when none is determined."""
     return errors.groupBy("measure").agg(F.avg("err").alias("error"), F.count("err").alias("n_valid"), F.sum(F.col("missing").cast("int")).alias("n_missing"))

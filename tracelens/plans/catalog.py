@@ -22,6 +22,7 @@ class SpanCatalog:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, f"{folder.rstrip('/')}/spans-{uuid.uuid4().hex}"
         self.spans: dict[tuple[str, int, int, int], Span] = {}
+        self.made = 0
 
     def insert(self, parts: list[tuple[str, Interval, int]], rows: DataFrame, raw: bool) -> list[Span]:
         """Write the rows of new spans in one job; rows carry the number ``u_id`` of their part."""
@@ -29,7 +30,9 @@ class SpanCatalog:
         for k, (measure, x, agg) in enumerate(parts):
             key = (measure, x.start, x.end, agg)
             if key not in self.spans:
-                self.spans[key] = new[k] = Span(len(self.spans), measure, x.start, x.end, agg)
+                # a number is never used again, so rows of a dropped span can't come back under it
+                self.spans[key] = new[k] = Span(self.made, measure, x.start, x.end, agg)
+                self.made += 1
         if new:
             ids = F.create_map(*[F.lit(c) for k, s in new.items() for c in (k, s.span_id)])
             named = rows.filter(F.col("u_id").isin(list(new))).withColumn("span_id", ids[F.col("u_id")].cast("long"))
@@ -70,11 +73,20 @@ class SpanCatalog:
         after = [s for s in self.spans.values() if s.measure == span.measure and (s.start, s.end) > (span.start, span.end)]
         return min(after, key=lambda s: (s.start, s.end), default=None)
 
+    def predecessor(self, span: Span) -> Span | None:
+        before = [s for s in self.spans.values() if s.measure == span.measure and (s.start, s.end) < (span.start, span.end)]
+        return max(before, key=lambda s: (s.start, s.end), default=None)
+
+    def first_overlapping(self, measure: str, x: Interval) -> Span | None:
+        return min((s for s in self.spans.values() if s.measure == measure and s.interval.overlaps(x)), key=lambda s: (s.start, s.end), default=None)
+
     def drop(self, measure: str, x: Interval) -> int:
-        """Forget the spans that overlap an interval."""
+        """Forget the spans that overlap an interval, and delete their rows."""
         gone = [k for k, s in self.spans.items() if s.measure == measure and s.interval.overlaps(x)]
         for k in gone:
-            del self.spans[k]
+            span = self.spans.pop(k)
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path(span.agg < 0)}/span_id={span.span_id}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         return len(gone)
 
     def memory_bytes(self, measure: str | None = None) -> int:

@@ -37,7 +37,7 @@ class VizSession:
         self.source, self.spark = source, source.table.sparkSession
         self.catalog = SpanCatalog(self.spark, folder)
         self.initial_factor, self.prefetch, self.raw_ratio, self.max_gap, self.compat = initial_factor, prefetch, raw_ratio, max_gap, compat
-        self.extent, self.names, self.sampling = source.extent(), source.measures(), source.sampling_interval()
+        self.extent, self.names, self.sampling = source.metadata()
 
     # -- parts
 
@@ -51,20 +51,20 @@ class VizSession:
         return error.column_errors(names, self.catalog.rows(spans, False), self.catalog.frame(spans), query.start, query.step, query.width, query.height, raw, self.compat)
 
     def _verdict(self, query: Query, measures: list[str]) -> tuple[dict[str, float | None], dict[str, list[Interval]], DataFrame | None]:
-        """Mean error and missing intervals per measure, of width rows a measure at most, and the column errors
-        that tell them (None while nothing is cached)."""
+        """Mean error and missing intervals per measure, and the column errors that tell them (None while nothing
+        is cached).  Only sums and gaps come to the driver."""
         if not any(self.catalog.lookup(m, query.interval, query.step) for m in measures):
             whole = Interval(query.start, query.start + query.step * query.width)
             return dict.fromkeys(measures), {m: [whole] for m in measures}, None
-        sums: dict[str, list[float]] = {m: [] for m in measures}
+        means: dict[str, float | None] = dict.fromkeys(measures)
         gaps: dict[str, list[Interval]] = {m: [] for m in measures}
         errors = self._errors(query, measures)
-        for r in errors.select("measure", "px_from", "px_to", "err", "missing").collect():
-            if r.err is not None:
-                sums[r.measure].append(r.err)
-            if r.missing:
-                gaps[r.measure].append(Interval(r.px_from, r.px_to))
-        return {m: sum(e) / len(e) if e else None for m, e in sums.items()}, {m: planner.group_gaps(g, query.step, self.max_gap) for m, g in gaps.items()}, errors
+        for r in error.verdicts(errors, self.max_gap * query.step).collect():
+            if r.s_from is not None:
+                gaps[r.measure].append(Interval(r.s_from, r.s_to))
+            elif r.n:
+                means[r.measure] = r.err / r.n
+        return means, {m: sorted(g) for m, g in gaps.items()}, errors
 
     def _fetch(self, query: Query, gaps: dict[str, list[Interval]], factors: dict[str, int]) -> int:
         """Fetch the gaps of all measures, raw or grouped by measure, and cache them."""

@@ -117,7 +117,10 @@ def sampling_interval(spark, sf_dir):
     return events(spark, sf_dir).sampling_frame()
 
 
-@query("SELECT 'event_type' AS measure_col, 'ts' AS time_col, 'value' AS value_col")
+DESCRIBED = "SELECT min(column_name) FROM (DESCRIBE SELECT event_type, ts, value FROM events) WHERE column_type"
+
+
+@query(f"SELECT ({DESCRIBED} = 'VARCHAR') AS measure_col, ({DESCRIBED} LIKE 'TIMESTAMP%') AS time_col, ({DESCRIBED} = 'DOUBLE') AS value_col")
 def schema_roles(spark, sf_dir):
     table = LongTable(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "ts", "value"))
     return spark.createDataFrame([(table.measure, table.time, table.value)], "measure_col string, time_col string, value_col string")
@@ -428,15 +431,22 @@ def result_measure_stats(spark, sf_dir):
     return result_stats(column_stats(spark, sf_dir)).withColumn("sum_v", F.round("sum_v", 6))
 
 
-@query(f"SELECT (SELECT count(*) FROM ({GROUPS_SQL})) + 4 * {W} AS io_count")
+@query(f"SELECT (SELECT count(*) FROM ({GROUPS_SQL})) AS grouped, 4 * {W}::BIGINT AS exact")
 def io_count(spark, sf_dir):
-    return groups(spark, sf_dir).agg((F.count("*") + 4 * W).alias("io_count"))
+    """What a session counts: the groups that it fetched, and four points a column of a measure answered exactly."""
+    s = session(spark, sf_dir, raw_ratio=0)
+    grouped, exact = (s.query(Query(START, END, W, H, a, m)).io_count for a, m in ((0.0, ()), (1.0, ("click",))))
+    return spark.createDataFrame([(grouped, exact)], "grouped long, exact long")
 
 
 # -- planner, as tables
 
 
-@query(f"SELECT {planner.aggregation_factor(Query(0, 100, 10, 10), [], [Interval(50, 100)], 4, False)} AS cold, 5 AS mixed, 10 AS doubled")
+#: Half the query is cached with 10 ms columns of 2 ms groups, for the other half the initial factor is 4.
+FACTOR_SQL = "SELECT unnest([false, true, true]) AS cached, unnest([1, 1, 2]) AS times, unnest(['cold', 'mixed', 'doubled']) AS n"
+
+
+@query(f"SELECT max(f) FILTER (WHERE n = 'cold') AS cold, max(f) FILTER (WHERE n = 'mixed') AS mixed, max(f) FILTER (WHERE n = 'doubled') AS doubled FROM (SELECT n, (times * ceil((CASE WHEN cached THEN 0.5 * (10 // 2) ELSE 0 END + 0.5 * 4) / (CASE WHEN cached THEN 1.0 ELSE 0.5 END)))::INT AS f FROM ({FACTOR_SQL}))")
 def agg_factor(spark, sf_dir):
     from .model import Span
 
@@ -477,6 +487,8 @@ def unpivot_wide(spark, sf_dir):
 
 # -- sessions
 
+#: Points of a chart from the groups of a session: least and greatest of a column, first and last of what lies in it.
+CACHED_SQL = " UNION ALL ".join(f"SELECT measure, i::INT AS i, {k} AS role, {n}_t AS t, {n}_v AS v FROM (SELECT measure, i, {M4_COLUMNS} FROM ({ACCEPT_SQL}) GROUP BY measure, i)" for k, n in enumerate(("first", "min", "max", "last")))
 
 def session(spark: SparkSession, sf_dir: str, **settings) -> VizSession:
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -489,24 +501,45 @@ def session(spark: SparkSession, sf_dir: str, **settings) -> VizSession:
     return VizSession(events(spark, sf_dir), folder, **settings)
 
 
-@query()
+def points_sql(start: int, step: int, width: int) -> str:
+    return " UNION ALL ".join(f"SELECT measure, k::INT AS i, {k} AS role, {n}_t AS t, {n}_v AS v FROM ({m4_sql(E_SQL, start, step, start + step * width)})" for k, n in enumerate(("first", "min", "max", "last")))
+
+
+# At the scales where the rows are compared a group would hold fewer than six samples, so these two sessions cache
+# raw points, and what they draw is exact; approx_query_groups is the case of groups.
+@query(points_sql(START, STEP, W))
 def approx_query_e2e(spark, sf_dir):
     return session(spark, sf_dir).query(Query(START, END, W, H, 0.9)).points
 
 
-@query()
+WARM = Query(START + DAY, END - DAY, W // 2, H, 0.5)
+
+
+@query(points_sql(WARM.start, WARM.step, WARM.width))
 def approx_query_warm(spark, sf_dir):
+    return warm_session(spark, sf_dir).query(WARM).points
+
+
+def warm_session(spark: SparkSession, sf_dir: str) -> VizSession:
+    """A session that has answered the query around ``WARM``."""
     s = session(spark, sf_dir)
     s.query(Query(START, END, W, H, 0.5))
-    return s.query(Query(START + DAY, END - DAY, W // 2, H, 0.5)).points
+    return s
 
 
-@query(" UNION ALL ".join(f"SELECT measure, k::INT AS i, {k} AS role, {n}_t AS t, {n}_v AS v FROM ({m4_sql(E_SQL)})" for k, n in enumerate(("first", "min", "max", "last"))))
+@query(CACHED_SQL)
+def approx_query_groups(spark, sf_dir):
+    """Answered from groups, whatever the bound says."""
+    return session(spark, sf_dir, raw_ratio=0).query(Query(START, END, W, H, 0.0)).points
+
+
+@query(points_sql(START, STEP, W))
 def exact_query_e2e(spark, sf_dir):
     return session(spark, sf_dir).query(Query(START, END, W, H, 1.0)).points
 
 
-@query()
+# the query's own two days, then half of its length on either side, all within the data; raw points
+@query(f"SELECT 'click' AS measure, greatest(x.a, t0) AS s_from, least(x.b, t1) AS s_to, -1::BIGINT AS agg FROM (SELECT unnest([{START + 2 * DAY}, {START + DAY}, {START + 4 * DAY}]) AS a, unnest([{START + 4 * DAY}, {START + 2 * DAY}, {START + 5 * DAY}]) AS b) x, (SELECT min(t) AS t0, max(t) + 1 AS t1 FROM {E_SQL})")
 def prefetch_extend(spark, sf_dir):
     s = session(spark, sf_dir, prefetch=1.0)
     s.query(Query(START + 2 * DAY, START + 4 * DAY, W, H, 0.5, ("click",)))

@@ -7,12 +7,13 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import millis, parse_time
 from ..model import Interval, merge
+from . import fieldstore
 
 
 class TimeSeriesSource(Protocol):
@@ -62,6 +63,9 @@ class JdbcConfig:
     time_col: str = "timestamp"
     value_col: str = "value"
     driver: str = "org.postgresql.Driver"
+    partitions: int = 8
+    #: Epoch milliseconds of a timestamp, a whole number, in the store's SQL.
+    millis_sql: str = "CAST(EXTRACT(EPOCH FROM {time}) * 1000 AS BIGINT)"
 
     def __post_init__(self):
         for name in ("url", "table", "user", "password"):
@@ -71,7 +75,8 @@ class JdbcConfig:
 
 @dataclass(frozen=True)
 class FieldStoreConfig:
-    """A store of (_measurement, _field, _value, _time) rows behind a Spark data source of that name."""
+    """A store of (_measurement, _field, _value, _time) rows behind a Spark data source of that name; with the
+    format ``fieldfiles`` the store is its exported files, and ``url`` their paths."""
 
     url: str
     token: str = field(repr=False)
@@ -160,6 +165,15 @@ class LongTable:
     def sampling_interval(self) -> int:
         return self.sampling_frame().first().sampling_ms or 0
 
+    def metadata(self) -> tuple[Interval, list[str], int]:
+        """Extent, measures and sampling interval: one aggregation, and the two first points of one measure."""
+        ends = self.raw().groupBy("measure").agg(F.min("t").alias("t_first"), F.max("t").alias("t_last")).collect()
+        if not ends:
+            raise ValueError("the source is empty")
+        names = sorted(r.measure for r in ends)
+        two = [r.t for r in self.raw(measures=names[:1]).select("t").orderBy("t").limit(2).collect()]
+        return Interval(min(r.t_first for r in ends), max(r.t_last for r in ends) + 1), names, two[-1] - two[0]
+
 
 def wide_to_long(wide: DataFrame, time_col: str) -> DataFrame:
     """One row per numeric cell of a wide table; cells that are no number are skipped."""
@@ -169,23 +183,99 @@ def wide_to_long(wide: DataFrame, time_col: str) -> DataFrame:
 
 
 class CsvSource(LongTable):
-    """Wide CSV file or folder.  Files of a folder must have one header and sampling interval."""
+    """Wide CSV file or folder.  The files of a folder must have one header and one sampling interval, or opening
+    fails; a range reads only the files whose times reach into it.
+
+    What is known of the files, a row each, is on the driver, as Spark's own list of them is.
+    """
 
     def __init__(self, spark: SparkSession, config: CsvConfig):
-        wide = spark.read.option("header", True).option("sep", config.delimiter).option("enforceSchema", False).csv(config.path)
-        if config.time_col not in wide.columns:
+        self.spark, self.config = spark, config
+        self.wide = self._read(config.path)
+        if config.time_col not in self.wide.columns:
             raise ValueError(f"no column {config.time_col}")
-        self.wide, self.config = wide, config
-        stamped = wide.withColumn(config.time_col, parse_time(F.col(config.time_col)))
-        super().__init__(wide_to_long(stamped, config.time_col), "measure", config.time_col, "v")
+        super().__init__(self._long(self.wide), "measure", config.time_col, "v")
+        self.known = [(r.file, r.t_first, r.t_last) for r in self._checked(self.files()).collect()]
+
+    def _read(self, path) -> DataFrame:
+        return self.spark.read.option("header", True).option("sep", self.config.delimiter).option("enforceSchema", False).csv(path)
+
+    def _long(self, wide: DataFrame) -> DataFrame:
+        return wide_to_long(wide.withColumn(self.config.time_col, parse_time(F.col(self.config.time_col))), self.config.time_col)
+
+    def _checked(self, files: DataFrame) -> DataFrame:
+        r = files.agg(F.min("sampling_ms").alias("low"), F.max("sampling_ms").alias("high")).first()
+        if r.low != r.high:
+            raise ValueError(f"sampling intervals differ between files: {r.low} to {r.high} ms")
+        return files
 
     def files(self) -> DataFrame:
         """File, first and last time, sampling interval of every file."""
         t = parse_time(F.col(self.config.time_col))
         rows = self.wide.select(F.col("_metadata.file_path").alias("file"), t.alias("t"))
-        ranked = rows.distinct().withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("t")))
-        second = F.min(F.when(F.col("n") == 2, F.col("t")))
-        return ranked.groupBy("file").agg(F.min("t").alias("t_first"), F.max("t").alias("t_last"), (second - F.min("t")).alias("sampling_ms"))
+        ends = rows.groupBy("file").agg(F.min("t").alias("t_first"), F.max("t").alias("t_last"))
+        later = rows.join(F.broadcast(ends.select("file", "t_first")), "file").filter(F.col("t") > F.col("t_first")).groupBy("file").agg(F.min("t").alias("second"))
+        return ends.join(later, "file", "left").select("file", "t_first", "t_last", (F.col("second") - F.col("t_first")).alias("sampling_ms"))
+
+    def reached(self, intervals: Sequence[Interval]) -> list[str]:
+        """The files that hold times of the intervals."""
+        return [f for f, first, last in self.known if any(Interval(first, last + 1).overlaps(x) for x in intervals)]
+
+    def raw(self, intervals: Sequence[Interval] | None = None, measures: Sequence[str] = ()) -> DataFrame:
+        if intervals is None or len(self.known) < 2:
+            return super().raw(intervals, measures)
+        files = self.reached(intervals)
+        part = LongTable(self._long(self._read(files)) if files else self.table.limit(0), "measure", self.config.time_col, "v")
+        return part.raw(intervals, measures)
+
+
+class JdbcSource(LongTable):
+    """A long table in an SQL store.  A range is read by ``partitions`` connections, each with its part of the
+    range as predicate, and min/max groups can be made by the store itself."""
+
+    def __init__(self, spark: SparkSession, config: JdbcConfig):
+        self.spark, self.config = spark, config
+        self.options = {"url": config.url, "user": config.user, "password": config.password, "driver": config.driver}
+        table = spark.read.format("jdbc").options(dbtable=config.table, **self.options).load()
+        super().__init__(table, config.measure_col, config.time_col, config.value_col)
+
+    def predicates(self, intervals: Sequence[Interval], measures: Sequence[str] = ()) -> list[str]:
+        """Conditions that share out the intervals: each is cut in pieces of about equal length."""
+        some = merge(list(intervals))
+        length = max(1, -(-sum(map(len, some)) // self.config.partitions))
+        names = ", ".join("'" + m.replace("'", "''") + "'" for m in measures)
+        time, chosen = _quoted(self.time), f" AND {_quoted(self.measure)} IN ({names})" if measures else ""
+        return [f"{time} >= {_stamp(a)} AND {time} < {_stamp(min(a + length, x.end))}{chosen}" for x in some for a in range(x.start, x.end, length)]
+
+    def raw(self, intervals: Sequence[Interval] | None = None, measures: Sequence[str] = ()) -> DataFrame:
+        if not intervals:
+            return super().raw(intervals, measures)
+        extra = {k: v for k, v in self.options.items() if k != "url"}
+        part = self.spark.read.jdbc(self.config.url, self.config.table, predicates=self.predicates(intervals, measures), properties=extra)
+        return LongTable(part, self.measure, self.time, self.value).raw(intervals, measures)
+
+    def groups_query(self, x: Interval, width: int, measures: Sequence[str] = ()) -> str:
+        """SQL for measure, k, cnt, sum_v, min_v, max_v of groups of ``width`` ms, from ``x.start`` on."""
+        where = " AND ".join(["(" + " OR ".join(f"({p})" for p in self.predicates([x], measures)) + ")", f"{_quoted(self.value)} IS NOT NULL"])
+        k = self.config.millis_sql.format(time=_quoted(self.time))
+        inner = f"SELECT {_quoted(self.measure)} AS measure, ({k} - {x.start}) / {width} AS k, {_quoted(self.value)} AS v FROM {self.config.table} WHERE {where}"
+        return f"SELECT measure, k, COUNT(*) AS cnt, SUM(v) AS sum_v, MIN(v) AS min_v, MAX(v) AS max_v FROM ({inner}) g GROUP BY measure, k"
+
+    def groups(self, x: Interval, width: int, measures: Sequence[str] = ()) -> DataFrame:
+        """Min/max groups made by the store: only groups travel."""
+        table = self.spark.read.format("jdbc").options(query=self.groups_query(x, width, measures), **self.options).load()
+        low = {c.lower(): c for c in table.columns}
+        kinds = {"measure": "string", "k": "long", "cnt": "long", "sum_v": "double", "min_v": "double", "max_v": "double"}
+        return table.select(*[F.col(low[c]).cast(t).alias(c) for c, t in kinds.items()])
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def _stamp(t: int) -> str:
+    """The timestamp escape that every JDBC driver turns into its store's own."""
+    return "{ts '" + datetime.fromtimestamp(t // 1000, timezone.utc).strftime("%Y-%m-%d %H:%M:%S") + f".{t % 1000:03d}'" + "}"
 
 
 def open_source(spark: SparkSession, config) -> LongTable:
@@ -196,10 +286,11 @@ def open_source(spark: SparkSession, config) -> LongTable:
         case CsvConfig():
             return CsvSource(spark, config)
         case JdbcConfig():
-            table = spark.read.format("jdbc").options(url=config.url, dbtable=config.table, user=config.user, password=config.password, driver=config.driver).load()
-            return LongTable(table, config.measure_col, config.time_col, config.value_col)
+            return JdbcSource(spark, config)
         case FieldStoreConfig():
-            table = spark.read.format(config.format).options(url=config.url, token=config.token, org=config.org, bucket=config.bucket).load()
+            if config.format == fieldstore.FORMAT:
+                spark.dataSource.register(fieldstore.FieldFiles)
+            table = spark.read.format(config.format).options(url=config.url, token=config.token, org=config.org, bucket=config.bucket, files=config.url).load()
             return LongTable(table.filter(F.col("_measurement") == config.measurement), "_field", "_time", "_value")
     raise ValueError(f"unknown source configuration {type(config).__name__}")
 
