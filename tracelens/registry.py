@@ -15,13 +15,15 @@ from .plans.session import VizSession, result_stats
 from .sources import sinks
 from .sources.series import LongTable, from_parquet, wide_to_long
 
-#: The chart of the queries: a week of events and a bit, 100 x 60 pixels.
-START, END, W, H = 1704153600000, 1704153600000 + 7 * 86_400_000 + 12_345, 100, 60
-WEEK = Interval(START, END)
+DAY = 86_400_000
+#: The chart of the queries: all 30 days of events and a bit, 100 x 60 pixels.
+START, END, W, H = 1704067200000, 1704067200000 + 30 * DAY + 12_345, 100, 60
+WHOLE = Interval(START, END)
+#: What range filters and sessions, whose feature is a range, ask for.
+WEEK = Interval(START + DAY, START + 8 * DAY + 12_345)
 STEP = (END - START) // W
 STOP = START + STEP * W
 AGG = (END - START) // (W * 4)
-DAY = 86_400_000
 E_SQL = "(SELECT event_type AS measure, epoch_us(ts)//1000 AS t, value AS v FROM events)"
 L_SQL = "(SELECT l_returnflag AS measure, epoch_us(l_shipdate)//1000 AS t, l_extendedprice::DOUBLE AS v FROM lineitem)"
 O_SQL = "(SELECT o_orderpriority AS measure, epoch_us(o_orderdate)//1000 AS t, o_totalprice::DOUBLE AS v FROM orders)"
@@ -47,7 +49,8 @@ def query(sql: str | None = None):
     return add
 
 
-IN_WEEK = f"t >= {START} AND t < {END}"
+IN_WHOLE = f"t >= {START} AND t < {END}"
+IN_WEEK = f"t >= {WEEK.start} AND t < {WEEK.end}"
 IN_COLUMNS = f"t >= {START} AND t < {STOP}"
 M4_COLUMNS = """arg_min(v, (t, v)) AS first_v, min(t) AS first_t, arg_max(v, (t, v)) AS last_v, max(t) AS last_t,
   min(v) AS min_v, arg_max(t, (-v, t)) AS min_t, max(v) AS max_v, arg_max(t, (v, t)) AS max_t"""
@@ -57,15 +60,22 @@ def m4_sql(table: str, start: int = START, step: int = STEP, stop: int = STOP) -
     return f"SELECT measure, (t - {start}) // {step} AS k, count(*) AS cnt, {M4_COLUMNS} FROM {table} WHERE t >= {start} AND t < {stop} GROUP BY ALL"
 
 
-GROUPS_SQL = f"SELECT measure, k, {START} + k * {AGG} AS g_from, least({START} + (k + 1) * {AGG}, {END}) AS g_to, cnt, sum_v, min_v, max_v FROM (SELECT measure, (t - {START}) // {AGG} AS k, count(*) AS cnt, sum(v) AS sum_v, min(v) AS min_v, max(v) AS max_v FROM {E_SQL} WHERE {IN_WEEK} GROUP BY ALL)"
-SYNTH_SQL = f"SELECT *, (g_from + g_to) // 2 AS min_t, (g_from + g_to) // 2 AS max_t, (min_v + max_v) / 2 AS first_v, g_from + 1 AS first_t, (min_v + max_v) / 2 AS last_v, g_to - 1 AS last_t FROM ({GROUPS_SQL})"
-ASSIGN_SQL = f"SELECT g.*, i, {START} + i * {STEP} AS px_from, {START} + (i + 1) * {STEP} AS px_to FROM ({SYNTH_SQL}) g, range({W}) r(i) WHERE g_from < {START} + (i + 1) * {STEP} AND g_to > {START} + i * {STEP}"
-ACCEPT_SQL = f"SELECT measure, i, t, v FROM (SELECT measure, i, px_from, px_to, min_t AS t, min_v AS v FROM ({ASSIGN_SQL}) UNION ALL SELECT measure, i, px_from, px_to, max_t, max_v FROM ({ASSIGN_SQL})) WHERE t >= px_from AND t < px_to"
+def chart_sql(start: int, end: int) -> tuple[str, str, str, str]:
+    """Groups of a chart's range, four a column; with points made up; by column; and the points that count there."""
+    step, agg = (end - start) // W, (end - start) // (W * 4)
+    grouped = f"SELECT measure, k, {start} + k * {agg} AS g_from, least({start} + (k + 1) * {agg}, {end}) AS g_to, cnt, sum_v, min_v, max_v FROM (SELECT measure, (t - {start}) // {agg} AS k, count(*) AS cnt, sum(v) AS sum_v, min(v) AS min_v, max(v) AS max_v FROM {E_SQL} WHERE t >= {start} AND t < {end} GROUP BY ALL)"
+    made = f"SELECT *, (g_from + g_to) // 2 AS min_t, (g_from + g_to) // 2 AS max_t, (min_v + max_v) / 2 AS first_v, g_from + 1 AS first_t, (min_v + max_v) / 2 AS last_v, g_to - 1 AS last_t FROM ({grouped})"
+    placed = f"SELECT g.*, i, {start} + i * {step} AS px_from, {start} + (i + 1) * {step} AS px_to FROM ({made}) g, range({W}) r(i) WHERE g_from < {start} + (i + 1) * {step} AND g_to > {start} + i * {step}"
+    counted = f"SELECT measure, i, t, v FROM (SELECT measure, i, px_from, px_to, min_t AS t, min_v AS v FROM ({placed}) UNION ALL SELECT measure, i, px_from, px_to, max_t, max_v FROM ({placed})) WHERE t >= px_from AND t < px_to"
+    return grouped, made, placed, counted
+
+
+GROUPS_SQL, SYNTH_SQL, ASSIGN_SQL, ACCEPT_SQL = chart_sql(START, END)
 PX_SQL = f"SELECT measure, i, min(v) AS min_v, max(v) AS max_v, min(t) AS first_t, arg_min(v, (t, v)) AS first_v, max(t) AS last_t, arg_max(v, (t, v)) AS last_v FROM ({ACCEPT_SQL}) GROUP BY measure, i"
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return buckets.synthesise(buckets.min_max(events(spark, sf_dir).raw([WEEK]), WEEK, AGG))
+    return buckets.synthesise(buckets.min_max(events(spark, sf_dir).raw([WHOLE]), WHOLE, AGG))
 
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,13 +146,13 @@ def value_filter(spark, sf_dir):
 
 @query(GROUPS_SQL.replace("cnt, sum_v, min_v, max_v FROM (S", "cnt, round(sum_v, 6) AS sum_v, min_v, max_v FROM (S"))
 def minmax_bucket(spark, sf_dir):
-    return buckets.min_max(events(spark, sf_dir).raw([WEEK]), WEEK, AGG).withColumn("sum_v", F.round("sum_v", 6))
+    return buckets.min_max(events(spark, sf_dir).raw([WHOLE]), WHOLE, AGG).withColumn("sum_v", F.round("sum_v", 6))
 
 
 @query(f"SELECT m.measure, r.k::BIGINT AS k, {START} + r.k * {AGG} AS g_from, least({START} + (r.k + 1) * {AGG}, {END}) AS g_to, coalesce(cnt, 0) AS cnt, min_v, max_v FROM (SELECT DISTINCT measure FROM {E_SQL}) m CROSS JOIN range({-(-len(WEEK) // AGG)}) r(k) LEFT JOIN ({GROUPS_SQL}) g ON g.measure = m.measure AND g.k = r.k")
 def minmax_bucket_dense(spark, sf_dir):
     table = events(spark, sf_dir)
-    return buckets.dense(buckets.min_max(table.raw([WEEK]), WEEK, AGG), table.measures_frame(), WEEK, AGG)
+    return buckets.dense(buckets.min_max(table.raw([WHOLE]), WHOLE, AGG), table.measures_frame(), WHOLE, AGG)
 
 
 @query(f"SELECT measure, k, g_from, g_to, min_v, max_v, min_t, max_t, first_v, first_t, last_v, last_t FROM ({SYNTH_SQL})")
@@ -152,17 +162,17 @@ def minmax_synth_first_last(spark, sf_dir):
 
 @query(m4_sql(E_SQL))
 def m4_bucket(spark, sf_dir):
-    return buckets.m4(events(spark, sf_dir).raw([WEEK]), START, STEP, W)
+    return buckets.m4(events(spark, sf_dir).raw([WHOLE]), START, STEP, W)
 
 
 @query(m4_sql(E_SQL))
 def m4_bucket_hashed(spark, sf_dir):
-    return buckets.m4_hashed(events(spark, sf_dir).raw([WEEK]), START, STEP, W)
+    return buckets.m4_hashed(events(spark, sf_dir).raw([WHOLE]), START, STEP, W)
 
 
 @query(f"WITH r AS (SELECT *, (t - {START}) // {STEP} AS k FROM {E_SQL} WHERE {IN_COLUMNS}), a AS (SELECT measure, k, min(v) AS v_min, max(v) AS v_max, min(t) AS t_min, max(t) AS t_max FROM r GROUP BY ALL) SELECT r.measure, r.k, v, min(t) AS first_at, max(t) AS last_at FROM r JOIN a ON r.measure = a.measure AND r.k = a.k AND (v = v_min OR v = v_max OR t = t_min OR t = t_max) GROUP BY ALL")
 def m4_selfjoin(spark, sf_dir):
-    return buckets.extreme_points(events(spark, sf_dir).raw([WEEK]), START, STEP, W)
+    return buckets.extreme_points(events(spark, sf_dir).raw([WHOLE]), START, STEP, W)
 
 
 @query(" UNION ALL ".join(f"SELECT measure, k, {k} AS role, {n}_t AS t, {n}_v AS v FROM ({m4_sql(E_SQL)})" for k, n in enumerate(("first", "min", "max", "last"))))
@@ -170,7 +180,7 @@ def m4_points(spark, sf_dir):
     return buckets.points(m4_bucket(spark, sf_dir)).orderBy("measure", "t", "role")
 
 
-LINE_START, LINE_STEP, LINE_W = 694224000000, 30 * DAY, 80
+LINE_START, LINE_STEP, LINE_W = 694224000000, 30 * DAY, 130
 
 
 @query(m4_sql(L_SQL, LINE_START, LINE_STEP, LINE_START + LINE_STEP * LINE_W))
@@ -187,7 +197,7 @@ def m4_orders(spark, sf_dir):
 
 @query(f"SELECT measure, k, first_t, first_v, last_t, last_v, CASE WHEN last_t > first_t THEN (last_v - first_v) * 1000 / (last_t - first_t) END AS slope FROM ({m4_sql(E_SQL)})")
 def slope_bucket(spark, sf_dir):
-    return buckets.slope(events(spark, sf_dir).raw([WEEK]), START, STEP, W)
+    return buckets.slope(events(spark, sf_dir).raw([WHOLE]), START, STEP, W)
 
 
 @query(f"SELECT measure, count(*) AS cnt, round(sum(v), 4) AS sum_v, round(avg(v), 8) AS avg_v, {M4_COLUMNS} FROM {E_SQL} GROUP BY measure")
@@ -244,7 +254,7 @@ def all_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT * FROM {COLS_SQL} c WHERE NOT EXISTS (SELECT 1 FROM {E_SQL} e WHERE e.measure = c.measure AND v >= 60 AND t >= px_from AND t < px_to)")
 def missing_columns_anti(spark, sf_dir):
-    covered = buckets.in_range(events(spark, sf_dir).raw([WEEK]).filter("v >= 60"), START, STEP, W).select("measure", F.col("k").cast("int").alias("i"))
+    covered = buckets.in_range(events(spark, sf_dir).raw([WHOLE]).filter("v >= 60"), START, STEP, W).select("measure", F.col("k").cast("int").alias("i"))
     return intervals.missing_columns(all_columns(spark, sf_dir), covered)
 
 
@@ -338,7 +348,7 @@ def pixel_ranges_text(spark, sf_dir):
 
 # -- error bound: the groups of the week are one span, its last day is missing
 
-SPAN_END = START + 6 * DAY
+SPAN_END = START + 26 * DAY
 
 
 def bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,7 +430,7 @@ def total_error(spark, sf_dir):
     return error.total_errors(bounded(spark, sf_dir)).withColumn("error", F.round("error", 9))
 
 
-@query(f"SELECT measure, {START} + min(i) * {STEP} AS s_from, {START} + (max(i) + 1) * {STEP} AS s_to FROM {COLS_SQL} WHERE px_to > {SPAN_END} GROUP BY measure")
+@query(f"SELECT measure, min(px_from) AS s_from, max(px_to) AS s_to FROM {COLS_SQL} WHERE px_to > {SPAN_END} GROUP BY measure")
 def missing_intervals(spark, sf_dir):
     gone = bounded(spark, sf_dir).filter("missing").select("measure", F.col("px_from").alias("s_from"), F.col("px_to").alias("s_to"))
     return intervals.islands(gone, ["measure"], gap=10 * STEP)
@@ -431,11 +441,11 @@ def result_measure_stats(spark, sf_dir):
     return result_stats(column_stats(spark, sf_dir)).withColumn("sum_v", F.round("sum_v", 6))
 
 
-@query(f"SELECT (SELECT count(*) FROM ({GROUPS_SQL})) AS grouped, 4 * {W}::BIGINT AS exact")
+@query(f"SELECT (SELECT count(*) FROM ({chart_sql(WEEK.start, WEEK.end)[0]})) AS grouped, 4 * {W}::BIGINT AS exact")
 def io_count(spark, sf_dir):
     """What a session counts: the groups that it fetched, and four points a column of a measure answered exactly."""
     s = session(spark, sf_dir, raw_ratio=0)
-    grouped, exact = (s.query(Query(START, END, W, H, a, m)).io_count for a, m in ((0.0, ()), (1.0, ("click",))))
+    grouped, exact = (s.query(Query(WEEK.start, WEEK.end, W, H, a, m)).io_count for a, m in ((0.0, ()), (1.0, ("click",))))
     return spark.createDataFrame([(grouped, exact)], "grouped long, exact long")
 
 
@@ -488,7 +498,7 @@ def unpivot_wide(spark, sf_dir):
 # -- sessions
 
 #: Points of a chart from the groups of a session: least and greatest of a column, first and last of what lies in it.
-CACHED_SQL = " UNION ALL ".join(f"SELECT measure, i::INT AS i, {k} AS role, {n}_t AS t, {n}_v AS v FROM (SELECT measure, i, {M4_COLUMNS} FROM ({ACCEPT_SQL}) GROUP BY measure, i)" for k, n in enumerate(("first", "min", "max", "last")))
+CACHED_SQL = " UNION ALL ".join(f"SELECT measure, i::INT AS i, {k} AS role, {n}_t AS t, {n}_v AS v FROM (SELECT measure, i, {M4_COLUMNS} FROM ({chart_sql(WEEK.start, WEEK.end)[3]}) GROUP BY measure, i)" for k, n in enumerate(("first", "min", "max", "last")))
 
 def session(spark: SparkSession, sf_dir: str, **settings) -> VizSession:
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -507,12 +517,12 @@ def points_sql(start: int, step: int, width: int) -> str:
 
 # At the scales where the rows are compared a group would hold fewer than six samples, so these two sessions cache
 # raw points, and what they draw is exact; approx_query_groups is the case of groups.
-@query(points_sql(START, STEP, W))
+@query(points_sql(WEEK.start, len(WEEK) // W, W))
 def approx_query_e2e(spark, sf_dir):
-    return session(spark, sf_dir).query(Query(START, END, W, H, 0.9)).points
+    return session(spark, sf_dir).query(Query(WEEK.start, WEEK.end, W, H, 0.9)).points
 
 
-WARM = Query(START + DAY, END - DAY, W // 2, H, 0.5)
+WARM = Query(WEEK.start + DAY, WEEK.end - DAY, W // 2, H, 0.5)
 
 
 @query(points_sql(WARM.start, WARM.step, WARM.width))
@@ -523,26 +533,26 @@ def approx_query_warm(spark, sf_dir):
 def warm_session(spark: SparkSession, sf_dir: str) -> VizSession:
     """A session that has answered the query around ``WARM``."""
     s = session(spark, sf_dir)
-    s.query(Query(START, END, W, H, 0.5))
+    s.query(Query(WEEK.start, WEEK.end, W, H, 0.5))
     return s
 
 
 @query(CACHED_SQL)
 def approx_query_groups(spark, sf_dir):
     """Answered from groups, whatever the bound says."""
-    return session(spark, sf_dir, raw_ratio=0).query(Query(START, END, W, H, 0.0)).points
+    return session(spark, sf_dir, raw_ratio=0).query(Query(WEEK.start, WEEK.end, W, H, 0.0)).points
 
 
-@query(points_sql(START, STEP, W))
+@query(points_sql(WEEK.start, len(WEEK) // W, W))
 def exact_query_e2e(spark, sf_dir):
-    return session(spark, sf_dir).query(Query(START, END, W, H, 1.0)).points
+    return session(spark, sf_dir).query(Query(WEEK.start, WEEK.end, W, H, 1.0)).points
 
 
 # the query's own two days, then half of its length on either side, all within the data; raw points
-@query(f"SELECT 'click' AS measure, greatest(x.a, t0) AS s_from, least(x.b, t1) AS s_to, -1::BIGINT AS agg FROM (SELECT unnest([{START + 2 * DAY}, {START + DAY}, {START + 4 * DAY}]) AS a, unnest([{START + 4 * DAY}, {START + 2 * DAY}, {START + 5 * DAY}]) AS b) x, (SELECT min(t) AS t0, max(t) + 1 AS t1 FROM {E_SQL})")
+@query(f"SELECT 'click' AS measure, greatest(x.a, t0) AS s_from, least(x.b, t1) AS s_to, -1::BIGINT AS agg FROM (SELECT unnest([{WEEK.start + 2 * DAY}, {WEEK.start + DAY}, {WEEK.start + 4 * DAY}]) AS a, unnest([{WEEK.start + 4 * DAY}, {WEEK.start + 2 * DAY}, {WEEK.start + 5 * DAY}]) AS b) x, (SELECT min(t) AS t0, max(t) + 1 AS t1 FROM {E_SQL})")
 def prefetch_extend(spark, sf_dir):
     s = session(spark, sf_dir, prefetch=1.0)
-    s.query(Query(START + 2 * DAY, START + 4 * DAY, W, H, 0.5, ("click",)))
+    s.query(Query(WEEK.start + 2 * DAY, WEEK.start + 4 * DAY, W, H, 0.5, ("click",)))
     return s.catalog.frame()
 
 
