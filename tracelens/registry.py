@@ -149,7 +149,7 @@ def minmax_bucket(spark, sf_dir):
     return buckets.min_max(events(spark, sf_dir).raw([WHOLE]), WHOLE, AGG).withColumn("sum_v", F.round("sum_v", 6))
 
 
-@query(f"SELECT m.measure, r.k::BIGINT AS k, {START} + r.k * {AGG} AS g_from, least({START} + (r.k + 1) * {AGG}, {END}) AS g_to, coalesce(cnt, 0) AS cnt, min_v, max_v FROM (SELECT DISTINCT measure FROM {E_SQL}) m CROSS JOIN range({-(-len(WEEK) // AGG)}) r(k) LEFT JOIN ({GROUPS_SQL}) g ON g.measure = m.measure AND g.k = r.k")
+@query(f"SELECT m.measure, r.k::BIGINT AS k, {START} + r.k * {AGG} AS g_from, least({START} + (r.k + 1) * {AGG}, {END}) AS g_to, coalesce(cnt, 0) AS cnt, min_v, max_v FROM (SELECT DISTINCT measure FROM {E_SQL}) m CROSS JOIN range({-(-len(WHOLE) // AGG)}) r(k) LEFT JOIN ({GROUPS_SQL}) g ON g.measure = m.measure AND g.k = r.k")
 def minmax_bucket_dense(spark, sf_dir):
     table = events(spark, sf_dir)
     return buckets.dense(buckets.min_max(table.raw([WHOLE]), WHOLE, AGG), table.measures_frame(), WHOLE, AGG)
