@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, noted, persist, reclaim, release, text_bytes
 
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_200_000
 #: Rounds whose seatings aren't used, rounds that are averaged, and sweeps over the contexts in each.
 BURN_IN, SAMPLES, SWEEPS = 1, 2, 2
 #: Discount and strength of the contexts' restaurants and of the root.
@@ -37,7 +37,7 @@ EXACT, STEPS = 256, 24
 class Tokens(dict):
     """Word -> 48 bits of its hash, kept for recent words."""
 
-    limit = 400_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -55,7 +55,9 @@ BLOCKS = "block long, bucket long, doc_ids binary, lengths binary, index binary,
 STORED = "block long, bucket long, doc_ids binary, lengths binary, index binary, words binary, place binary, runs binary, counts binary, blocks array<struct<block:long,n:int,index:binary>>, n_contexts long, n_keys long"
 ROUND = "bucket long, part int, n int, a binary, b binary, c binary"
 REPLIES = "bucket long, part int, n int, a binary, b binary, c binary, totals array<long>"
-ANSWERS = "block long, bucket long, logs binary, known binary"
+ANSWERS = "block long, bucket long, n int, logs binary, known binary"
+#: Log probabilities travel as whole numbers of this unit, 3 bytes each down to 10**-16.
+UNIT = 1e-6
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -313,7 +315,7 @@ class Bucket:
     def __init__(self, static: pa.Table, replies: pa.Table, root: Root):
         row = static.to_pylist()[0]
         self.name, self.blocks = row["bucket"], row.get("blocks")
-        self.words = hashes(row["words"])
+        self.words = hashes(row["words"]) if row.get("words") else None
         self.place = wide(row["place"], row["n_keys"])
         self.runs = wide(row["runs"], row["n_contexts"])
         self.counts = wide(row["counts"], row["n_keys"])
@@ -417,12 +419,12 @@ def answers(totals: dict[int, list[int]]):
         for turn, sums in totals.items():
             own.hear([r for r in found if r["turn"] == turn], Root(sums))
             p += own.predict()
-        logs = np.log10(p / len(totals)).astype("<f4")
+        logs = np.rint(-np.log10(p / len(totals)) / UNIT).astype(np.int64)
         known = own.known[own.place]
         rows = []
         for b in own.blocks:
             at = np.cumsum(wide(b["index"], b["n"]))
-            rows.append((b["block"], own.name, logs[at].tobytes(), slim(known[at])))
+            rows.append((b["block"], own.name, b["n"], slim(logs[at]), slim(known[at])))
         return pa.Table.from_batches([_batch(rows, ANSWERS)])
 
     return run
@@ -431,9 +433,9 @@ def answers(totals: dict[int, list[int]]):
 def score_block(n: int, v: int):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         found = found.sort_by("bucket")
-        found_logs = [np.frombuffer(b, "<f4") for b in found.column("logs").to_pylist()]
-        known = np.concatenate([wide(b, len(p)) for b, p in zip(found.column("known").to_pylist(), found_logs)])
-        logs = np.concatenate(found_logs).astype(np.float64)
+        counts = found.column("n").to_pylist()
+        known, logs = (np.concatenate([wide(b, k) for b, k in zip(found.column(c).to_pylist(), counts)]) for c in ("known", "logs"))
+        logs = logs * -UNIT
         base = np.log10((known + 0.1) / (n + 0.1 * (v + 1)))
         ids = np.frombuffer(docs.column("doc_ids")[0].as_py(), "<i8")
         signed = np.frombuffer(docs.column("lengths")[0].as_py(), "<i8")
@@ -463,7 +465,7 @@ def score(docs: DataFrame, buckets: int | None = None, seed: int = 1, burn_in: i
     # as many buckets as the input has; a block writes a row to each in which it has a key
     buckets = buckets or max(32, 4 * docs.rdd.getNumPartitions())
     parts = max(12, buckets // 4)
-    written, asked_by = [], []
+    written, asked_by, told_by = [], [], []
     with noted(written):
         made = blocks(docs, buckets, id_col, text_col).groupBy("bucket").applyInArrow(gather, STORED)
         stored = persist(made.withColumn("restaurants", F.col("bucket") >= 0), "restaurants", "restaurants")
@@ -474,7 +476,8 @@ def score(docs: DataFrame, buckets: int | None = None, seed: int = 1, burn_in: i
         asks = persist(lean.mapInArrow(first_asks(parts), ROUND), "asks")
     seats, counted, totals, sums = None, None, {}, None
     for turn in range(burn_in + samples + 1):
-        replies = persist(asks.groupBy("part").applyInArrow(seat_root(sums, seed, turn), REPLIES), "replies")
+        with noted(told_by):
+            replies = persist(asks.groupBy("part").applyInArrow(seat_root(sums, seed, turn), REPLIES), "replies")
         reclaim(spark, asked_by)
         summed = replies.filter("bucket < 0").select(F.posexplode("totals").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()
         if not summed:
@@ -491,9 +494,12 @@ def score(docs: DataFrame, buckets: int | None = None, seed: int = 1, burn_in: i
             with noted(asked_by):
                 both = persist(made.withColumn("asks", F.col("part") >= 0), "seated", "asks")
             asked_by = [f"{p}/asks=true" for p in asked_by]
+            if turn <= burn_in:
+                reclaim(spark, told_by)  # replies of later rounds are needed at the end
+            told_by = []
             release(spark)
             asks, seats = both.filter("asks").drop("asks"), both.filter("not asks").drop("asks")
-    logs = persist(static.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(answers(totals), ANSWERS), "answers")
+    logs = persist(static.drop("words").groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(answers(totals), ANSWERS), "answers")
     reclaim(spark, [f"{p}/restaurants=true" for p in written])
     release(spark)
     own = stored.filter("not restaurants").select("block", "doc_ids", "lengths", "index")
