@@ -117,7 +117,7 @@ def slices(batches, rows: int = 256):
 class WordHash(dict):
     """64-bit hashes of words, kept for the most recent ones; ``bytes.split`` yields the contracts' words."""
 
-    limit = 200_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -133,7 +133,13 @@ class WordHash(dict):
 WORDS = WordHash()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python 1,000 at a time instead of 10,000, for those are up to 64 MB on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -19,7 +19,7 @@ from .common import persist
 CAPACITY = 2048
 #: Pieces that one task packs; what stays half full at its end is a few sequences in many thousands.
 PIECES_PER_TASK = 40_000
-KEPT_WORDS = 700_000
+KEPT_WORDS = 250_000
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long"
