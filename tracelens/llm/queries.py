@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, cotraining, lines, mixing, neighbours, outliers, packing, pitman_yor, sharding, simhash
+from . import chunks, cotraining, divergence, lines, mixing, neighbours, outliers, packing, pitman_yor, pstable, ranked, sharding, simhash
 from .common import documents
 
 
@@ -61,10 +61,23 @@ def op10_duplicate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.duplicate_lines(documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op12_vector_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pstable.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict:
     own = (
         op1_robust_outliers, op2_cotraining_quality, op3_sum_of_squares_packing, op4_pitman_yor_scores, op5_permutation_neighbours,
         op6_simhash_near_duplicates, op7_repeated_passages, op8_curriculum_mix, op9_slot_shards, op10_duplicate_lines,
+        op11_source_divergence, op12_vector_near_duplicates, op13_ranked_search,
     )
     return {f.__name__: f for f in own}
 
@@ -117,8 +130,73 @@ INVERSE_SQL = """CASE ordinal % 3
                    WHEN n < 1.125 THEN 0.5 + 2 * (n - 0.375) / (1 + sqrt(greatest(1 + 4 * (n - 0.375), 0))) ELSE 1.0::DOUBLE END END"""
 
 
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Every pair of sources is evaluated for every term here, without vectors of counts.
+DIVERGENCE_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({LOWER_SQL}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+words AS (SELECT id, lang, source, unnest(words) AS term FROM d),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+counted AS (SELECT w.lang, w.source, w.term, count(*) AS c FROM words w JOIN kept k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL),
+groups AS (
+  SELECT lang, source, coalesce(n, 0) AS n, coalesce(v, 0) AS v
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(c) AS n FROM counted GROUP BY ALL) USING (lang, source)
+  LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY ALL) USING (lang)),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 2)) // (n + 2 * v) AS p
+  FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+langs AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c) + 2)) // (sum(sum(c)) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS q
+  FROM shares GROUP BY lang, term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+terms AS (
+  SELECT s.lang, s.source, s.term AS item, (p - q) * (p - q) // (p + q) AS value FROM shares s JOIN langs l ON s.lang = l.lang AND s.term = l.term WHERE c > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM every
+UNION ALL
+SELECT lang, source, 'term' AS part, item, value::BIGINT AS value, rank
+FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM terms) WHERE rank <= 10
+"""
+
+#: All pairs of vectors, and a walk over the links.
+VECTORS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reached AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+roots AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a),
+counted AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN roots r ON r.a = vec_id LEFT JOIN counted c ON c.a = vec_id
+"""
+
+RANKED_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+size AS (SELECT count(*) FILTER (WHERE len(words) > 0) AS docs, sum(len(words))::BIGINT AS terms FROM d),
+posts AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(words) AS term FROM d) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM posts, size GROUP BY term, docs),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(words) * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN posts USING (term) JOIN d USING (id), size GROUP BY item_id, doc_id, id)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, id))::INT AS rank FROM scored WHERE score > 0) WHERE rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql = MIX_SQL
     for k in "01":
         sql = sql.replace(f"POSITION{k}", re.sub(r"\bn\b", f"n{k}", INVERSE_SQL))
-    return {"op8_curriculum_mix": sql}
+    return {"op8_curriculum_mix": sql, "op11_source_divergence": DIVERGENCE_SQL, "op12_vector_near_duplicates": VECTORS_SQL, "op13_ranked_search": RANKED_SQL}
