@@ -38,6 +38,14 @@ def min_max(series: DataFrame, within: Interval, width: int) -> DataFrame:
     return groups.select("measure", "k", *bounds(within.start, width, within.end), "cnt", "sum_v", "min_v", "max_v")
 
 
+def part_groups(points: DataFrame, parts: Sequence[tuple[str, Interval]], width: int) -> DataFrame:
+    """Min/max groups of each (measure, interval), on a grid from its start, tagged by its number u_id."""
+    ends = [F.element_at(F.array(*[F.lit(e) for e in at]), F.col("u_id") + 1) for at in ([x.start for _, x in parts], [x.end for _, x in parts])]
+    keyed = raw_multi(points, parts).withColumn("s", ends[0]).withColumn("e", ends[1]).withColumn("k", F.call_function("div", F.col("t") - F.col("s"), F.lit(width)))
+    groups = keyed.groupBy("u_id", "measure", "s", "e", "k").agg(F.count("*").alias("cnt"), F.sum("v").alias("sum_v"), F.min("v").alias("min_v"), F.max("v").alias("max_v"))
+    return groups.select("u_id", "measure", (F.col("s") + F.col("k") * width).alias("g_from"), F.least(F.col("s") + (F.col("k") + 1) * width, F.col("e")).alias("g_to"), "cnt", "sum_v", "min_v", "max_v")
+
+
 def dense(groups: DataFrame, measures: DataFrame, within: Interval, width: int) -> DataFrame:
     """All buckets of every measure; empty ones have count 0 and nulls."""
     count = -(-len(within) // width)

@@ -29,6 +29,11 @@ def wants_raw(gaps: list[Interval], width: int, factor: int, sampling: int, rati
     return bool(gaps) and max(map(len, gaps)) / (width * factor) < ratio * sampling
 
 
+def pushes(offers: frozenset[str], what: str, points: int, rows: int) -> bool:
+    """Whether the store makes ``what`` of ``points`` expected points: if it can, and fewer ``rows`` travel for it."""
+    return what in offers and rows < points
+
+
 def group_width(query: Query, factor: int) -> int:
     return max(1, len(query.interval) // (query.width * factor))
 

@@ -80,12 +80,12 @@ class VizSession:
             rows = buckets.raw_multi(self.source.raw([x for _, x, _ in raw], [m for m, _, _ in raw]), [(m, x) for m, x, _ in raw])
             io += self._cache(raw, rows, True)
         for width, parts in grouped.items():
-            points = buckets.raw_multi(self.source.raw([x for _, x, _ in parts], [m for m, _, _ in parts]), [(m, x) for m, x, _ in parts])
-            start = F.element_at(F.array(*[F.lit(x.start) for _, x, _ in parts]), F.col("u_id") + 1)
-            end = F.element_at(F.array(*[F.lit(x.end) for _, x, _ in parts]), F.col("u_id") + 1)
-            keyed = points.withColumn("s", start).withColumn("e", end).withColumn("k", F.call_function("div", F.col("t") - F.col("s"), F.lit(width)))
-            groups = keyed.groupBy("u_id", "measure", "s", "e", "k").agg(F.count("*").alias("cnt"), F.sum("v").alias("sum_v"), F.min("v").alias("min_v"), F.max("v").alias("max_v"))
-            groups = groups.withColumn("g_from", F.col("s") + F.col("k") * width).withColumn("g_to", F.least(F.col("s") + (F.col("k") + 1) * width, F.col("e")))
+            asked = [(m, x) for m, x, _ in parts]
+            points = sum(len(x) for _, x in asked) // max(self.sampling, 1)
+            if planner.pushes(self.source.offers, "groups", points, sum(-(-len(x) // width) for _, x in asked)):
+                groups = self.source.part_groups(asked, width)
+            else:
+                groups = LongTable.part_groups(self.source, asked, width)
             io += self._cache(parts, buckets.synthesise(groups), False)
         return io
 
@@ -146,7 +146,10 @@ class VizSession:
             parts.append(self._cached_stats(query, cached))
         if exact:
             io += 4 * query.width * len(exact)
-            found = buckets.m4(self.source.raw([query.interval], exact), query.start, query.step, query.width)
+            if planner.pushes(self.source.offers, "m4", len(query.interval) // max(self.sampling, 1), 4 * query.width):
+                found = self.source.m4(query.interval, exact, query.step, query.width)
+            else:
+                found = LongTable.m4(self.source, query.interval, exact, query.step, query.width)
             parts.append(found.drop("cnt").withColumn("i", F.col("k").cast("int")).drop("k"))
             bound |= dict.fromkeys(exact, 0.0)
         stats = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

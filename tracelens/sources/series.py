@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import millis, parse_time
 from ..model import Interval, merge
+from ..operators import buckets
 from . import fieldstore
 
 
@@ -24,6 +25,12 @@ class TimeSeriesSource(Protocol):
     def sampling_interval(self) -> int: ...
     def raw(self, intervals: Sequence[Interval] | None = None, measures: Sequence[str] = ()) -> DataFrame: ...
 
+    #: What the store itself aggregates; a planner decides whether it shall.
+    offers: frozenset[str]
+
+    def part_groups(self, parts: Sequence[tuple[str, Interval]], width: int) -> DataFrame: ...
+    def m4(self, interval: Interval, measures: Sequence[str], width: int, count: int) -> DataFrame: ...
+
 
 @dataclass(frozen=True)
 class TableConfig:
@@ -65,7 +72,9 @@ class JdbcConfig:
     driver: str = "org.postgresql.Driver"
     partitions: int = 8
     #: Epoch milliseconds of a timestamp, a whole number, in the store's SQL.
-    millis_sql: str = "CAST(EXTRACT(EPOCH FROM {time}) * 1000 AS BIGINT)"
+    millis_sql: str = "CAST(FLOOR(EXTRACT(EPOCH FROM {time}) * 1000) AS BIGINT)"
+    #: Values that count; in a store with NaN, as PostgreSQL, add ``AND {value} <> 'NaN'``.
+    valid_sql: str = "{value} IS NOT NULL"
 
     def __post_init__(self):
         for name in ("url", "table", "user", "password"):
@@ -111,6 +120,8 @@ def time_literal(t: int, kind: T.DataType) -> Column:
 class LongTable:
     """A long DataFrame; ranges are filtered on the stored time column, so they reach the scan."""
 
+    offers: frozenset[str] = frozenset()
+
     def __init__(self, table: DataFrame, measure: str | None = None, time: str | None = None, value: str | None = None):
         if not (measure and time and value):
             found = roles(table.schema)
@@ -141,6 +152,15 @@ class LongTable:
         out = rows.select(F.col(self.measure).cast("string").alias("measure"), t.alias("t"), F.col(self.value).cast("double").alias("v"))
         return out.filter("v is not null and not isnan(v) and t is not null and measure is not null")
 
+    def part_groups(self, parts: Sequence[tuple[str, Interval]], width: int) -> DataFrame:
+        """Min/max groups of ``width`` per (measure, interval), made from points: u_id (the part's number), measure, g_from,
+        g_to, cnt, sum_v, min_v, max_v."""
+        return buckets.part_groups(self.raw([x for _, x in parts], [m for m, _ in parts]), parts, width)
+
+    def m4(self, interval: Interval, measures: Sequence[str], width: int, count: int) -> DataFrame:
+        """First, last, least and greatest point of ``count`` buckets of ``width`` from the interval's start."""
+        return buckets.m4(self.raw([interval], measures), interval.start, width, count)
+
     def measures_frame(self) -> DataFrame:
         return self.raw().select("measure").distinct().orderBy("measure")
 
@@ -231,7 +251,9 @@ class CsvSource(LongTable):
 
 class JdbcSource(LongTable):
     """A long table in an SQL store.  A range is read by ``partitions`` connections, each with its part of the
-    range as predicate, and min/max groups can be made by the store itself."""
+    range as predicate; min/max groups, M4 points and metadata are made by the store itself, part by part too."""
+
+    offers = frozenset({"groups", "m4"})
 
     def __init__(self, spark: SparkSession, config: JdbcConfig):
         self.spark, self.config = spark, config
@@ -239,13 +261,21 @@ class JdbcSource(LongTable):
         table = spark.read.format("jdbc").options(dbtable=config.table, **self.options).load()
         super().__init__(table, config.measure_col, config.time_col, config.value_col)
 
+    def pieces(self, x: Interval, width: int = 1) -> list[Interval]:
+        """The interval in at most ``partitions`` parts of about equal length, cut between buckets of ``width``."""
+        length = -(-len(x) // (self.config.partitions * width)) * width
+        return [Interval(a, min(a + length, x.end)) for a in range(x.start, x.end, max(length, 1))]
+
+    def condition(self, x: Interval, measures: Sequence[str] = ()) -> str:
+        names = ", ".join("'" + m.replace("'", "''") + "'" for m in measures)
+        chosen = f" AND {_quoted(self.measure)} IN ({names})" if measures else ""
+        return f"{_quoted(self.time)} >= {_stamp(x.start)} AND {_quoted(self.time)} < {_stamp(x.end)}{chosen}"
+
     def predicates(self, intervals: Sequence[Interval], measures: Sequence[str] = ()) -> list[str]:
         """Conditions that share out the intervals: each is cut in pieces of about equal length."""
         some = merge(list(intervals))
         length = max(1, -(-sum(map(len, some)) // self.config.partitions))
-        names = ", ".join("'" + m.replace("'", "''") + "'" for m in measures)
-        time, chosen = _quoted(self.time), f" AND {_quoted(self.measure)} IN ({names})" if measures else ""
-        return [f"{time} >= {_stamp(a)} AND {time} < {_stamp(min(a + length, x.end))}{chosen}" for x in some for a in range(x.start, x.end, length)]
+        return [self.condition(Interval(a, min(a + length, x.end)), measures) for x in some for a in range(x.start, x.end, length)]
 
     def raw(self, intervals: Sequence[Interval] | None = None, measures: Sequence[str] = ()) -> DataFrame:
         if not intervals:
@@ -254,19 +284,71 @@ class JdbcSource(LongTable):
         part = self.spark.read.jdbc(self.config.url, self.config.table, predicates=self.predicates(intervals, measures), properties=extra)
         return LongTable(part, self.measure, self.time, self.value).raw(intervals, measures)
 
-    def groups_query(self, x: Interval, width: int, measures: Sequence[str] = ()) -> str:
-        """SQL for measure, k, cnt, sum_v, min_v, max_v of groups of ``width`` ms, from ``x.start`` on."""
-        where = " AND ".join(["(" + " OR ".join(f"({p})" for p in self.predicates([x], measures)) + ")", f"{_quoted(self.value)} IS NOT NULL"])
-        k = self.config.millis_sql.format(time=_quoted(self.time))
-        inner = f"SELECT {_quoted(self.measure)} AS measure, ({k} - {x.start}) / {width} AS k, {_quoted(self.value)} AS v FROM {self.config.table} WHERE {where}"
-        return f"SELECT measure, k, COUNT(*) AS cnt, SUM(v) AS sum_v, MIN(v) AS min_v, MAX(v) AS max_v FROM ({inner}) g GROUP BY measure, k"
+    def _points_sql(self, where: str, start: int, width: int) -> str:
+        """measure, k, t, v of the valid points of a condition, with buckets from ``start``."""
+        t = self.config.millis_sql.format(time=_quoted(self.time))
+        valid = self.config.valid_sql.format(value=_quoted(self.value))
+        inner = f"SELECT {_quoted(self.measure)} AS measure, {t} AS t, {_quoted(self.value)} AS v FROM {self.config.table} WHERE {where} AND {valid}"
+        return f"SELECT measure, (t - {start}) / {width} AS k, t, v FROM ({inner}) r"
+
+    def groups_query(self, x: Interval, within: Interval, width: int, measures: Sequence[str] = ()) -> str:
+        """SQL for measure, k, cnt, sum_v, min_v, max_v of the points of ``within`` in groups from ``x.start`` on."""
+        points = self._points_sql(self.condition(within, measures), x.start, width)
+        return f"SELECT measure, k, COUNT(*) AS cnt, SUM(v) AS sum_v, MIN(v) AS min_v, MAX(v) AS max_v FROM ({points}) g GROUP BY measure, k"
+
+    def m4_query(self, x: Interval, within: Interval, width: int, measures: Sequence[str] = ()) -> str:
+        """SQL for M4 as every store can do it: extremes per bucket, joined to the points that attain them."""
+        points = self._points_sql(self.condition(within, measures), x.start, width)
+        ends = f"SELECT measure, k, COUNT(*) AS cnt, MIN(t) AS first_t, MAX(t) AS last_t, MIN(v) AS min_v, MAX(v) AS max_v FROM ({points}) g GROUP BY measure, k"
+        picked = "MIN(CASE WHEN p.t = first_t THEN p.v END) AS first_v, MAX(CASE WHEN p.t = last_t THEN p.v END) AS last_v, MAX(CASE WHEN p.v = min_v THEN p.t END) AS min_t, MAX(CASE WHEN p.v = max_v THEN p.t END) AS max_t"
+        at = "p.t = e.first_t OR p.t = e.last_t OR p.v = e.min_v OR p.v = e.max_v"
+        kept = "cnt, first_t, last_t, min_v, max_v"
+        return f"SELECT p.measure AS measure, p.k AS k, {kept}, {picked} FROM ({points}) p JOIN ({ends}) e ON p.measure = e.measure AND p.k = e.k AND ({at}) GROUP BY p.measure, p.k, {kept}"
+
+    def _ask(self, queries: Sequence[str], kinds: dict[str, str]) -> DataFrame:
+        """The rows of all queries; each is a partition with a connection of its own."""
+        out: DataFrame | None = None
+        for query in queries:
+            table = self.spark.read.format("jdbc").options(query=query, **self.options).load()
+            low = {c.lower(): c for c in table.columns}
+            part = table.select(*[F.col(low[c]).cast(t).alias(c) for c, t in kinds.items()])
+            out = part if out is None else out.union(part)
+        return out
 
     def groups(self, x: Interval, width: int, measures: Sequence[str] = ()) -> DataFrame:
-        """Min/max groups made by the store: only groups travel."""
-        table = self.spark.read.format("jdbc").options(query=self.groups_query(x, width, measures), **self.options).load()
-        low = {c.lower(): c for c in table.columns}
+        """measure, k, cnt, sum_v, min_v, max_v of the groups from ``x.start`` on, made by the store: only groups travel."""
         kinds = {"measure": "string", "k": "long", "cnt": "long", "sum_v": "double", "min_v": "double", "max_v": "double"}
-        return table.select(*[F.col(low[c]).cast(t).alias(c) for c, t in kinds.items()])
+        return self._ask([self.groups_query(x, y, width, measures) for y in self.pieces(x, width)], kinds)
+
+    def part_groups(self, parts: Sequence[tuple[str, Interval]], width: int) -> DataFrame:
+        """As for a table, but made by the store."""
+        alike: dict[Interval, dict[str, int]] = {}
+        for u_id, (m, x) in enumerate(parts):
+            alike.setdefault(x, {})[m] = u_id
+        out: DataFrame | None = None
+        for x, numbers in alike.items():
+            found = self.groups(x, width, list(numbers))
+            u_id = F.create_map(*[F.lit(c) for pair in numbers.items() for c in pair])[F.col("measure")]
+            found = found.select(u_id.alias("u_id"), "measure", *buckets.bounds(x.start, width, x.end), "cnt", "sum_v", "min_v", "max_v")
+            out = found if out is None else out.union(found)
+        return out
+
+    def m4(self, interval: Interval, measures: Sequence[str], width: int, count: int) -> DataFrame:
+        """As for a table, but made by the store: only four points a bucket travel."""
+        kinds = {"measure": "string", "k": "long", "cnt": "long"} | {f"{n}_{c}": k for n in ("first", "last", "min", "max") for c, k in (("v", "double"), ("t", "long"))}
+        whole = Interval(interval.start, interval.start + width * count)
+        return self._ask([self.m4_query(whole, y, width, measures) for y in self.pieces(whole, width)], kinds)
+
+    def metadata(self) -> tuple[Interval, list[str], int]:
+        """Extent, measures and sampling interval by two queries of a row a measure and of two rows."""
+        points = self._points_sql(f"{_quoted(self.measure)} IS NOT NULL AND {_quoted(self.time)} IS NOT NULL", 0, 1)
+        ends = self._ask([f"SELECT measure, MIN(t) AS t_first, MAX(t) AS t_last FROM ({points}) g GROUP BY measure"], {"measure": "string", "t_first": "long", "t_last": "long"}).collect()
+        if not ends:
+            raise ValueError("the source is empty")
+        names = sorted(r.measure for r in ends)
+        first = names[0].replace("'", "''")
+        two = sorted(r.t for r in self._ask([f"SELECT t FROM ({points}) g WHERE measure = '{first}' ORDER BY t FETCH FIRST 2 ROWS ONLY"], {"t": "long"}).collect())
+        return Interval(min(r.t_first for r in ends), max(r.t_last for r in ends) + 1), names, two[-1] - two[0]
 
 
 def _quoted(name: str) -> str:
