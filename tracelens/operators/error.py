@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from . import pixels
 
 
-def span_islands(cols: DataFrame, spans: DataFrame) -> DataFrame:
+def span_islands(cols: DataFrame, spans: DataFrame, start: int, step: int, width: int) -> DataFrame:
     """Per column, what whole groups of the spans lie in it: number of islands, their hull, and how far spans reach.
 
     A span's groups stand on a grid from its start, its last one clipped; raw spans (agg -1) count as groups
-    of no width, so that their part of a column is enclosed.  Spans are catalog rows, a list a measure.
+    of no width, so that their part of a column is enclosed.  The columns are the cells of an interval index: a span
+    is posted to those it overlaps, so a column holds its own spans only, however many the measure has.
     """
-    lists = spans.groupBy("measure").agg(F.sort_array(F.collect_list(F.struct("s_from", "s_to", "agg"))).alias("_s"))
-    width = "greatest(s.agg, 1L)"
-    low = f"s.s_from + ceil(greatest(px_from - s.s_from, 0L) / {width}) * {width}"
-    high = f"case when px_to >= s.s_to then s.s_to else s.s_from + floor((px_to - s.s_from) / {width}) * {width} end"
+    posted = pixels.assign(spans.withColumnsRenamed({"s_from": "g_from", "s_to": "g_to"}), start, step, width)
+    lists = posted.groupBy("measure", "i").agg(F.sort_array(F.collect_list(F.struct(F.col("g_from").alias("s_from"), F.col("g_to").alias("s_to"), "agg"))).alias("_s"))
+    grid = "greatest(s.agg, 1L)"
+    low = f"s.s_from + ceil(greatest(px_from - s.s_from, 0L) / {grid}) * {grid}"
+    high = f"case when px_to >= s.s_to then s.s_to else s.s_from + floor((px_to - s.s_from) / {grid}) * {grid} end"
 
     def fold(start: str, end: str) -> str:
         """Number and hull of the islands of one range per span."""
@@ -25,7 +27,7 @@ def span_islands(cols: DataFrame, spans: DataFrame) -> DataFrame:
         none = "named_struct('n', 0, 'f', cast(null as bigint), 't', cast(null as bigint))"
         return f"aggregate({ranges}, {none}, (x, r) -> named_struct('n', x.n + case when x.t is null or r.f > x.t then 1 else 0 end, 'f', coalesce(x.f, r.f), 't', greatest(x.t, r.t)))"
 
-    joined = cols.join(lists, "measure", "left").withColumn("_s", F.expr("coalesce(_s, cast(array() as array<struct<s_from:bigint,s_to:bigint,agg:bigint>>))"))
+    joined = cols.join(lists, ["measure", "i"], "left").withColumn("_s", F.expr("coalesce(_s, cast(array() as array<struct<s_from:bigint,s_to:bigint,agg:bigint>>))"))
     own = ["measure", "i", "px_from", "px_to"]
     made = {
         "whole": fold(f"cast({low} as bigint)", f"least(cast({high} as bigint), px_to)"),
@@ -36,9 +38,23 @@ def span_islands(cols: DataFrame, spans: DataFrame) -> DataFrame:
     return _select(_select(joined, own, made), [*own, "exact"], flat)
 
 
-def _rows(low: str, high: str) -> str:
-    """All pixel rows between two, in either order; none if one is null."""
-    return f"case when {low} is null or {high} is null then cast(array() as array<int>) else sequence(least({low}, {high}), greatest({low}, {high})) end"
+def _ends(name: str, low: str, high: str, height: int, on: str = "true") -> dict[str, str]:
+    """The pixel rows from one to another, in either order, as {name}_l and {name}_h; none, from ``height`` to -1, where one is null."""
+    there = f"{on} and {low} is not null and {high} is not null"
+    return {f"{name}_l": f"case when {there} then least({low}, {high}) else {height} end", f"{name}_h": f"case when {there} then greatest({low}, {high}) else -1 end"}
+
+
+def _size(*names: str) -> str:
+    """How many pixel rows the ranges share."""
+    low, high = (f"{f}({', '.join(f'{n}_{e}' for n in names)})" if len(names) > 1 else f"{names[0]}_{e}" for f, e in (("greatest", "l"), ("least", "h")))
+    return f"greatest({high} - {low} + 1, 0)"
+
+
+def _union_outside(names: list[str], low: str, high: str) -> str:
+    """How many pixel rows below ``low`` or above ``high`` lie in any of a few ranges: those, clipped and in order, are
+    counted from where the ones before end."""
+    clipped = [f"named_struct('l', {n}_l, 'h', least({n}_h, {low} - 1)), named_struct('l', greatest({n}_l, {high} + 1), 'h', {n}_h)" for n in names]
+    return f"aggregate(array_sort(array({', '.join(clipped)})), named_struct('n', 0, 'at', -1), (x, r) -> named_struct('n', x.n + greatest(0, r.h - greatest(r.l - 1, x.at)), 'at', greatest(x.at, r.h)), x -> x.n)"
 
 
 def _px(v: str, height: int) -> str:
@@ -106,7 +122,7 @@ def column_errors(measures: DataFrame, groups: DataFrame, spans: DataFrame, star
     a part that no span covers is undetermined and missing.  ``compat`` leaves out the pixels of partial
     groups inside their own column and takes the left column's left partial between columns.
     """
-    cols = span_islands(pixels.columns(measures, start, step, width), spans)
+    cols = span_islands(pixels.columns(measures, start, step, width), spans, start, step, width)
     out = pixels.with_view(column_cells(cols, groups, raw, start, step, width))
     # a column's neighbours: their points, what covers their open parts and their edges
     there = ("first_t", "first_v", "last_t", "last_v", "exact", "left_min", "left_max", "right_min", "right_max", "a_min", "a_max", "b_min", "b_max")
@@ -131,18 +147,29 @@ def column_errors(measures: DataFrame, groups: DataFrame, spans: DataFrame, star
     flags = {"has_left": has_left, "has_right": has_right}
     out = _select(out, keep, flags | {n: _px(e, height) for n, e in ends.items()})
 
-    def between(name: str, on: str) -> str:
-        crossing = f"array_union({_rows(f'{name}_2', f'{name}_3')}, {_rows(f'{name}_4', f'{name}_5')})"
-        return f"case when not {on} then cast(array() as array<int>) when {name}_0 is not null then {_rows(f'{name}_0', f'{name}_1')} else {crossing} end"
-
-    gone = f"array_union({between('before', 'has_left')}, {between('after', 'has_right')})"
+    # rows that are drawn (to the neighbours and by whole groups), and rows that may be missing: between columns what the
+    # left one's partial group spans, or else what could cross between the groups at both edges, and partial groups
+    rows = _ends("to_left", "left_0", "left_1", height) | _ends("to_right", "right_0", "right_1", height) | _ends("enc", "enc_0", "enc_1", height)
+    gone = []
+    for name, on in (("before", "has_left"), ("after", "has_right")):
+        partial_there = f"{name}_0 is not null"
+        rows |= _ends(f"{name}_p", f"{name}_0", f"{name}_1", height, f"{on} and {partial_there}")
+        rows |= _ends(f"{name}_x", f"{name}_2", f"{name}_3", height, f"{on} and not ({partial_there})")
+        rows |= _ends(f"{name}_y", f"{name}_4", f"{name}_5", height, f"{on} and not ({partial_there})")
+        gone += [f"{name}_p", f"{name}_x", f"{name}_y"]
     if not compat:
-        gone = f"array_union(array_union({gone}, {_rows('own_left_0', 'own_left_1')}), {_rows('own_right_0', 'own_right_1')})"
-    out = _select(out, keep, {"lines": f"array_union({_rows('left_0', 'left_1')}, {_rows('right_0', 'right_1')})", "enc_px": _rows("enc_0", "enc_1"), "gone": gone})
-    out = _select(out, [*keep, "gone"], {"false_rows": "array_except(lines, enc_px)", "drawn": "array_union(lines, enc_px)"})
-    out = _select(out, [*keep, "false_rows"], {"missing_rows": "array_except(gone, case when size(drawn) > 0 then sequence(array_min(drawn), array_max(drawn)) else drawn end)"})
-    err = f"cast(case when undetermined then null when exact or first_t is null then 0D else size(array_union(false_rows, missing_rows)) / {height} end as double)"
-    return _select(out, keep[:5], {"err": err, "missing": "undetermined", "false_px": "size(false_rows)", "missing_px": "size(missing_rows)"})
+        rows |= _ends("own_l", "own_left_0", "own_left_1", height) | _ends("own_r", "own_right_0", "own_right_1", height)
+        gone += ["own_l", "own_r"]
+    out = _select(out, keep, rows)
+    lines = f"{_size('to_left')} + {_size('to_right')} - {_size('to_left', 'to_right')}"
+    enclosed = f"{_size('to_left', 'enc')} + {_size('to_right', 'enc')} - {_size('to_left', 'to_right', 'enc')}"
+    # the hull of what is drawn; nothing drawn hides nothing
+    hull = {"hull_l": "least(to_left_l, to_right_l, enc_l)", "hull_h": f"case when least(to_left_l, to_right_l, enc_l) = {height} then {height} else greatest(to_left_h, to_right_h, enc_h) end"}
+    out = _select(out, [*keep, *(f"{n}_{e}" for n in gone for e in "lh")], hull | {"false_px": f"{lines} - ({enclosed})"})
+    out = _select(out, [*keep, "false_px"], {"missing_px": _union_outside(gone, "hull_l", "hull_h")})
+    # false rows lie in the hull and missing ones don't
+    err = f"cast(case when undetermined then null when exact or first_t is null then 0D else (false_px + missing_px) / {height} end as double)"
+    return _select(out, keep[:5], {"err": err, "missing": "undetermined", "false_px": "false_px", "missing_px": "missing_px"})
 
 
 def verdicts(errors: DataFrame, gap: int) -> DataFrame:
