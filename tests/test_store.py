@@ -1,15 +1,18 @@
 """Sessions on an SQL store: what the planner lets the store aggregate equals what Spark makes of the points."""
 
 import random
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, IsNotNull, LessThan
 
 from tracelens.model import Interval, Query
 from tracelens.operators import buckets
 from tracelens.plans import planner
 from tracelens.plans.session import VizSession
-from tracelens.sources.series import JdbcConfig, LongTable, open_source
+from tracelens.sources import fieldstore
+from tracelens.sources.series import FieldStoreConfig, JdbcConfig, LongTable, open_source
 
 DAY = 1704067200000
 DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
@@ -102,3 +105,49 @@ def test_buckets_by_part_equal_min_max(table):
     x = Interval(DAY, DAY + 50_000)
     got = buckets.part_groups(table.raw([x], ["n"]), [("n", x)], 7_000).drop("u_id")
     assert rows(got) == rows(buckets.min_max(table.raw([x], ["n"]), x, 7_000).drop("k"))
+
+
+def exported(path, names, start, seconds, note="#datatype,string,string,double,dateTime:RFC3339\n"):
+    """One file of a field store: every measurement and field of ``names`` at each second."""
+    rows = [f"{m},{f},{k % 11},{datetime.fromtimestamp(start / 1000 + k, timezone.utc):%Y-%m-%dT%H:%M:%S}{('Z', '', '+00:00')[k % 3]}\n" for k in seconds for m, f in names]
+    half = len(rows) // 2
+    path.write_text(note + "_measurement,_field,_value,_time,host\n" + "".join(r[:-1] + ",h\n" for r in rows[:half]) + "#note\n\n" + "".join(r[:-1] + ",h\n" for r in rows[half:]))
+    return str(path)
+
+
+def test_field_reader_takes_conditions(tmp_path):
+    """What is asked for decides which parts are read, and which rows leave the reader."""
+    parts = [fieldstore.Part(exported(tmp_path / f"{k}.csv", [("plant", "x"), ("plant", "y"), ("other", "x")], DAY + 100_000 * k, range(100)), 0, 1 << 20, (DAY + 100_000 * k) * 1000, (DAY + 100_000 * k + 99_000) * 1000, ["other", "plant"], ["x", "y"]) for k in range(5)]
+    at = lambda ms: datetime.fromtimestamp(ms / 1000, timezone.utc)
+    reader = fieldstore.FieldReader(parts)
+    odd = EqualTo(("_value",), 3.0)
+    conditions = [GreaterThanOrEqual(("_time",), at(DAY + 150_000)), LessThan(("_time",), at(DAY + 210_000)), EqualTo(("_measurement",), "plant"), In(("_field",), ("x", "z")), IsNotNull(("_time",)), odd]
+    assert list(reader.pushFilters(conditions)) == [odd]
+    taken = reader.partitions()
+    assert [p.file for p in taken] == [parts[1].file, parts[2].file]
+    rows = [r for p in taken for b in reader.read(p) for r in b.to_pylist()]
+    assert [r["_time"].timestamp() * 1000 for r in rows] == [DAY + 150_000 + 1000 * k for k in range(60)] and {r["_field"] for r in rows} == {"x"}
+    other = fieldstore.FieldReader(parts)
+    list(other.pushFilters([EqualTo(("_field",), "z")]))
+    assert [p.file for p in other.partitions()] == [""] and list(other.read(other.partitions()[0])) == []
+
+
+@pytest.mark.parametrize("size", [1, 7, 333, 1 << 20])
+def test_parts_of_a_file_are_its_rows(tmp_path, size):
+    path = exported(tmp_path / "a.csv", [("plant", "x"), ("plant", "y")], DAY, range(25))
+    whole = [r for t in fieldstore.rows_of(path, 0, 1 << 30) for r in t.to_pylist()]
+    length = (tmp_path / "a.csv").stat().st_size
+    assert len(whole) == 50 and [r for a in range(0, length, size) for t in fieldstore.rows_of(path, a, min(a + size, length)) for r in t.to_pylist()] == whole
+
+
+def test_a_range_reads_its_files_only(spark, tmp_path):
+    files = [exported(tmp_path / f"{k}.csv", [("plant", "x"), ("plant", "y")], DAY + 100_000 * k, range(100)) for k in range(6)]
+    s = open_source(spark, FieldStoreConfig(",".join(files), "t", "o", "b", "plant", fieldstore.FORMAT))
+    x = Interval(DAY + 130_000, DAY + 230_500)
+    got = s.raw([x], ["y"])
+    assert sorted((r.t, r.v) for r in got.collect()) == [(DAY + 100_000 * k + 1000 * i, float(i % 11)) for k in (1, 2) for i in range(100) if x.contains(DAY + 100_000 * k + 1000 * i)]
+    # the other four files could be gone
+    for k in (0, 3, 4, 5):
+        (tmp_path / f"{k}.csv").unlink()
+    assert s.raw([x], ["y"]).count() == 101 and s.raw([x], ["y"]).rdd.getNumPartitions() == 2
+    assert s.raw([Interval(0, 5)]).count() == 0

@@ -371,8 +371,9 @@ def open_source(spark: SparkSession, config) -> LongTable:
             return JdbcSource(spark, config)
         case FieldStoreConfig():
             if config.format == fieldstore.FORMAT:
-                spark.dataSource.register(fieldstore.FieldFiles)
-            table = spark.read.format(config.format).options(url=config.url, token=config.token, org=config.org, bucket=config.bucket, files=config.url).load()
+                table = fieldstore.open_files(spark, config.url.split(","))
+            else:
+                table = spark.read.format(config.format).options(url=config.url, token=config.token, org=config.org, bucket=config.bucket).load()
             return LongTable(table.filter(F.col("_measurement") == config.measurement), "_field", "_time", "_value")
     raise ValueError(f"unknown source configuration {type(config).__name__}")
 
