@@ -102,7 +102,11 @@ class Query:
 
 @dataclass(frozen=True)
 class Span:
-    """A cached interval of one measure at one resolution, -1 for raw points."""
+    """A cached interval of one measure at one resolution, -1 for raw points.
+
+    ``batch`` names the rows it was stored with.  A span of groups is stored at coarser levels too: ``levels`` more, of
+    which this one is number ``level``, with ``agg`` as wide as its groups.
+    """
 
     span_id: int
     measure: str
@@ -110,6 +114,9 @@ class Span:
     end: int
     agg: int
     rows: int = field(default=0, compare=False)
+    batch: str = field(default="", compare=False)
+    levels: int = field(default=0, compare=False)
+    level: int = field(default=0, compare=False)
 
     def residual(self, x: Interval) -> list[Interval]:
         """What of an interval the span leaves open."""

@@ -9,10 +9,10 @@ import argparse
 import os
 import time
 from collections.abc import Iterable
+from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 
-from ..functions.scalars import format_time
 from ..model import Query
 from ..sources import sinks
 from ..sources.series import CsvConfig, TableConfig, open_source
@@ -34,17 +34,16 @@ def run(session: VizSession, queries: Iterable[Query], dataset: str, path: str |
         answer = session.query(query)
         size = answer.points.count()
         took = time.time() - began
-        values = (dataset, k, query.width, query.height, query.start, query.end, _shown(session, query), size, answer.io_count, took, answer.seconds, answer.seconds - answer.query_seconds, answer.query_seconds, session.catalog.memory_bytes())
+        values = (dataset, k, query.width, query.height, query.start, query.end, _shown(query), size, answer.io_count, took, answer.seconds, answer.seconds - answer.query_seconds, answer.query_seconds, session.catalog.memory_bytes())
         records.append(dict(zip(COLUMNS, values)))
+    session.settle()
     if path:
         sinks.write_log(session.spark, [tuple(r.values()) for r in records], path)
     return records
 
 
-def _shown(session: VizSession, query: Query) -> str:
-    from pyspark.sql import functions as F
-
-    return " - ".join(session.spark.range(1).select(*[format_time(F.lit(t)).alias(n) for n, t in (("a", query.start), ("b", query.end))]).first())
+def _shown(query: Query) -> str:
+    return " - ".join(datetime.fromtimestamp(t // 1000, timezone.utc).strftime("%Y-%m-%d %H:%M:%S") + f".{t % 1000:03d}" for t in (query.start, query.end))
 
 
 def main(arguments: list[str] | None = None) -> list[dict]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import threading
 import time
-from dataclasses import dataclass
+from collections.abc import Collection
+from dataclasses import dataclass, field
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +20,9 @@ from .catalog import SpanCatalog
 
 @dataclass
 class Answer:
-    """points (measure, i, role, t, v), stats and column errors as DataFrames; error is None where exact M4 answered."""
+    """points (measure, i, role, t, v), stats and column errors as DataFrames, and what was decided: the mean error of the cached
+    groups before exact M4 took over, the measures that it answers, the groups per column of what was fetched, and
+    the measures whose whole range was fetched anew because their cached groups were too wrong."""
 
     points: DataFrame
     stats: DataFrame
@@ -28,37 +33,48 @@ class Answer:
     io_count: int
     seconds: float
     query_seconds: float
+    bound: dict[str, float | None] = field(default_factory=dict)
+    factors: dict[str, int] = field(default_factory=dict)
+    refetched: list[str] = field(default_factory=list)
 
 
 class VizSession:
-    """``query`` follows clamp, look up, bound, plan, fetch, bound again, fall back, emit, prefetch."""
+    """``query`` follows clamp, look up, bound, plan, fetch, bound again, fall back, emit, prefetch.
 
-    def __init__(self, source: LongTable, folder: str, initial_factor: int = 4, prefetch: float = 0.0, raw_ratio: float = 6.0, max_gap: int = 10, compat: bool = False):
+    Cached groups are read at the coarsest stored level that has ``initial_factor`` of them a column; where those are too
+    wrong, at their finest.  A prefetch runs after the answer, as a job of its own in the scheduler's pool ``prefetch``;
+    ``settle`` waits for it, and if it fails the session goes on without, with the reason in ``prefetch_error``.
+    With a ``catalog`` name what is cached outlives the session and is shared with others of that name.
+    """
+
+    def __init__(self, source: LongTable, folder: str, initial_factor: int = 4, prefetch: float = 0.0, raw_ratio: float = 6.0, max_gap: int = 10, compat: bool = False, catalog: str | None = None):
         self.source, self.spark = source, source.table.sparkSession
-        self.catalog = SpanCatalog(self.spark, folder)
+        self.catalog = SpanCatalog(self.spark, folder, catalog)
+        self.prefetching: threading.Thread | None = None
+        self.prefetch_error: Exception | None = None
         self.initial_factor, self.prefetch, self.raw_ratio, self.max_gap, self.compat = initial_factor, prefetch, raw_ratio, max_gap, compat
         self.extent, self.names, self.sampling = source.metadata()
 
     # -- parts
 
-    def _columns(self, query: Query, measures: list[str]) -> tuple[DataFrame, list[Span]]:
-        spans = [s for m in measures for s in self.catalog.lookup(m, query.interval, query.step)]
-        return self.spark.createDataFrame([(m,) for m in measures], "measure string"), spans
+    def _spans(self, query: Query, measures: list[str], finest: Collection[str]) -> list[Span]:
+        return [s for m in measures for s in self.catalog.lookup(m, query.interval, query.step, None if m in finest else self.initial_factor)]
 
-    def _errors(self, query: Query, measures: list[str]) -> DataFrame:
-        names, spans = self._columns(query, measures)
+    def _errors(self, query: Query, measures: list[str], spans: list[Span]) -> DataFrame:
+        names = self.spark.createDataFrame([(m,) for m in measures], "measure string")
         raw = self.catalog.rows(spans, True) if any(s.agg < 0 for s in spans) else None
         return error.column_errors(names, self.catalog.rows(spans, False), self.catalog.frame(spans), query.start, query.step, query.width, query.height, raw, self.compat)
 
-    def _verdict(self, query: Query, measures: list[str]) -> tuple[dict[str, float | None], dict[str, list[Interval]], DataFrame | None]:
+    def _verdict(self, query: Query, measures: list[str], finest: Collection[str] = ()) -> tuple[dict[str, float | None], dict[str, list[Interval]], DataFrame | None]:
         """Mean error and missing intervals per measure, and the column errors that tell them (None while nothing
         is cached).  Only sums and gaps come to the driver."""
-        if not any(self.catalog.lookup(m, query.interval, query.step) for m in measures):
+        spans = self._spans(query, measures, finest)
+        if not spans:
             whole = Interval(query.start, query.start + query.step * query.width)
             return dict.fromkeys(measures), {m: [whole] for m in measures}, None
         means: dict[str, float | None] = dict.fromkeys(measures)
         gaps: dict[str, list[Interval]] = {m: [] for m in measures}
-        errors = self._errors(query, measures)
+        errors = self._errors(query, measures, spans)
         for r in error.verdicts(errors, self.max_gap * query.step).collect():
             if r.s_from is not None:
                 gaps[r.measure].append(Interval(r.s_from, r.s_to))
@@ -90,17 +106,10 @@ class VizSession:
         return io
 
     def _cache(self, parts, rows: DataFrame, raw: bool) -> int:
-        new = self.catalog.insert(parts, rows, raw)
-        if not new:
-            return 0
-        counts = {r.span_id: r["count"] for r in self.catalog.rows(new, raw).groupBy("span_id").count().collect()}
-        for key, span in self.catalog.spans.items():
-            if span in new:
-                self.catalog.spans[key] = Span(span.span_id, span.measure, span.start, span.end, span.agg, counts.get(span.span_id, 0))
-        return sum(counts.values())
-
-    def _cached_stats(self, query: Query, measures: list[str]) -> DataFrame:
-        _, spans = self._columns(query, measures)
+        return sum(s.rows for s in self.catalog.insert(parts, rows, raw))
+
+    def _cached_stats(self, query: Query, measures: list[str], finest: Collection[str]) -> DataFrame:
+        spans = self._spans(query, measures, finest)
         placed = pixels.assign(self.catalog.rows(spans, False), query.start, query.step, query.width)
         points = pixels.accepted(placed)
         raw = self.catalog.rows(spans, True)
@@ -113,10 +122,14 @@ class VizSession:
 
     def query(self, query: Query) -> Answer:
         began = time.time()
+        self.catalog.refresh()
         query = planner.clamp(query, self.extent)
         measures = list(query.measures) or self.names
         io, fetched_s = 0, 0.0
         errors, bound, exact = None, dict.fromkeys(measures), []
+        used: dict[str, int] = {}
+        refetched: list[str] = []
+        finest: set[str] = set()
         if query.step < 1:
             # fewer milliseconds than columns: the points themselves
             raw = self.source.raw([query.interval], measures)
@@ -126,6 +139,10 @@ class VizSession:
             exact = measures
         else:
             bound, gaps, errors = self._verdict(query, measures)
+            # where a coarser level is too wrong, the groups it was made of are asked
+            finest = {m for m in measures if bound[m] is not None and bound[m] > 1 - query.accuracy and any(s.level for s in self._spans(query, [m], ()))}
+            if finest:
+                bound, gaps, errors = self._verdict(query, measures, finest)
             failed = {m: bound[m] is not None and bound[m] > 1 - query.accuracy for m in measures}
             factors = {}
             for m in measures:
@@ -133,17 +150,19 @@ class VizSession:
                 if failed[m]:
                     gaps[m] = [query.interval]
             if any(gaps.values()):
+                used = {m: factors[m] for m in measures if gaps[m]}
+                refetched = [m for m in measures if failed[m]]
                 at = time.time()
                 io += self._fetch(query, gaps, factors)
                 fetched_s += time.time() - at
-                bound, _, errors = self._verdict(query, measures)
+                bound, _, errors = self._verdict(query, measures, finest)
             exact = [m for m in measures if bound[m] is None or bound[m] > 1 - query.accuracy]
             if errors is None:
-                errors = self._errors(query, measures)
+                errors = self._errors(query, measures, self._spans(query, measures, finest))
         parts = []
         cached = [m for m in measures if m not in exact]
         if cached:
-            parts.append(self._cached_stats(query, cached))
+            parts.append(self._cached_stats(query, cached, finest))
         if exact:
             io += 4 * query.width * len(exact)
             if planner.pushes(self.source.offers, "m4", len(query.interval) // max(self.sampling, 1), 4 * query.width):
@@ -151,16 +170,31 @@ class VizSession:
             else:
                 found = LongTable.m4(self.source, query.interval, exact, query.step, query.width)
             parts.append(found.drop("cnt").withColumn("i", F.col("k").cast("int")).drop("k"))
-            bound |= dict.fromkeys(exact, 0.0)
         stats = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         points = buckets.points(stats.withColumnRenamed("i", "k")).withColumnRenamed("k", "i")
-        answer = Answer(points, result_stats(stats), errors, bound, exact, query.interval, io, time.time() - began, fetched_s)
+        answer = Answer(points, result_stats(stats), errors, bound | dict.fromkeys(exact, 0.0), exact, query.interval, io, time.time() - began, fetched_s, bound, used, refetched)
         if self.prefetch > 0 and query.accuracy < 1:
+            self.prefetching = InheritableThread(target=self._prefetch, args=(query, measures, self.prefetching), session=self.spark)
+            self.prefetching.start()
+        return answer
+
+    def _prefetch(self, query: Query, measures: list[str], before: threading.Thread | None) -> None:
+        if before:
+            before.join()
+        try:
+            self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", "prefetch")
             wider = planner.prefetch_query(query, self.prefetch, self.extent)
             _, gaps, _ = self._verdict(wider, measures)
             if any(gaps.values()):
                 self._fetch(wider, gaps, {m: self.initial_factor for m in measures})
-        return answer
+        except Exception as e:  # an answer was given; what a prefetch can't do the next query does
+            self.prefetch_error = e
+
+    def settle(self) -> None:
+        """Wait for the prefetch that is under way."""
+        if self.prefetching:
+            self.prefetching.join()
+            self.prefetching = None
 
 
 def _stats(points: DataFrame) -> DataFrame:

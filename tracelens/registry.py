@@ -366,7 +366,7 @@ def line_sql(t0: str, v0: str, t1: str, v1: str, at: str) -> str:
 
 def rows_sql(*ends: tuple[str, str]) -> str:
     """Whether pixel row r lies between the rows of two values, for any of the pairs; not where one is null."""
-    return "(" + " OR ".join(f"coalesce(r BETWEEN least({px_sql(a)}, {px_sql(b)}) AND greatest({px_sql(a)}, {px_sql(b)}), false)" for a, b in ends) + ")"
+    return "(" + " OR ".join(f"coalesce({a} IS NOT NULL AND {b} IS NOT NULL AND r BETWEEN least({px_sql(a)}, {px_sql(b)}) AND greatest({px_sql(a)}, {px_sql(b)}), false)" for a, b in ends) + ")"
 
 
 def between_sql(l: str, r: str, on: str) -> str:  # noqa: E741
@@ -377,16 +377,12 @@ HAS_LEFT, HAS_RIGHT = "(p_last_t IS NOT NULL AND first_t IS NOT NULL)", "(n_firs
 LEFT_SQL = f"({HAS_LEFT} AND {rows_sql((line_sql('p_last_t', 'p_last_v', 'first_t', 'first_v', 'px_from'), 'first_v'))})"
 RIGHT_SQL = f"({HAS_RIGHT} AND {rows_sql(('last_v', line_sql('last_t', 'last_v', 'n_first_t', 'n_first_v', 'px_to')))})"
 GONE_SQL = f"({between_sql('p_', '', HAS_LEFT)} OR {between_sql('', 'n_', HAS_RIGHT)} OR {rows_sql(('left_min', 'left_max'), ('right_min', 'right_max'))})"
-#: Every pixel row of every column is a row here; the sets of the bound are flags on it.
-BOUND_SQL = f"""
-WITH g AS (
-  SELECT *, (g_from + g_to) // 2 AS mid
-  FROM (SELECT measure, {START} + k * {AGG} AS g_from, least({START} + (k + 1) * {AGG}, {SPAN_END}) AS g_to, min_v, max_v
-        FROM (SELECT measure, (t - {START}) // {AGG} AS k, min(v) AS min_v, max(v) AS max_v FROM {E_SQL} WHERE t >= {START} AND t < {SPAN_END} GROUP BY ALL))),
-cols AS (
-  SELECT measure, i, px_from, px_to, px_to <= {SPAN_END} AS covered, {START} + (px_from - {START} + {AGG - 1}) // {AGG} * {AGG} AS isl_from,
-         CASE WHEN px_to >= {SPAN_END} THEN {SPAN_END} ELSE {START} + (px_to - {START}) // {AGG} * {AGG} END AS isl_to
-  FROM {COLS_SQL}),
+def bound_sql(groups: str, columns: str) -> str:
+    """Every pixel row of every column is a row here; the sets of the bound are flags on it.  ``groups`` have measure, g_from,
+    g_to, min_v, max_v, ``columns`` say whether spans cover them and how far whole groups go in them."""
+    return f"""
+WITH g AS (SELECT *, (g_from + g_to) // 2 AS mid FROM ({groups})),
+cols AS ({columns}),
 placed AS (SELECT g.*, i, px_from, px_to, isl_from, isl_to FROM g JOIN cols c ON g.measure = c.measure AND g_from < px_to AND g_to > px_from),
 points AS (
   SELECT measure, i, mid AS t, unnest([min_v, max_v]) AS v FROM placed WHERE mid >= px_from AND mid < px_to),
@@ -420,6 +416,12 @@ SELECT measure, i, px_from, px_to, islands, CASE WHEN missing THEN NULL WHEN fir
 FROM counted"""
 
 
+BOUND_SQL = bound_sql(
+    f"SELECT measure, {START} + k * {AGG} AS g_from, least({START} + (k + 1) * {AGG}, {SPAN_END}) AS g_to, min_v, max_v FROM (SELECT measure, (t - {START}) // {AGG} AS k, min(v) AS min_v, max(v) AS max_v FROM {E_SQL} WHERE t >= {START} AND t < {SPAN_END} GROUP BY ALL)",
+    f"SELECT measure, i, px_from, px_to, px_to <= {SPAN_END} AS covered, {START} + (px_from - {START} + {AGG - 1}) // {AGG} * {AGG} AS isl_from, CASE WHEN px_to >= {SPAN_END} THEN {SPAN_END} ELSE {START} + (px_to - {START}) // {AGG} * {AGG} END AS isl_to FROM {COLS_SQL}",
+)
+
+
 @query(BOUND_SQL)
 def column_error(spark, sf_dir):
     return bounded(spark, sf_dir)
@@ -452,19 +454,6 @@ def io_count(spark, sf_dir):
 # -- planner, as tables
 
 
-#: Half the query is cached with 10 ms columns of 2 ms groups, for the other half the initial factor is 4.
-FACTOR_SQL = "SELECT unnest([false, true, true]) AS cached, unnest([1, 1, 2]) AS times, unnest(['cold', 'mixed', 'doubled']) AS n"
-
-
-@query(f"SELECT max(f) FILTER (WHERE n = 'cold') AS cold, max(f) FILTER (WHERE n = 'mixed') AS mixed, max(f) FILTER (WHERE n = 'doubled') AS doubled FROM (SELECT n, (times * ceil((CASE WHEN cached THEN 0.5 * (10 // 2) ELSE 0 END + 0.5 * 4) / (CASE WHEN cached THEN 1.0 ELSE 0.5 END)))::INT AS f FROM ({FACTOR_SQL}))")
-def agg_factor(spark, sf_dir):
-    from .model import Span
-
-    spans, gap = [Span(0, "m", 0, 50, 2)], [Interval(50, 100)]
-    q = Query(0, 100, 10, 10)
-    return spark.createDataFrame([(planner.aggregation_factor(q, [], gap, 4, False), planner.aggregation_factor(q, spans, gap, 4, False), planner.aggregation_factor(q, spans, gap, 4, True))], "cold int, mixed int, doubled int")
-
-
 @query(f"SELECT greatest(min(t), 0) AS q_from, max(t) + 1 AS q_to FROM {E_SQL}")
 def clamp_query(spark, sf_dir):
     q = planner.clamp(Query(0, 4_000_000_000_000), events(spark, sf_dir).extent())
@@ -548,11 +537,99 @@ def exact_query_e2e(spark, sf_dir):
     return session(spark, sf_dir).query(Query(WEEK.start, WEEK.end, W, H, 1.0)).points
 
 
+# -- decisions of a session: a cold chart, the same one more accurate, half a chart further, and that again with any error.
+# Half-charts, charts and groups are whole multiples of each other, so a column holds whole groups only.
+
+LOOK = START + 2 * DAY
+LOOKS = (Query(LOOK, LOOK + 7 * DAY, W, H, 0.93), Query(LOOK, LOOK + 7 * DAY, W, H, 0.94), Query(LOOK + 7 * DAY // 2, LOOK + 21 * DAY // 2, W, H, 0.945), Query(LOOK + 7 * DAY // 2, LOOK + 21 * DAY // 2, W, H, 0.0))
+LOOK_STEP = LOOKS[0].step
+
+
+def spans_bound_sql(spans: str, query: Query) -> str:
+    """measure, e: the mean bound of spans (measure, s_from, s_to, agg) that end between columns and whose groups do."""
+    groups = f"SELECT measure, s_from + k * agg AS g_from, s_from + (k + 1) * agg AS g_to, min_v, max_v FROM ({spans_groups_sql(spans)})"
+    columns = f"SELECT measure, i, px_from, px_to, covered, px_from AS isl_from, CASE WHEN covered THEN px_to ELSE px_from END AS isl_to FROM (SELECT c.*, EXISTS (SELECT 1 FROM {spans} s WHERE s.measure = c.measure AND s_from <= px_from AND s_to >= px_to) AS covered FROM (SELECT measure, i, {query.start} + i * {LOOK_STEP} AS px_from, {query.start} + (i + 1) * {LOOK_STEP} AS px_to FROM m CROSS JOIN range({W}) r(i)) c)"
+    return f"SELECT measure, avg(err) AS e FROM ({bound_sql(groups, columns)}) GROUP BY measure"
+
+
+def spans_groups_sql(spans: str) -> str:
+    return f"SELECT s.measure, s_from, s_to, agg, (t - s_from) // agg AS k, min(v) AS min_v, max(v) AS max_v FROM {spans} s JOIN {E_SQL} e ON s.measure = e.measure AND t >= s_from AND t < s_to GROUP BY ALL"
+
+
+def decided_sql() -> str:
+    """A model of the decisions, step by step: tables s1 to s3 of spans, f1 to f3 of what is fetched, b1 to b3 of bounds."""
+    first, second, third, _ = LOOKS
+    whole, wide = f"{first.start} AS s_from, {first.end} AS s_to", 7 * DAY // W
+    x, middle = f"{third.start} AS s_from, {third.end} AS s_to", first.end
+    # half of the third chart is cached, once or twice, and half is missing
+    mixed = "ceil((0.5 * 4 + CASE WHEN again THEN 0.5 * 8 ELSE 0 END + 0.5 * 4) / CASE WHEN again THEN 1.5 ELSE 1.0 END)::BIGINT"
+    return f"""WITH m AS (SELECT DISTINCT measure FROM {E_SQL}),
+f1 AS (SELECT measure, false AS again, 4::BIGINT AS factor, {whole} FROM m),
+s1 AS (SELECT measure, s_from, s_to, {wide} // factor AS agg FROM f1),
+b1 AS ({spans_bound_sql('s1', first)}),
+f2 AS (SELECT measure, true AS again, 2 * 4::BIGINT AS factor, {whole} FROM b1 WHERE e > 1 - {second.accuracy}),
+s2 AS (SELECT * FROM s1 UNION ALL SELECT measure, s_from, s_to, {wide} // factor FROM f2),
+b2 AS ({spans_bound_sql('s2', second)}),
+c3 AS ({spans_bound_sql('s2', third)}),
+f3 AS (
+  SELECT measure, failed AS again, factor * CASE WHEN failed THEN 2 ELSE 1 END AS factor, CASE WHEN failed THEN {third.start} ELSE {middle} END AS s_from, {third.end} AS s_to
+  FROM (SELECT measure, e > 1 - {third.accuracy} AS failed, {mixed} AS factor FROM c3 LEFT JOIN (SELECT measure, again FROM f2) USING (measure))),
+s3 AS (SELECT * FROM s2 UNION ALL SELECT measure, s_from, s_to, {wide} // factor FROM f3),
+b3 AS ({spans_bound_sql('s3', third)})
+"""
+
+
+DECIDED_SQL = decided_sql()
+
+
+def looked(spark: SparkSession, sf_dir: str) -> tuple[VizSession, list]:
+    s = session(spark, sf_dir, raw_ratio=0)
+    return s, [s.query(q) for q in LOOKS]
+
+
+@query(f"{DECIDED_SQL} SELECT measure, s_from, s_to, agg, {LOOK_STEP} // agg AS factor FROM s3")
+def agg_factor(spark, sf_dir):
+    """Groups per column of all that a session fetched: cold, doubled after too large an error, and mixed of cached and new."""
+    frame = looked(spark, sf_dir)[0].catalog.frame()
+    return frame.withColumn("factor", F.call_function("div", F.lit(LOOK_STEP), F.col("agg")))
+
+
+def look_sql(k: int) -> str:
+    """The rows of query k of the sequence; the last one fetches nothing, and any error is fine."""
+    n = min(k, 3)
+    fell = f"e > 1 - {LOOKS[k - 1].accuracy}"
+    fetched = f"SELECT measure, again, factor FROM f{k}" if k <= 3 else "SELECT NULL AS measure, false AS again, NULL::BIGINT AS factor WHERE false"
+    groups = f"(SELECT count(*) FROM ({spans_groups_sql(f'(SELECT measure, s_from, s_to, {7 * DAY // W} // factor AS agg FROM f{k})')}))" if k <= 3 else "0"
+    return f"SELECT {k} AS k, b.measure, factor, coalesce(again, false) AS refetched, {fell} AS fallback, round(e, 9) AS bound, {groups} + {4 * W} * (SELECT count(*) FROM b{n} WHERE {fell}) AS io_count FROM b{n} b LEFT JOIN ({fetched}) f ON b.measure = f.measure"
+
+
+@query(f"{DECIDED_SQL} {' UNION ALL '.join(map(look_sql, (1, 2, 3, 4)))}")
+def session_decisions(spark, sf_dir):
+    """What a session decides, query by query and measure by measure."""
+    answers = looked(spark, sf_dir)[1]
+    rows = [(k, m, a.factors.get(m), m in a.refetched, m in a.exact, a.bound[m], a.io_count) for k, a in enumerate(answers, 1) for m in a.bound]
+    return spark.createDataFrame(rows, "k int, measure string, factor long, refetched boolean, fallback boolean, bound double, io_count long").withColumn("bound", F.round("bound", 9))
+
+
+THIRD = LOOKS[2]
+LOOK_PLACED_SQL = f"SELECT measure, i, px_from, px_to, (g_from + g_to) // 2 AS t, unnest([min_v, max_v]) AS v FROM (SELECT measure, s_from + k * agg AS g_from, s_from + (k + 1) * agg AS g_to, min_v, max_v FROM ({spans_groups_sql('s3')})) g, (SELECT i, {THIRD.start} + i * {LOOK_STEP} AS px_from, {THIRD.start} + (i + 1) * {LOOK_STEP} AS px_to FROM range({W}) r(i)) WHERE g_from < px_to AND g_to > px_from"
+LOOK_ROLES = list(enumerate(("first", "min", "max", "last")))
+LOOK_CACHED_SQL = " UNION ALL ".join(f"SELECT measure, i::INT AS i, {k} AS role, {n}_t AS t, {n}_v AS v FROM (SELECT measure, i, {M4_COLUMNS} FROM ({LOOK_PLACED_SQL}) WHERE t >= px_from AND t < px_to GROUP BY measure, i)" for k, n in LOOK_ROLES)
+LOOK_EXACT_SQL = " UNION ALL ".join(f"SELECT measure, k::INT AS i, {k} AS role, {n}_t AS t, {n}_v AS v FROM ({m4_sql(E_SQL, THIRD.start, LOOK_STEP, THIRD.end)})" for k, n in LOOK_ROLES)
+
+
+@query(f"{DECIDED_SQL} SELECT p.* FROM ({LOOK_CACHED_SQL}) p JOIN b3 USING (measure) WHERE e <= 1 - {THIRD.accuracy} UNION ALL SELECT p.* FROM ({LOOK_EXACT_SQL}) p JOIN b3 USING (measure) WHERE e > 1 - {THIRD.accuracy}")
+def session_fallback(spark, sf_dir):
+    """The points of the third query: from groups of several widths, or exact where their bound is too large."""
+    return looked(spark, sf_dir)[1][2].points
+
+
 # the query's own two days, then half of its length on either side, all within the data; raw points
 @query(f"SELECT 'click' AS measure, greatest(x.a, t0) AS s_from, least(x.b, t1) AS s_to, -1::BIGINT AS agg FROM (SELECT unnest([{WEEK.start + 2 * DAY}, {WEEK.start + DAY}, {WEEK.start + 4 * DAY}]) AS a, unnest([{WEEK.start + 4 * DAY}, {WEEK.start + 2 * DAY}, {WEEK.start + 5 * DAY}]) AS b) x, (SELECT min(t) AS t0, max(t) + 1 AS t1 FROM {E_SQL})")
 def prefetch_extend(spark, sf_dir):
     s = session(spark, sf_dir, prefetch=1.0)
     s.query(Query(WEEK.start + 2 * DAY, WEEK.start + 4 * DAY, W, H, 0.5, ("click",)))
+    s.settle()
     return s.catalog.frame()
 
 
