@@ -44,15 +44,9 @@ def _ends(name: str, low: str, high: str, height: int, on: str = "true") -> dict
     return {f"{name}_l": f"case when {there} then least({low}, {high}) else {height} end", f"{name}_h": f"case when {there} then greatest({low}, {high}) else -1 end"}
 
 
-def _size(*names: str) -> str:
-    """How many pixel rows the ranges share."""
-    low, high = (f"{f}({', '.join(f'{n}_{e}' for n in names)})" if len(names) > 1 else f"{names[0]}_{e}" for f, e in (("greatest", "l"), ("least", "h")))
-    return f"greatest({high} - {low} + 1, 0)"
-
-
 def _union_outside(names: list[str], low: str, high: str) -> str:
     """How many pixel rows below ``low`` or above ``high`` lie in any of a few ranges: those, clipped and in order, are
-    counted from where the ones before end."""
+    counted from where the ones before end.  A ``low`` and ``high`` of the chart's height leave all."""
     clipped = [f"named_struct('l', {n}_l, 'h', least({n}_h, {low} - 1)), named_struct('l', greatest({n}_l, {high} + 1), 'h', {n}_h)" for n in names]
     return f"aggregate(array_sort(array({', '.join(clipped)})), named_struct('n', 0, 'at', -1), (x, r) -> named_struct('n', x.n + greatest(0, r.h - greatest(r.l - 1, x.at)), 'at', greatest(x.at, r.h)), x -> x.n)"
 
@@ -113,14 +107,16 @@ def column_cells(cols: DataFrame, groups: DataFrame, raw: DataFrame | None, star
     return _select(out, [*cols.columns, "enc_min", "enc_max"], flat)
 
 
-def column_errors(measures: DataFrame, groups: DataFrame, spans: DataFrame, start: int, step: int, width: int, height: int, raw: DataFrame | None = None, compat: bool = False) -> DataFrame:
+def column_errors(measures: DataFrame, groups: DataFrame, spans: DataFrame, start: int, step: int, width: int, height: int, raw: DataFrame | None = None, compat: bool = False, strict: bool = False) -> DataFrame:
     """measure, i, px_from, px_to, islands, err (null: undetermined), missing, false_px, missing_px.
 
     ``groups`` have min_v, max_v and their times; ``spans`` say what was fetched (measure, s_from, s_to, agg),
     so an empty group and a group never fetched differ.  A column that raw spans cover is exact; one that
     spans cover and that holds no point has error 0; one with no island of whole groups, more than one, or
     a part that no span covers is undetermined and missing.  ``compat`` leaves out the pixels of partial
-    groups inside their own column and takes the left column's left partial between columns.
+    groups inside their own column and takes the left column's left partial between columns.  ``strict`` adds what else
+    may be drawn wrong: lines between exact columns and others, and the strokes of groups that only partly lie in
+    the column where their extremes stand.
     """
     cols = span_islands(pixels.columns(measures, start, step, width), spans, start, step, width)
     out = pixels.with_view(column_cells(cols, groups, raw, start, step, width))
@@ -130,8 +126,7 @@ def column_errors(measures: DataFrame, groups: DataFrame, spans: DataFrame, star
     made = {f"{p}{c}": f"{f}({c}) {side}" for p, f in (("p_", "lag"), ("n_", "lead")) for c in there}
     out = _select(out, out.columns, made | {"undetermined": "not exact and (not covered or (islands != 1 and first_t is not null))"})
 
-    has_left = "p_last_t is not null and not p_exact and first_t is not null"
-    has_right = "n_first_t is not null and not n_exact and first_t is not null"
+    has_left, has_right = (f"{t} is not null and first_t is not null and not {f'({n}_exact and exact)' if strict else f'{n}_exact'}" for t, n in (("p_last_t", "p"), ("n_first_t", "n")))
     ends = {
         "left_0": _line("p_last_t", "p_last_v", "first_t", "first_v", "px_from"),
         "left_1": "first_v",
@@ -141,8 +136,13 @@ def column_errors(measures: DataFrame, groups: DataFrame, spans: DataFrame, star
     ends = {n: f"(case when {has_left if n < 'm' else has_right} then {e} end)" for n, e in ends.items()}
     ends |= {"enc_0": "enc_min", "enc_1": "enc_max", "own_left_0": "left_min", "own_left_1": "left_max", "own_right_0": "right_min", "own_right_1": "right_max"}
     partial = "left" if compat else "right"
+    # at the edge of an exact column stands a point, not a group
+    edge = lambda side, point, group: f"case when {side}exact then {side}{point} else {side}{group} end"
     for name, l, r in (("before", "p_", ""), ("after", "", "n_")):
-        ends |= {f"{name}_0": f"{l}{partial}_min", f"{name}_1": f"{l}{partial}_max", f"{name}_2": f"{r}a_min", f"{name}_3": f"{l}b_max", f"{name}_4": f"{r}a_max", f"{name}_5": f"{l}b_min"}
+        ends |= {f"{name}_{k}": f"case when not {l}exact then {l}{partial}_{c} end" for k, c in ((0, "min"), (1, "max"))}
+        ends |= {f"{name}_2": edge(r, "first_v", "a_min"), f"{name}_3": edge(l, "last_v", "b_max"), f"{name}_4": edge(r, "first_v", "a_max"), f"{name}_5": edge(l, "last_v", "b_min")}
+    if strict:
+        ends |= {"own_0": "min_v", "own_1": "max_v"}
     keep = ["measure", "i", "px_from", "px_to", "islands", "exact", "first_t", "undetermined"]
     flags = {"has_left": has_left, "has_right": has_right}
     out = _select(out, keep, flags | {n: _px(e, height) for n, e in ends.items()})
@@ -160,15 +160,19 @@ def column_errors(measures: DataFrame, groups: DataFrame, spans: DataFrame, star
     if not compat:
         rows |= _ends("own_l", "own_left_0", "own_left_1", height) | _ends("own_r", "own_right_0", "own_right_1", height)
         gone += ["own_l", "own_r"]
+    lines = ["to_left", "to_right"]
+    if strict:
+        rows |= _ends("own", "own_0", "own_1", height)
+        lines.append("own")
     out = _select(out, keep, rows)
-    lines = f"{_size('to_left')} + {_size('to_right')} - {_size('to_left', 'to_right')}"
-    enclosed = f"{_size('to_left', 'enc')} + {_size('to_right', 'enc')} - {_size('to_left', 'to_right', 'enc')}"
-    # the hull of what is drawn; nothing drawn hides nothing
-    hull = {"hull_l": "least(to_left_l, to_right_l, enc_l)", "hull_h": f"case when least(to_left_l, to_right_l, enc_l) = {height} then {height} else greatest(to_left_h, to_right_h, enc_h) end"}
-    out = _select(out, [*keep, *(f"{n}_{e}" for n in gone for e in "lh")], hull | {"false_px": f"{lines} - ({enclosed})"})
+    # the hull of what is drawn; nothing drawn, and no whole group, hide nothing
+    low, high = (f"{f}({', '.join(f'{n}_{e}' for n in [*lines, 'enc'])})" for f, e in (("least", "l"), ("greatest", "h")))
+    hull = {"hull_l": low, "hull_h": f"case when {low} = {height} then {height} else {high} end"}
+    false_px = _union_outside(lines, "enc_l", f"case when enc_l = {height} then {height} else enc_h end")
+    out = _select(out, [*keep, *(f"{n}_{e}" for n in gone for e in "lh")], hull | {"false_px": false_px})
     out = _select(out, [*keep, "false_px"], {"missing_px": _union_outside(gone, "hull_l", "hull_h")})
     # false rows lie in the hull and missing ones don't
-    err = f"cast(case when undetermined then null when exact or first_t is null then 0D else (false_px + missing_px) / {height} end as double)"
+    err = f"cast(case when undetermined then null when {'exact or ' * (not strict)}first_t is null then 0D else (false_px + missing_px) / {height} end as double)"
     return _select(out, keep[:5], {"err": err, "missing": "undetermined", "false_px": "false_px", "missing_px": "missing_px"})
 
 

@@ -44,15 +44,16 @@ class VizSession:
     Cached groups are read at the coarsest stored level that has ``initial_factor`` of them a column; where those are too
     wrong, at their finest.  A prefetch runs after the answer, as a job of its own in the scheduler's pool ``prefetch``;
     ``settle`` waits for it, and if it fails the session goes on without, with the reason in ``prefetch_error``.
+    ``strict`` is the bound that also covers what the documented one leaves out (``error.column_errors``).
     With a ``catalog`` name what is cached outlives the session and is shared with others of that name.
     """
 
-    def __init__(self, source: LongTable, folder: str, initial_factor: int = 4, prefetch: float = 0.0, raw_ratio: float = 6.0, max_gap: int = 10, compat: bool = False, catalog: str | None = None):
+    def __init__(self, source: LongTable, folder: str, initial_factor: int = 4, prefetch: float = 0.0, raw_ratio: float = 6.0, max_gap: int = 10, compat: bool = False, catalog: str | None = None, strict: bool = False):
         self.source, self.spark = source, source.table.sparkSession
         self.catalog = SpanCatalog(self.spark, folder, catalog)
         self.prefetching: threading.Thread | None = None
         self.prefetch_error: Exception | None = None
-        self.initial_factor, self.prefetch, self.raw_ratio, self.max_gap, self.compat = initial_factor, prefetch, raw_ratio, max_gap, compat
+        self.initial_factor, self.prefetch, self.raw_ratio, self.max_gap, self.compat, self.strict = initial_factor, prefetch, raw_ratio, max_gap, compat, strict
         self.extent, self.names, self.sampling = source.metadata()
 
     # -- parts
@@ -63,7 +64,7 @@ class VizSession:
     def _errors(self, query: Query, measures: list[str], spans: list[Span]) -> DataFrame:
         names = self.spark.createDataFrame([(m,) for m in measures], "measure string")
         raw = self.catalog.rows(spans, True) if any(s.agg < 0 for s in spans) else None
-        return error.column_errors(names, self.catalog.rows(spans, False), self.catalog.frame(spans), query.start, query.step, query.width, query.height, raw, self.compat)
+        return error.column_errors(names, self.catalog.rows(spans, False), self.catalog.frame(spans), query.start, query.step, query.width, query.height, raw, self.compat, self.strict)
 
     def _verdict(self, query: Query, measures: list[str], finest: Collection[str] = ()) -> tuple[dict[str, float | None], dict[str, list[Interval]], DataFrame | None]:
         """Mean error and missing intervals per measure, and the column errors that tell them (None while nothing
