@@ -1,5 +1,6 @@
 """Sessions on an SQL store: what the planner lets the store aggregate equals what Spark makes of the points."""
 
+import os
 import random
 from datetime import datetime, timezone
 
@@ -12,7 +13,7 @@ from tracelens.operators import buckets
 from tracelens.plans import planner
 from tracelens.plans.session import VizSession
 from tracelens.sources import fieldstore
-from tracelens.sources.series import FieldStoreConfig, JdbcConfig, LongTable, open_source
+from tracelens.sources.series import CsvConfig, FieldStoreConfig, JdbcConfig, LongTable, open_source
 
 DAY = 1704067200000
 DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
@@ -151,3 +152,32 @@ def test_a_range_reads_its_files_only(spark, tmp_path):
         (tmp_path / f"{k}.csv").unlink()
     assert s.raw([x], ["y"]).count() == 101 and s.raw([x], ["y"]).rdd.getNumPartitions() == 2
     assert s.raw([Interval(0, 5)]).count() == 0
+
+
+def test_reopening_csv_files_reads_none(spark, tmp_path):
+    folder, at = tmp_path / "wide", lambda k: f"2024-01-01 00:00:{k:02d}.000"
+    folder.mkdir()
+    for name, first in (("a", 0), ("b", 10), ("c", 20)):
+        (folder / f"{name}.csv").write_text("time;x;y\n" + "".join(f"{at(first + k)};{k};{k / 2}\n" for k in range(10)))
+    config = CsvConfig(str(folder), "time", ";", str(tmp_path / "ranges"))
+    opened = open_source(spark, config)
+    assert opened.metadata() == (Interval(DAY, DAY + 29_001), ["x", "y"], 1000)
+    # the same length and time of change, but nothing that could be read
+    for f in folder.iterdir():
+        stat = f.stat()
+        f.write_bytes(b"?" * stat.st_size)
+        os.utime(f, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    again = open_source(spark, config)
+    assert again.metadata() == opened.metadata() and sorted(f.rsplit("/", 1)[1] for f in again.reached([Interval(DAY + 5000, DAY + 10_001)])) == ["a.csv", "b.csv"]
+    assert len(list((tmp_path / "ranges").iterdir())) == 1
+    # a changed file and a new one are read, the others aren't; a file that is gone is forgotten
+    (folder / "b.csv").write_text("time;x;y\n" + "".join(f"{at(30 + k)};{k};{k}\n" for k in range(5)))
+    (folder / "d.csv").write_text("time;x;y\n" + "".join(f"{at(40 + k)};7;\n" for k in range(5)))
+    (folder / "c.csv").unlink()
+    third = open_source(spark, config)
+    assert sorted((r.file.rsplit("/", 1)[1], r.t_first - DAY, r.t_last - DAY) for r in third.files().collect()) == [("a.csv", 0, 9000), ("b.csv", 30_000, 34_000), ("d.csv", 40_000, 44_000)]
+    got = third.raw([Interval(DAY + 33_000, DAY + 42_000)])
+    assert sorted(tuple(r) for r in got.collect()) == [("x", DAY + 33_000, 3.0), ("x", DAY + 34_000, 4.0), ("x", DAY + 40_000, 7.0), ("x", DAY + 41_000, 7.0), ("y", DAY + 33_000, 3.0), ("y", DAY + 34_000, 4.0)]
+    (folder / "e.csv").write_text("time;x;z\n" + f"{at(50)};1;1\n{at(51)};1;1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        open_source(spark, config)

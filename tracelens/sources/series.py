@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Protocol
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,11 +48,12 @@ class TableConfig:
 
 @dataclass(frozen=True)
 class CsvConfig:
-    """A wide CSV file or a folder of them with one header."""
+    """A wide CSV file or a folder of them with one header; ``ranges`` is a folder in which what is known of the files is kept."""
 
     path: str
     time_col: str
     delimiter: str = ","
+    ranges: str | None = None
 
     def __post_init__(self):
         if not self.path or not self.time_col:
@@ -206,48 +210,101 @@ class CsvSource(LongTable):
     """Wide CSV file or folder.  The files of a folder must have one header and one sampling interval, or opening
     fails; a range reads only the files whose times reach into it.
 
-    What is known of the files, a row each, is on the driver, as Spark's own list of them is.
+    What is known of the files (length, time of change, first and last time, sampling interval, header) is a table.  With a
+    folder for it only new and changed files are read when a source is opened, and of the others nothing.
     """
 
+    KNOWN = "file string, length long, modified timestamp, t_first long, t_last long, sampling_ms long, header string"
+
     def __init__(self, spark: SparkSession, config: CsvConfig):
         self.spark, self.config = spark, config
-        self.wide = self._read(config.path)
-        if config.time_col not in self.wide.columns:
+        listed = spark.read.format("binaryFile").load(config.path).select(F.col("path").alias("file"), "length", F.col("modificationTime").alias("modified"))
+        stored = spark.read.schema(self.KNOWN).parquet(f"{config.ranges}/*") if self._any_stored() else spark.createDataFrame([], self.KNOWN)
+        fresh = [r.file for r in listed.join(stored, ["file", "length", "modified"], "left_anti").select("file").collect()]
+        header = stored.select("header").first()
+        # the first header is read from a file once, and holds for all
+        self.header = header.header if header else config.delimiter.join(self._read(fresh[0]).columns if fresh else [])
+        if config.time_col not in self.header.split(config.delimiter):
             raise ValueError(f"no column {config.time_col}")
+        if fresh:
+            found = self._scanned(fresh).join(listed, "file").selectExpr(*[c.split()[0] for c in self.KNOWN.split(", ")])
+            if config.ranges:
+                # a batch is a folder of its own, so that opening sources don't disturb each other
+                batch = f"{config.ranges.rstrip('/')}/{uuid.uuid4().hex}"
+                found.coalesce(1).write.parquet(batch)
+                found = spark.read.schema(self.KNOWN).parquet(batch)
+            else:
+                found = spark.createDataFrame(found.collect(), self.KNOWN)
+            stored = stored.unionByName(found)
+        self.known = listed.join(stored.dropDuplicates(["file", "length", "modified"]), ["file", "length", "modified"])
+        self.ends = self.known.agg(F.min("t_first").alias("first"), F.max("t_last").alias("last"), F.min("sampling_ms").alias("low"), F.max("sampling_ms").alias("high"), F.countDistinct("header").alias("headers")).first()
+        if self.ends.headers > 1:
+            raise ValueError("headers differ between files")
+        if self.ends.low != self.ends.high:
+            raise ValueError(f"sampling intervals differ between files: {self.ends.low} to {self.ends.high} ms")
+        self.wide = self._read(config.path)
         super().__init__(self._long(self.wide), "measure", config.time_col, "v")
-        self.known = [(r.file, r.t_first, r.t_last) for r in self._checked(self.files()).collect()]
 
-    def _read(self, path) -> DataFrame:
-        return self.spark.read.option("header", True).option("sep", self.config.delimiter).option("enforceSchema", False).csv(path)
+    def _any_stored(self) -> bool:
+        if not self.config.ranges:
+            return False
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.config.ranges}/*")
+        return bool(path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path))
+
+    def _read(self, path, pruned: bool = True) -> DataFrame:
+        """Files by their header, which Spark compares with each file's own as it reads them: the columns asked for, or all."""
+        reader = self.spark.read.option("header", True).option("sep", self.config.delimiter).option("enforceSchema", False).option("columnPruning", pruned)
+        names = getattr(self, "header", None)
+        if names:
+            reader = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names.split(self.config.delimiter)]))
+        return reader.csv(path)
 
     def _long(self, wide: DataFrame) -> DataFrame:
         return wide_to_long(wide.withColumn(self.config.time_col, parse_time(F.col(self.config.time_col))), self.config.time_col)
 
-    def _checked(self, files: DataFrame) -> DataFrame:
-        r = files.agg(F.min("sampling_ms").alias("low"), F.max("sampling_ms").alias("high")).first()
-        if r.low != r.high:
-            raise ValueError(f"sampling intervals differ between files: {r.low} to {r.high} ms")
-        return files
+    def _scanned(self, files: list[str]) -> DataFrame:
+        """file, t_first, t_last, sampling_ms, header, in one scan: a task hands on two least times and the last of each file."""
+        rows = self._read(files, False).select(F.col("_metadata.file_path").alias("file"), parse_time(F.col(self.config.time_col)).alias("t")).filter("t is not null")
+
+        def ends(batches):
+            found: dict[str, list[int]] = {}
+            for batch in batches:
+                for file in batch.column("file").unique().to_pylist():
+                    t = batch.column("t").filter(pc.equal(batch.column("file"), file)).unique().to_pylist()
+                    found[file] = sorted({*found.get(file, []), *t})
+                    found[file] = [*found[file][:2], *found[file][2:][-1:]]
+            yield pa.RecordBatch.from_pydict({"file": pa.array(list(found), pa.string()), "ts": pa.array(list(found.values()), pa.list_(pa.int64()))})
+
+        # the times of all tasks of a file, three a task
+        ts = F.array_sort(F.array_distinct(F.flatten(F.collect_list("ts"))))
+        out = rows.mapInArrow(ends, "file string, ts array<long>").groupBy("file").agg(ts.alias("ts"))
+        second = F.get("ts", F.lit(1)) - F.get("ts", F.lit(0))
+        return out.select("file", F.get("ts", F.lit(0)).alias("t_first"), F.element_at("ts", -1).alias("t_last"), second.alias("sampling_ms"), F.lit(self.header).alias("header"))
 
     def files(self) -> DataFrame:
         """File, first and last time, sampling interval of every file."""
-        t = parse_time(F.col(self.config.time_col))
-        rows = self.wide.select(F.col("_metadata.file_path").alias("file"), t.alias("t"))
-        ends = rows.groupBy("file").agg(F.min("t").alias("t_first"), F.max("t").alias("t_last"))
-        later = rows.join(F.broadcast(ends.select("file", "t_first")), "file").filter(F.col("t") > F.col("t_first")).groupBy("file").agg(F.min("t").alias("second"))
-        return ends.join(later, "file", "left").select("file", "t_first", "t_last", (F.col("second") - F.col("t_first")).alias("sampling_ms"))
+        return self.known.select("file", "t_first", "t_last", "sampling_ms")
 
     def reached(self, intervals: Sequence[Interval]) -> list[str]:
         """The files that hold times of the intervals."""
-        return [f for f, first, last in self.known if any(Interval(first, last + 1).overlaps(x) for x in intervals)]
+        wanted = F.lit(False)
+        for x in merge(list(intervals)):
+            wanted = wanted | ((F.col("t_first") < x.end) & (F.col("t_last") >= x.start))
+        return [r.file for r in self.known.filter(wanted).select("file").collect()]
 
     def raw(self, intervals: Sequence[Interval] | None = None, measures: Sequence[str] = ()) -> DataFrame:
-        if intervals is None or len(self.known) < 2:
+        if intervals is None:
             return super().raw(intervals, measures)
         files = self.reached(intervals)
         part = LongTable(self._long(self._read(files)) if files else self.table.limit(0), "measure", self.config.time_col, "v")
         return part.raw(intervals, measures)
 
+    def metadata(self) -> tuple[Interval, list[str], int]:
+        """From what is known of the files; a measure is a column, whether or not it holds numbers."""
+        if self.ends.first is None:
+            raise ValueError("the source is empty")
+        return Interval(self.ends.first, self.ends.last + 1), sorted(n for n in self.header.split(self.config.delimiter) if n != self.config.time_col), self.ends.low or 0
+
 
 class JdbcSource(LongTable):
     """A long table in an SQL store.  A range is read by ``partitions`` connections, each with its part of the
