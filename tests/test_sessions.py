@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelens import registry
-from tracelens.model import Interval, Query, Span, merge
+from tracelens.model import Interval, Query, Span, merge, narrow
 from tracelens.operators import buckets, error, intervals, pixels
 from tracelens.plans.catalog import SpanCatalog, SpanIndex
 from tracelens.plans.session import VizSession
@@ -220,3 +220,20 @@ def test_every_kind_of_decision_happens(spark):
     assert {r.fallback for r in got} == {r.refetched for r in got} == {True, False}
     assert {r.factor for r in got} >= {4, 8, 12, None} and {r.io_count for r in got if r.k == 4} == {0}
     assert any(r.refetched and not r.fallback for r in got) and any(r.refetched and r.fallback for r in got)
+
+
+def test_many_intervals_are_a_table(spark, walk):
+    """A hundred gaps: the same points as of one after the other, and a plan that doesn't grow with them."""
+    rng = random.Random(6)
+    asked = [(rng.choice("ab"), Interval(a, a + rng.choice((1, 5_000, 60_000)))) for a in (rng.randrange(7_200_000) for _ in range(100))]
+    asked.append(("a", Interval(10, 10)))
+    xs = [x for _, x in asked]
+    got = walk.raw(xs)
+    whole = [tuple(r) for r in walk.raw().collect()]
+    assert rows(got) == rows(spark.createDataFrame([r for r in whole if any(x.contains(r[1]) for x in xs)], "measure string, t long, v double"))
+    tagged = sorted((r.u_id, r.t) for r in buckets.raw_multi(got, asked).collect())
+    assert tagged == sorted((k, t) for k, (m, x) in enumerate(asked) for n, t, _ in whole if n == m and x.contains(t))
+    size = lambda n: len(buckets.raw_multi(walk.raw(xs[:n]), asked[:n])._jdf.queryExecution().optimizedPlan().toString())
+    assert size(100) < 1.5 * size(50)
+    assert narrow([Interval(0, 1), Interval(5, 6), Interval(7, 9), Interval(20, 21)], 2) == [Interval(0, 9), Interval(20, 21)]
+    assert narrow([Interval(0, 1)], 5) == [Interval(0, 1)] and narrow([], 3) == []

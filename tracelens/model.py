@@ -54,6 +54,14 @@ def merge(intervals: list[Interval], gap: int = 0) -> list[Interval]:
     return out
 
 
+def narrow(intervals: list[Interval], most: int) -> list[Interval]:
+    """At most ``most`` intervals that cover the union of ``intervals``: those closest to each other are joined."""
+    some = merge(intervals)
+    wide = sorted(range(1, len(some)), key=lambda k: (some[k - 1].end - some[k].start, k))[: most - 1]
+    at = [0, *sorted(wide), len(some)]
+    return [some[a].hull(some[b - 1]) for a, b in zip(at, at[1:]) if a < b]
+
+
 def subtract(whole: Interval, parts: list[Interval]) -> list[Interval]:
     """What ``parts`` leave of ``whole``."""
     out, at = [], whole.start

@@ -11,15 +11,38 @@ from ..functions.scalars import bucket
 from ..model import Interval
 
 
+#: More intervals than this are a table that points are joined with, not conditions in the plan.
+CONDITIONS = 32
+
+
 def raw_multi(series: DataFrame, asked: Sequence[tuple[str, Interval]]) -> DataFrame:
     """Points per asked (measure, interval), tagged by its number u_id: one scan, no union of scans.
 
     A point in two asked intervals is returned for both.
     """
+    if len(asked) > CONDITIONS:
+        cells, width = interval_cells(series, [(k, m, x) for k, (m, x) in enumerate(asked)])
+        met = series.withColumn("_cell", F.floor(F.col("t") / width)).join(cells, ["measure", "_cell"])
+        return met.filter("t >= s_from and t < s_to").select("u_id", "measure", "t", "v")
     tags = F.array(*[F.when((F.col("measure") == m) & (F.col("t") >= x.start) & (F.col("t") < x.end), F.lit(k)) for k, (m, x) in enumerate(asked)])
     return series.select(F.explode(F.array_compact(tags)).alias("u_id"), "measure", "t", "v")
 
 
+def within_any(series: DataFrame, some: Sequence[Interval]) -> DataFrame:
+    """Points in any of many disjoint intervals."""
+    cells, width = interval_cells(series, [(k, "", x) for k, x in enumerate(some)])
+    cells = cells.select(F.col("_cell").alias("_at"), "s_from", "s_to")
+    return series.join(cells, (F.floor(F.col("t") / width) == F.col("_at")) & (F.col("t") >= F.col("s_from")) & (F.col("t") < F.col("s_to")), "left_semi")
+
+
+def interval_cells(series: DataFrame, asked: Sequence[tuple[int, str, Interval]]) -> tuple[DataFrame, int]:
+    """u_id, measure, s_from, s_to, _cell of intervals in every time cell that they reach, and the cells' width: the mean
+    length, so that there are about two cells an interval."""
+    width = max(1, sum(len(x) for _, _, x in asked) // len(asked))
+    table = series.sparkSession.createDataFrame([(k, m, x.start, x.end) for k, m, x in asked if len(x)], "u_id int, measure string, s_from long, s_to long")
+    return table.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("s_from") / width), F.floor((F.col("s_to") - 1) / width)))), width
+
+
 def in_range(series: DataFrame, start: int, width: int, count: int) -> DataFrame:
     """Points in ``count`` buckets of ``width`` from ``start``, with their bucket k; the tail beyond is dropped."""
     inside = series.filter((F.col("t") >= start) & (F.col("t") < start + width * count))
@@ -40,8 +63,8 @@ def min_max(series: DataFrame, within: Interval, width: int) -> DataFrame:
 
 def part_groups(points: DataFrame, parts: Sequence[tuple[str, Interval]], width: int) -> DataFrame:
     """Min/max groups of each (measure, interval), on a grid from its start, tagged by its number u_id."""
-    ends = [F.element_at(F.array(*[F.lit(e) for e in at]), F.col("u_id") + 1) for at in ([x.start for _, x in parts], [x.end for _, x in parts])]
-    keyed = raw_multi(points, parts).withColumn("s", ends[0]).withColumn("e", ends[1]).withColumn("k", F.call_function("div", F.col("t") - F.col("s"), F.lit(width)))
+    ends = points.sparkSession.createDataFrame([(k, x.start, x.end) for k, (_, x) in enumerate(parts)], "u_id int, s long, e long")
+    keyed = raw_multi(points, parts).join(ends, "u_id").withColumn("k", F.call_function("div", F.col("t") - F.col("s"), F.lit(width)))
     groups = keyed.groupBy("u_id", "measure", "s", "e", "k").agg(F.count("*").alias("cnt"), F.sum("v").alias("sum_v"), F.min("v").alias("min_v"), F.max("v").alias("max_v"))
     return groups.select("u_id", "measure", (F.col("s") + F.col("k") * width).alias("g_from"), F.least(F.col("s") + (F.col("k") + 1) * width, F.col("e")).alias("g_to"), "cnt", "sum_v", "min_v", "max_v")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import millis, parse_time
-from ..model import Interval, merge
+from ..model import Interval, merge, narrow
 from ..operators import buckets
 from . import fieldstore
 
@@ -143,9 +143,12 @@ class LongTable:
     def raw(self, intervals: Sequence[Interval] | None = None, measures: Sequence[str] = ()) -> DataFrame:
         """Points of the measures in any of the intervals: one scan with one predicate; values that are null or
         not a number are left out."""
-        rows = self.table
+        rows, many = self.table, None
         if intervals is not None:
             some = merge(list(intervals))
+            if len(some) > buckets.CONDITIONS:
+                # the scan gets a few ranges around them
+                many, some = some, narrow(some, buckets.CONDITIONS)
             wanted = F.lit(False)
             for x in some:
                 wanted = self.within(x) if x is some[0] else wanted | self.within(x)
@@ -154,7 +157,8 @@ class LongTable:
             rows = rows.filter(F.col(self.measure).isin(list(measures)))
         t = millis(F.col(self.time)) if isinstance(self.kind, (T.TimestampType, T.TimestampNTZType)) else F.col(self.time).cast("long")
         out = rows.select(F.col(self.measure).cast("string").alias("measure"), t.alias("t"), F.col(self.value).cast("double").alias("v"))
-        return out.filter("v is not null and not isnan(v) and t is not null and measure is not null")
+        out = out.filter("v is not null and not isnan(v) and t is not null and measure is not null")
+        return buckets.within_any(out, many) if many else out
 
     def part_groups(self, parts: Sequence[tuple[str, Interval]], width: int) -> DataFrame:
         """Min/max groups of ``width`` per (measure, interval), made from points: u_id (the part's number), measure, g_from,
@@ -330,7 +334,7 @@ class JdbcSource(LongTable):
 
     def predicates(self, intervals: Sequence[Interval], measures: Sequence[str] = ()) -> list[str]:
         """Conditions that share out the intervals: each is cut in pieces of about equal length."""
-        some = merge(list(intervals))
+        some = narrow(list(intervals), buckets.CONDITIONS)
         length = max(1, -(-sum(map(len, some)) // self.config.partitions))
         return [self.condition(Interval(a, min(a + length, x.end)), measures) for x in some for a in range(x.start, x.end, length)]
 
