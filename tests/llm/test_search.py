@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tracelens.llm import divergence, pstable, ranked, terms
+from tracelens.llm import divergence, pstable, ranked, sharding, terms
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, item_id string, rank int, score string"
@@ -204,3 +204,23 @@ def test_heap_keeps_ties_by_least_id():
     best.harvest(np.array([5, 5, 5, 5, 1]), np.array([9, 7, 8, 6, 1]))
     best.harvest(np.array([5, 6]), np.array([2, 99]))
     assert sorted((~d, s) for s, d in best.heap) == [(2, 5), (6, 5), (99, 6)]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_shards_are_even_where_ids_and_records_repeat(spark, parts):
+    """A third of the rows has one id, another third is one record; shards differ by less than 1 % in bytes."""
+    rng = np.random.default_rng(1)
+    size = rng.integers(1, 60, 30_000).tolist()
+    made = [(k if k % 3 else 5, f"{k} " + "x" * size[k]) if k % 3 != 1 else (7, "the same text") for k in range(30_000)] + [(None, None)] * 50
+    table = spark.createDataFrame(made, "doc_id long, text string").repartition(parts)
+    got = sharding.shard(table).collect()
+    load, numbers, slots = Counter(), defaultdict(list), Counter()
+    for r in got:
+        load[r.shard] += r.size
+        numbers[r.shard].append(r.slot)
+        slots[r.vslot] += 1
+    assert len(got) == len(made) and max(load.values()) - min(load.values()) < 0.01 * sum(load.values()) / 8
+    assert all(sorted(n) == list(range(len(n))) for n in numbers.values()) and max(slots.values()) < 40
+    # the slots are those of the records, however the rows are dealt
+    again = sharding.with_slots(table.repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.text_crc32, r.vslot) for r in again) == sorted((str(r.doc_id), r.text_crc32, r.vslot) for r in got)

@@ -21,16 +21,27 @@ SLOTS = 4096
 def with_slots(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text, null none, plus 1), text_crc32, vslot.
 
-    Null texts have the check sum of empty text.  A document without an id goes to the slot of its text.
-    Repeated rows share a slot; columns besides id and text are left behind.
+    Null texts have the check sum of empty text.  A record's slot comes from its id and text, so rows that share an id
+    spread; of equal records the first has that slot, and the others have slots by their number among them.  Equal
+    records are numbered part by part of the input, as it is stored, and no task holds more of them than a
+    part; which of them has which number makes no difference.  Columns besides id and text are left behind.
     """
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    return docs.select(
+    rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(F.col(id_col).cast("long"))), F.lit(slots)).cast("int").alias("vslot"),
+        F.xxhash64(F.col(id_col).cast("long"), text).alias("_record"),
+        F.spark_partition_id().alias("_part"),
     )
+    rows = persist(rows, "records")
+    before = Window.partitionBy("_record").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_record", "_part").agg(F.count("*").alias("_c"))
+    starts = counts.select("_record", "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_record", "_part").orderBy("doc_id")) - 1
+    numbered = rows.withColumn("_own", own).join(starts, ["_record", "_part"])
+    slot = F.pmod(F.xxhash64("_record", F.col("_start") + F.col("_own")), F.lit(slots)).cast("int")
+    return numbered.select("doc_id", "size", "text_crc32", slot.alias("vslot"))
 
 
 def slot_table(rows: DataFrame) -> DataFrame:
