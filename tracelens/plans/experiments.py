@@ -54,6 +54,9 @@ def main(arguments: list[str] | None = None) -> list[dict]:
     p.add_argument("--value-col")
     p.add_argument("--out", required=True, help="folder of the log")
     p.add_argument("--cache", help="folder of the cached groups, shared by all executors; spark.checkpoint.dir if left out")
+    p.add_argument("--catalog", help="a name under which what is cached outlives the run")
+    p.add_argument("--ranges", help="with --time-col: a folder in which the times of CSV files are kept")
+    p.add_argument("--strict", action="store_true", help="bound what the documented bound leaves out, too")
     p.add_argument("--queries", help="a file of from,to rows to replay instead of a generated sequence")
     p.add_argument("--measures", default="", help="names with commas between them; all if left out")
     for name, kind, default in (("--count", int, 50), ("--seed", int, 42), ("--width", int, 1000), ("--height", int, 600), ("--accuracy", float, 0.95), ("--share", float, 0.1), ("--prefetch", float, 0.0), ("--factor", int, 4), ("--zoom", float, 2.0)):
@@ -61,11 +64,11 @@ def main(arguments: list[str] | None = None) -> list[dict]:
     a = p.parse_args(arguments)
     spark = SparkSession.builder.getOrCreate()
     is_csv = a.time_col and not a.measure_col
-    source = open_source(spark, CsvConfig(a.path, a.time_col) if is_csv else TableConfig(a.path, a.measure_col, a.time_col, a.value_col))
+    source = open_source(spark, CsvConfig(a.path, a.time_col, ranges=a.ranges) if is_csv else TableConfig(a.path, a.measure_col, a.time_col, a.value_col))
     cache = a.cache or spark.conf.get("spark.checkpoint.dir", None)
     if not cache:
         p.error("name a --cache folder or set spark.checkpoint.dir")
-    session = VizSession(source, cache, initial_factor=a.factor, prefetch=a.prefetch)
+    session = VizSession(source, cache, initial_factor=a.factor, prefetch=a.prefetch, catalog=a.catalog, strict=a.strict)
     settings = {"width": a.width, "height": a.height, "accuracy": a.accuracy, "measures": tuple(filter(None, a.measures.split(",")))}
     if a.queries:
         asked = workload.replay(a.queries, **settings)

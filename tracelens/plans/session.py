@@ -147,7 +147,7 @@ class VizSession:
             failed = {m: bound[m] is not None and bound[m] > 1 - query.accuracy for m in measures}
             factors = {}
             for m in measures:
-                factors[m] = planner.aggregation_factor(query, self.catalog.lookup(m, query.interval, query.step), gaps[m], self.initial_factor, failed[m])
+                factors[m] = planner.aggregation_factor(query, self._spans(query, [m], finest), gaps[m], self.initial_factor, failed[m])
                 if failed[m]:
                     gaps[m] = [query.interval]
             if any(gaps.values()):

@@ -346,7 +346,7 @@ def pixel_ranges_text(spark, sf_dir):
     return pixels.with_pixels(column_stats(spark, sf_dir), H).select("measure", "i", scalars.range_text(F.col("min_px"), F.col("max_px")).alias("pixels"))
 
 
-# -- error bound: the groups of the week are one span, its last day is missing
+# -- error bound: the groups of the first 26 days are one span, the rest is missing
 
 SPAN_END = START + 26 * DAY
 
