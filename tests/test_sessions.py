@@ -95,7 +95,7 @@ def test_no_window_holds_a_measure(spark):
     plan = intervals.islands(table, ["measure"])._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window" in line and "windowspecdefinition" in line]
     by_measure = [w for w in windows if "_cell" not in w.split("windowspecdefinition", 1)[1].split(" ASC", 1)[0].rsplit(",", 1)[0]]
-    assert windows and all("_reach" in w or "_n#" in w for w in by_measure)
+    assert windows and all("_reach" in w or "_last#" in w for w in by_measure)
 
 
 def test_pixel_sets_by_arithmetic(spark):
