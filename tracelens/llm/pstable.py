@@ -161,7 +161,7 @@ def candidates(members: DataFrame, balls: DataFrame, width: int, tables: int, an
     small = shared.filter("blocks = 1").select("key", "ball")
     pairs = small.select("key", F.col("ball").alias("a")).join(small.select("key", F.col("ball").alias("b")), "key").filter("a < b").select("a", "b")
     own, other = F.pmod(F.xxhash64("ball"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    large = shared.filter("blocks > 1").select("key", "ball", own.alias("own"), other.alias("other")).join(balls, "ball")
+    large = shared.filter("blocks > 1").select("key", "ball", own.alias("own"), other.alias("other")).join(balls.hint("merge"), "ball")
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
     large = large.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "ball", "radius", "v")
     return pairs.unionByName(large.groupBy("key", "i", "j").applyInArrow(met_in_blocks(angle), "a long, b long")).distinct()
@@ -184,14 +184,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, step: float = ST
     classes = rows.filter("v is not null").groupBy("v").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
     classes = persist(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     owner, balls = gathered(classes, angle, step)
-    members = persist(classes.join(owner, "node").select("node", "ball", "radius", "n", "least", "v"), "members")
+    members = persist(classes.hint("merge").join(owner, "node").select("node", "ball", "radius", "n", "least", "v"), "members")
     totals = members.groupBy("ball").agg(F.sum("n").alias("total"), F.min("least").alias("least"))
     balls = persist(balls.join(totals, "ball"), "balls")
     width, tables = shape(max(classes.count(), 2), cosine, step, miss, chance)
     pairs = candidates(members.select("ball", "v"), balls.select("ball", "radius", "v"), width, tables, angle, step, block)
 
     def side(name: str) -> DataFrame:
-        return balls.select(F.col("ball").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("radius", "total")], F.col("v").alias(f"v{name}"))
+        # tables of vectors are merged: sent whole, they would stay with every executor until the driver's memory is cleaned
+        return balls.select(F.col("ball").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("radius", "total")], F.col("v").alias(f"v{name}")).hint("merge")
 
     met = compared(pairs.join(side("a"), "a").join(side("b"), "b"), ["a", "b", "radius_a", "radius_b", "total_a", "total_b"])
     apart, reach = F.acos(F.least(F.greatest("cosine", F.lit(-1.0)), F.lit(1.0))), F.col("radius_a") + F.col("radius_b")
@@ -200,12 +201,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, step: float = ST
     met = persist(met.select("*", sure.alias("sure"), far.alias("far")).filter("not far"), "met")
     whole = met.filter("sure")
     # where a ball lies across the threshold, its vectors are held against the other ball, then against its vectors
-    own = members.select("node", "n", F.col("v").alias("va"), F.col("ball").alias("a"))
+    own = members.select("node", "n", F.col("v").alias("va"), F.col("ball").alias("a")).hint("merge")
     half = met.filter("not sure").select("a", "b", "radius_b", "total_b").join(own, "a").join(side("b").select("b", "vb"), "b")
     half = compared(half, ["a", "b", "node", "n", "radius_b", "total_b"]).select("*", (apart + F.col("radius_b") <= angle - SLACK).alias("sure"), (apart - F.col("radius_b") > angle + SLACK).alias("far"))
     half = persist(half.filter("not far"), "half")
-    theirs = members.select(F.col("node").alias("node_b"), F.col("n").alias("n_b"), F.col("v").alias("vb"), F.col("ball").alias("b"))
-    single = half.filter("not sure").select("a", "b", "node", "n").join(theirs, "b").join(own.select("node", "va"), "node")
+    theirs = members.select(F.col("node").alias("node_b"), F.col("n").alias("n_b"), F.col("v").alias("vb"), F.col("ball").alias("b")).hint("merge")
+    single = half.filter("not sure").select("a", "b", "node", "n").join(theirs, "b").join(own.select("node", "va").hint("merge"), "node")
     single = persist(compared(single, ["a", "b", "node", "n", "node_b", "n_b"]).filter(F.col("cosine") >= cosine), "single")
     split = half.filter("sure")
 
@@ -218,7 +219,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, step: float = ST
     placed = balls.select("ball", "total", "least").join(rooted, F.col("ball") == F.col("node"), "left").select("ball", "total", "least", F.coalesce("root", "ball").alias("root"))
     heads = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     per_ball = persist(placed.join(heads, "root").join(by_ball, "ball", "left").select("ball", "component_id", (F.col("total") - 1 + F.coalesce("ball_more", F.lit(0))).alias("links")), "answers")
-    found = members.select("v", "n", "node", "ball").join(per_ball, "ball").join(by_node, "node", "left")
+    found = members.select("v", "n", "node", "ball").hint("merge").join(per_ball, "ball").join(by_node, "node", "left")
     found = persist(found.select("v", "n", (F.col("links") + F.coalesce("node_more", F.lit(0))).alias("n_links"), "component_id"), "found")
     linked = split_join(rows.filter("v is not null"), found, "v", "n").select("vec_id", "n_links", "component_id")
     alone = rows.filter("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
