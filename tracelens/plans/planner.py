@@ -25,8 +25,8 @@ def group_gaps(columns: list[Interval], step: int, most: int = 10) -> list[Inter
 
 
 def wants_raw(gaps: list[Interval], width: int, factor: int, sampling: int, ratio: float) -> bool:
-    """Raw points when a group would hold fewer than ``ratio`` samples."""
-    return bool(gaps) and max(map(len, gaps)) / (width * factor) < ratio * sampling
+    """Raw points when a group would hold fewer than ``ratio`` samples; a sampling interval of 0 counts as a millisecond."""
+    return bool(gaps) and max(map(len, gaps)) / (width * factor) < ratio * max(sampling, 1)
 
 
 def pushes(offers: frozenset[str], what: str, points: int, rows: int) -> bool:
