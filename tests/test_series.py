@@ -266,3 +266,22 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     got = {(r.g_from, r.cnt, r.min_v, r.max_v) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert {(k * 10_000, 10, k * 10.0, k * 10.0 + 9) for k in range(9)} <= got
+
+
+def test_copies_of_intervals_meet_once(spark):
+    """Files of the pairs of 3,000 equal intervals with 5,000 are runs, and no pair is lost; a null key meets nothing."""
+    from pyspark.sql import functions as F
+
+    from tracelens.operators import intervals
+
+    row = lambda n, frm, to, k="'a'": spark.range(n).selectExpr(f"{k} as measure", f"{frm}L", f"{to}L")
+    a = row(3_000, 10, 25).union(row(2, 12, 14)).union(row(3, 12, 14, "cast(null as string)")).union(row(4, 9, 9)).toDF("measure", "s_from", "s_to")
+    b = row(5_000, 20, 40).union(row(3, 0, 13)).union(row(3, 0, 13, "cast(null as string)")).toDF("measure", "q_from", "q_to")
+    got = intervals.overlap_join(a, b, ["measure"], 10, {"both": F.col("s_from") + F.col("q_to")})
+    assert got.columns == ["measure", "s_from", "s_to", "q_from", "q_to", "both"]
+    counted = {tuple(r)[:6]: r[6] for r in got.groupBy(*got.columns).count().collect()}
+    assert counted == {("a", 10, 25, 20, 40, 50): 15_000_000, ("a", 10, 25, 0, 13, 23): 9_000, ("a", 12, 14, 0, 13, 25): 6}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # what meets are distinct rows
+    assert plan.index("Generate") < plan.index("Join") < plan.index("Aggregate")
+    assert intervals.overlap_join(a.limit(0), b, ["measure"], 10).collect() == []
