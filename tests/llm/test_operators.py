@@ -642,3 +642,22 @@ def test_lines_against_all_pairs(spark, docs, tight, monkeypatch):
     assert {(r.doc_id, r.line) for r in found} == want
     of = dict(sets)
     assert all((r.match_doc_id, r.match_line) < (r.doc_id, r.line) and near(of[r.doc_id, r.line], of[r.match_doc_id, r.match_line]) for r in found)
+
+
+def test_mix_query_is_the_training_order(spark, tmp_path):
+    """The rows of op8 come from the sorted mix: in the order of their first positions, with what it holds of each; rows of one id stay apart."""
+    from tracelens.llm import queries
+
+    rng = random.Random(8)
+    made = [(k % 90 or None, "w " * rng.randint(0, 60) if k % 7 else None, rng.choice("abcd") if k % 5 else None) for k in range(400)]
+    spark.createDataFrame(made, "doc_id long, text string, source string").repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_curriculum_mix(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken", "position", "position_again"]
+    rows = got.collect()
+    assert Counter((r.doc_id, r.size) for r in rows) == Counter((d, len((t or "").split())) for d, t, _ in made)
+    firsts = [2 if r.position is None else r.position for r in rows]
+    assert firsts == sorted(firsts) and firsts[0] < firsts[-1] == 2
+    assert all(r.taken == r.size * sum(p is not None for p in (r.position, r.position_again)) for r in rows)
+    # once per reading: what is laid out row by row in the order is what is taken
+    planned = mixing.plan(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
+    assert Counter((r.doc_id, r.size, r.taken) for r in rows) == Counter((r.doc_id, r.size, r.taken) for r in planned)

@@ -112,8 +112,9 @@ def plan(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2,
     return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), positions.alias("positions"), *_named(row_col))
 
 
-def order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", row_col: str | None = None) -> DataFrame:
-    """The training order: rows of ``docs`` once per position, range-sorted by it, with their columns.
+def order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", row_col: str | None = None, position_col: str | None = None) -> DataFrame:
+    """The training order: rows of ``docs`` once per position, range-sorted by it, with their columns and the position,
+    if it is given a name.
 
     Rows meet their positions by ``row_col``, which ``plan`` took along; without one ``docs`` must hold each id
     once and none may be null.  Documents that the mix doesn't take are left out.
@@ -121,4 +122,16 @@ def order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", row_col: st
     own, position = unused(docs.columns, "_own", "_position")
     at = mixed.select(F.col(row_col or "doc_id").alias(own), F.explode("positions").alias(position))
     joined = docs.join(at, F.col(row_col or id_col).cast("long") == F.col(own))
-    return joined.repartitionByRange(position, own).sortWithinPartitions(position, own).select(*docs.columns)
+    shown = [F.col(position).alias(position_col)] if position_col else []
+    return joined.repartitionByRange(position, own).sortWithinPartitions(position, own).select(*docs.columns, *shown)
+
+
+def taken(mixed: DataFrame, row_col: str) -> DataFrame:
+    """The rows of a plan with what the training order holds of them: taken, positions (ascending); in the order of
+    their first positions, those left out at the end."""
+    rows = mixed.drop("copies", "taken", "positions")
+    mix = order(rows.select(row_col, "size"), mixed, row_col=row_col, position_col="at")
+    per_row = mix.groupBy(row_col).agg(F.sum("size").alias("taken"), F.sort_array(F.collect_list("at")).alias("positions"))
+    out = rows.join(per_row, row_col, "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
+    first = F.get("positions", F.lit(0)).asc_nulls_last()
+    return out.repartitionByRange(first, row_col).sortWithinPartitions(first, row_col)

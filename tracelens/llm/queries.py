@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chunks, cotraining, divergence, lines, mixing, neighbours, outliers, packing, pitman_yor, pstable, ranked, sharding, simhash
-from .common import documents
+from .common import documents, persist, unused
 
 
 def tokenizer() -> str:
@@ -47,7 +47,9 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.plan(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    (row,) = unused(docs.columns, "_row")
+    mixed = mixing.taken(persist(mixing.plan(docs.withColumn(row, F.monotonically_increasing_id()), row_col=row), "mix-plan"), row)
     at = lambda k: F.round(F.get("positions", F.lit(k)), 6)
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", at(0).alias("position"), at(1).alias("position_again"))
 
