@@ -661,3 +661,22 @@ def test_mix_query_is_the_training_order(spark, tmp_path):
     # once per reading: what is laid out row by row in the order is what is taken
     planned = mixing.plan(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
     assert Counter((r.doc_id, r.size, r.taken) for r in rows) == Counter((r.doc_id, r.size, r.taken) for r in planned)
+
+
+def test_near_copies_come_by_fingerprints_first(spark, monkeypatch):
+    """The stage's close copies are found by the pigeonhole search over fingerprints: without bands they go, and what is far stays."""
+    from tracelens.llm import copies
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=rng.randint(3, 8)))
+    bases = [[word() for _ in range(2_000)] for _ in range(30)]
+    edited = [[*b[:-1], word()] for b in bases]
+    made = [(k, " ".join(w)) for k, w in enumerate(bases + edited)]
+    prints = [int(copies.fingerprint(copies.shingles(t.encode()))) for _, t in made]
+    want = {k for k in range(60) if k < 30 or (prints[k] ^ prints[k - 30]).bit_count() > copies.RADIUS}
+    assert len(want) < 35
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    # sets without bands
+    made_sets = [(k, k, int(xxhash.xxh3_64_intdigest(s.tobytes())) - (1 << 63), int(copies.fingerprint(s)), len(s), [], s.tobytes()) for k, t in made for s in [copies.shingles(t.encode())]]
+    monkeypatch.setattr(copies, "sets", lambda *_: spark.createDataFrame(made_sets, copies.SETS))
+    assert {r.row for r in copies.heads(docs, "doc_id").collect()} == want
