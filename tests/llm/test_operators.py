@@ -156,6 +156,46 @@ def test_packing_round_trip(spark, docs):
     assert len(by_seq) <= 1.05 * sum(r.length for r in got) / packing.CAPACITY + 1
 
 
+def test_words_are_encoded_once_in_any_dress(monkeypatch):
+    """Whatever stands around a word and however it is spelled, the merge model sees it once; ids are the tokenizer's."""
+    import tokenizers
+
+    path, made = queries.tokenizer(), []
+    whole = tokenizers.Tokenizer.from_file(path)
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            found = getattr(self.inner, name)
+            if name == "model":
+                return Counting(found)
+            return (lambda *a, **k: made.append(a[0]) or found(*a, **k)) if name in ("encode", "tokenize") else found
+
+    class Loader:
+        from_file = staticmethod(lambda path: Counting(whole))
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Loader)
+    encode = packing.encoder.__wrapped__(path)
+    ids = lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    made.clear()
+    text = " ".join(f"{w}{end}" for k in range(50) for w in (f"wort{'abcdefghij'[k // 10]}{'klmnopqrst'[k % 10]}", f"Wort{'abcdefghij'[k // 10]}{'klmnopqrst'[k % 10]}") for end in ("", ",", ".", "!", "###", "***"))
+    assert encode(text) == ids(text) and len(made) <= 55
+    # words in use stay when the others are let go
+    monkeypatch.setattr(packing, "KEPT_WORDS", 100)
+    rare = [f"zz{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    made.clear()
+    text = " ".join(f"often {w}" for w in rare)
+    assert encode(text) == ids(text) and made.count("often") == 1
+    rng = random.Random(8)
+    signs = [*map(chr, range(256)), *"abcdefghijklmnop'sStTmMdDrRvVlLeE0123456789 .,;!?\n\t " * 4]
+    odd = [*signs, *["\u0300", "\u030c", "\u0307", "J", "\u0130", "\u1e9e", "\u2014", "\u4e2d", "\u00a0", "\u2028", "<|endoftext|>", "<|startoftext|>", "<|", "\u03a3", "\u212a"] * 8]
+    for k in range(4000):
+        text = "".join(rng.choices(odd if k % 2 else signs, k=rng.randint(0, 40)))
+        assert encode(text) == ids(text), text
+
+
 def test_packing_is_the_same_for_any_split(spark, docs):
     some = docs.limit(60).unionByName(docs.filter("doc_id < 3")).unionByName(docs.filter("doc_id < 3"))
     key = lambda r: tuple(r)

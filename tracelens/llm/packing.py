@@ -6,6 +6,8 @@ one goes where the sum over residual gaps of the squared count of open sequences
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from functools import cache
 
@@ -19,7 +21,7 @@ from .common import persist
 CAPACITY = 2048
 #: Pieces that one task packs; what stays half full at its end is a few sequences in many thousands.
 PIECES_PER_TASK = 40_000
-KEPT_WORDS = 250_000
+KEPT_WORDS = 200_000
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -35,14 +37,45 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(256 + rest.index(b)) for b in range(256)]
 
 
+#: Words, digits and runs of other characters of a lower-cased Latin-1 text, as the vocabulary's splitter finds them.
+LETTERS, DIGITS, BLANKS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\x09-\x0d\x20\x85\xa0"
+TOKENS = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{DIGITS}]|[^{BLANKS}{LETTERS}{DIGITS}]+")
+
+
+def latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class Kept(dict):
+    """Values of ``make``, which are kept while they are among the last ``KEPT_WORDS`` new ones or were used since."""
+
+    def __init__(self, make):
+        self.make, self.before = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= KEPT_WORDS:
+            self.before = dict(self)
+            self.clear()
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 @cache
 def encoder(path: str):
-    """Ids of a text as little-endian 32-bit bytes, by blanks.
+    """Ids of a text as little-endian 32-bit bytes, by words.
 
-    The vocabulary's normaliser and splitter never look across a blank, so a text's ids are those of its
-    blank-separated parts in turn; each part is encoded once per worker while it stays among the last
-    ``KEPT_WORDS``.  A part of Latin-1 letters alone is one word that normalising only lower-cases, so the
-    merge model gets it directly; a full stop or comma after it is a word of its own.
+    All that the vocabulary's normaliser does to Latin-1 characters is lower-casing, and what its splitter finds
+    in them is ``TOKENS``; so such a text is split into words at once, and the merge model encodes each
+    once per worker while it is kept.  The normaliser and splitter never look across a blank, so the other texts,
+    and those that spell out a special token, are taken by their blank-separated parts, and only parts beyond
+    Latin-1 or with such a token go through the whole tokenizer.
     """
     import os
 
@@ -51,29 +84,28 @@ def encoder(path: str):
 
     tokenizer, letters = Tokenizer.from_file(path), byte_letters()
     model = tokenizer.model
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def as_bytes(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def word(token: str) -> bytes:
+        spelled = token if token.isascii() and token.isalpha() else "".join([letters[b] for b in token.encode()])
+        return as_bytes([t.id for t in model.tokenize(spelled)])
+
+    def simple(text: str) -> bool:
+        return latin(text) and not any(s in text for s in special)
+
+    words = Kept(word)
+    parts = Kept(lambda part: by_words(part) if simple(part) else as_bytes(tokenizer.encode(part, add_special_tokens=False).ids))
+
+    def by_words(text: str) -> bytes:
+        return b"".join(map(words.__getitem__, TOKENS.findall(text.lower())))
+
+    def encode(text: str) -> bytes:
+        return by_words(text) if simple(text) else b"".join(map(parts.__getitem__, text.replace("\n", " ").split(" ")))
 
-    def plain(part: str) -> bool:
-        return part.isalpha() and max(part) < "\u0100"
-
-    class Parts(dict):
-        def __missing__(self, part: str) -> bytes:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            if plain(part):
-                low = part.lower()
-                spelled = low if low.isascii() else "".join([letters[b] for b in low.encode()])
-                ids = [t.id for t in model.tokenize(spelled)]
-            elif part[-1] in ".," and plain(part[:-1]):
-                found = self[part] = self[part[:-1]] + tail[part[-1]]
-                return found
-            else:
-                ids = tokenizer.encode(part, add_special_tokens=False).ids
-            found = self[part] = np.array(ids, "<u4").tobytes()
-            return found
-
-    tail = {c: np.array(tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,"}
-    parts = Parts({"": b""})
-    return lambda text: b"".join(map(parts.__getitem__, text.replace("\n", " ").split(" ")))
+    return encode
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
