@@ -2,6 +2,7 @@
 
 import random
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -113,3 +114,23 @@ def test_a_fitted_stage_and_no_rows(spark, tmp_path):
     good = [r for r in kept.collect() if r.doc_id is not None and r.doc_id < 400]
     assert sum(r.doc_id % 4 > 0 for r in good) >= 0.98 * len(good) and len(good) >= 290
     assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
+def test_fitting_needs_little_beside_its_features(monkeypatch):
+    """16 MB of features, odd rows among them: a fit takes 64 MB at most, and parts of any size give the same."""
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 30_000, n) ** 2 % cotraining.FEATURES).astype("<i4") for n in [0, 1, 0, *[2200] * 2000, 0]]
+    y = (np.arange(len(rows)) % 3 > 0).astype(float)
+    tracemalloc.start()
+    try:
+        whole = cotraining.Content(rows, y, steps=2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(map(len, rows)) > 4_000_000 and peak < 64 << 20
+    monkeypatch.setattr(cotraining, "FITTED_AT_ONCE", 1000)
+    some = rows[:40] + rows[-1:]
+    parts = cotraining.Content(some, y[:41], steps=5)
+    monkeypatch.setattr(cotraining, "FITTED_AT_ONCE", 1 << 30)
+    assert np.abs(parts.score(rows) - cotraining.Content(some, y[:41], steps=5).score(rows)).max() < 1e-6
+    assert np.abs(whole.score(rows)).max() > 0

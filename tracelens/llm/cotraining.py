@@ -22,6 +22,8 @@ FEATURES = 1 << 20
 #: At most so many labelled documents are fitted on, those with the lowest hashes of their ids, and of them
 #: those with so many distinct words and word starts at most: 256 MB of features on the driver whatever the input.
 LABELLED, WIDEST = 8_000, 8_192
+#: Features that a step of fitting has in its arrays at once, beside those it is given.
+FITTED_AT_ONCE = 1 << 18
 #: Rounds of exchange, and how many documents of each class a view hands over in each.
 ROUNDS, EXCHANGED = 2, 400
 #: Share of the labelled documents that calibrates, and the least probability for a document to stay: a bad one
@@ -87,27 +89,40 @@ class Content:
     """Naive-Bayes weighted logistic regression over word features seen in three documents or more."""
 
     def __init__(self, rows: list[np.ndarray], y: np.ndarray, steps: int = 60, rate: float = 0.05, penalty: float = 1e-3):
-        sizes = np.array([len(r) for r in rows])
-        flat = np.concatenate(rows)
-        owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
-        df = np.bincount(flat, minlength=FEATURES)
+        sizes = np.array([len(r) for r in rows], np.int64)
+        place, df = np.zeros(FEATURES, np.int32), np.zeros(FEATURES, np.int32)
+        parts = self.parts(sizes)
+        for a, b in parts:
+            df += np.bincount(np.concatenate(rows[a:b]), minlength=FEATURES).astype(np.int32)
         used = np.flatnonzero(df >= 3)
-        place = np.full(FEATURES, -1, np.int32)
-        place[used] = np.arange(len(used), dtype=np.int32)
-        col = place[flat]
-        owner, col = owner[col >= 0], col[col >= 0]
-        good = np.bincount(col, weights=y[owner], minlength=len(used)) + 1
-        bad = np.bincount(col, weights=1 - y[owner], minlength=len(used)) + 1
+        # 0 stands for all other features, whose weight stays 0
+        place[used] = np.arange(1, len(used) + 1, dtype=np.int32)
+
+        def columns(a: int, b: int) -> np.ndarray:
+            return place[np.concatenate(rows[a:b])]
+
+        def summed(each: np.ndarray) -> np.ndarray:
+            """For every used feature the sum of ``each`` over the documents that have it."""
+            out = np.zeros(len(used) + 1)
+            for a, b in parts:
+                out += np.bincount(columns(a, b), weights=np.repeat(each[a:b], sizes[a:b]), minlength=len(out))
+            return out[1:]
+
+        good, bad = summed(y) + 1, summed(1 - y) + 1
         ratio = np.log(good / (y.sum() + 2)) - np.log(bad / ((1 - y).sum() + 2))
         weight, bias = np.zeros(len(used)), 0.0
         m, s = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
         # both classes weigh the same
         each = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-        value = ratio[col]
         for step in range(1, steps + 1):
-            z = np.bincount(owner, weights=value * weight[col], minlength=len(rows)) + bias
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * each
-            grad = np.append(np.bincount(col, weights=value * error[owner], minlength=len(used)) + penalty * weight, error.sum())
+            value, total, slope = np.append(0.0, ratio * weight), 0.0, np.zeros(len(used) + 1)
+            for a, b in parts:
+                col, owner = columns(a, b), np.repeat(np.arange(b - a), sizes[a:b])
+                z = np.bincount(owner, weights=value[col], minlength=b - a) + bias
+                error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[a:b]) * each[a:b]
+                slope += np.bincount(col, weights=error[owner], minlength=len(slope))
+                total += error.sum()
+            grad = np.append(ratio * slope[1:] + penalty * weight, total)
             m = 0.9 * m + 0.1 * grad
             s = 0.99 * s + 0.01 * grad**2
             move = rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-9)
@@ -117,6 +132,17 @@ class Content:
         self.weights[used] = weight * ratio
         self.bias = bias
 
+    @staticmethod
+    def parts(sizes: np.ndarray) -> list[tuple[int, int]]:
+        """Ranges of documents, of ``FITTED_AT_ONCE`` features at most or of one document."""
+        out, at, n = [], 0, 0
+        for i, size in enumerate(sizes.tolist()):
+            if i > at and n + size > FITTED_AT_ONCE:
+                out.append((at, i))
+                at, n = i, 0
+            n += size
+        return out + [(at, len(sizes))] if len(sizes) else out
+
     def score(self, rows: list[np.ndarray]) -> np.ndarray:
         return np.array([self.weights[r].sum(dtype=np.float64) for r in rows]) + self.bias
 
@@ -172,8 +198,9 @@ def _matrix(meta: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(meta), np.float32).reshape(len(meta), META).astype(np.float64)
 
 
-def _words(column: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(b, "<i4") for b in column]
+def _words(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """The features of every row, in the column's own memory."""
+    return [np.frombuffer(v.as_buffer(), "<i4") for v in column]
 
 
 def _scored(rows: DataFrame, sent, even: bool = False) -> DataFrame:
@@ -182,7 +209,7 @@ def _scored(rows: DataFrame, sent, even: bool = False) -> DataFrame:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 if part.num_rows:
-                    got = sent.value.predict(_words(part.column("words").to_pylist()), _matrix(part.column("meta").to_pylist()), even)
+                    got = sent.value.predict(_words(part.column("words")), _matrix(part.column("meta").to_pylist()), even)
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(g, pa.float64()) for g in got]], names=["doc_id", "content_score", "metadata_score", "score"])
 
     return rows.mapInArrow(run, "doc_id long, content_score double, metadata_score double, score double")
@@ -194,9 +221,10 @@ def _chosen(rows: DataFrame, labels: DataFrame) -> tuple[list[int], list[np.ndar
     met = rows.filter(F.octet_length("words") <= 4 * WIDEST).join(F.broadcast(labels), "doc_id")
     one = met.groupBy("doc_id").agg(F.min("good").alias("good"), F.min_by(F.struct("words", "meta"), F.xxhash64("words", "meta")).alias("f"))
     found = one.select("doc_id", "good", "f.words", "f.meta").toArrow()
-    order = np.argsort([zlib.crc32(b"%d" % i) for i in found.column("doc_id").to_pylist()], kind="stable")
-    found = found.take(pa.array(order))
-    return found.column("doc_id").to_pylist(), _words(found.column("words").to_pylist()), _matrix(found.column("meta").to_pylist()), np.array(found.column("good").to_pylist(), np.float64)
+    ids, words = found.column("doc_id").to_pylist(), _words(found.column("words"))
+    order = np.argsort([zlib.crc32(b"%d" % i) for i in ids], kind="stable")
+    x, y = _matrix(found.column("meta").to_pylist()), np.array(found.column("good").to_pylist(), np.float64)
+    return [ids[k] for k in order], [words[k] for k in order], x[order], y[order]
 
 
 def fit(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, exchanged: int = EXCHANGED) -> Model | None:
