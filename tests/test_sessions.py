@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracelens import registry
 from tracelens.model import Interval, Query, Span, merge, narrow
 from tracelens.operators import buckets, error, intervals, pixels
+from tracelens.plans import experiments
 from tracelens.plans.catalog import SpanCatalog, SpanIndex
 from tracelens.plans.session import VizSession
 from tracelens.sources.series import LongTable
@@ -214,6 +215,27 @@ def test_a_failed_prefetch_loses_nothing(spark, walk, tmp_path, monkeypatch):
     s.settle()
 
 
+def test_a_failed_prefetch_is_no_result(spark, walk, tmp_path, monkeypatch):
+    """Queries and runs whose result depends on the prefetched spans raise what the prefetch raised, once."""
+    fetch = VizSession._fetch
+
+    def broken(self, query, gaps, factors):
+        if threading.current_thread() is not threading.main_thread():
+            raise RuntimeError("no source")
+        return fetch(self, query, gaps, factors)
+
+    monkeypatch.setattr(VizSession, "_fetch", broken)
+    with pytest.raises(RuntimeError, match="prefetch failed") as told:
+        registry.prefetch_extend(spark, "/root/testdata/sf0.001")
+    assert "no source" in str(told.value.__cause__)
+    s = VizSession(walk, str(tmp_path / "cache"), raw_ratio=0, prefetch=1.0)
+    inner = Query(2_400_000, 3_600_000, 40, 30, 0.2, ("a",))
+    with pytest.raises(RuntimeError, match="prefetch failed"):
+        experiments.run(s, [inner], "walk", str(tmp_path / "log"))
+    assert not (tmp_path / "log").exists()
+    s.settle(strict=True)
+
+
 def test_every_kind_of_decision_happens(spark):
     """On the rows that are compared with SQL: a fallback, a refetch, a doubled and a mixed factor, and an answer from the cache."""
     got = registry.session_decisions(spark, "/root/testdata/sf0.01").collect()

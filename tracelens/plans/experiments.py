@@ -26,7 +26,8 @@ def run(session: VizSession, queries: Iterable[Query], dataset: str, path: str |
     """One record per query, as the log has them; written below ``path`` if that is given.
 
     progressive_s is the time to the points, processing_s what of it wasn't fetching; results_size counts
-    points and memory_bytes is what the session's cached rows take.
+    points and memory_bytes is what the session's cached rows take.  If a prefetch failed, its error is raised and no
+    log is written, for the times would be those of another setting.
     """
     records = []
     for k, query in enumerate(queries):
@@ -36,7 +37,7 @@ def run(session: VizSession, queries: Iterable[Query], dataset: str, path: str |
         took = time.time() - began
         values = (dataset, k, query.width, query.height, query.start, query.end, _shown(query), size, answer.io_count, took, answer.seconds, answer.seconds - answer.query_seconds, answer.query_seconds, session.catalog.memory_bytes())
         records.append(dict(zip(COLUMNS, values)))
-    session.settle()
+    session.settle(strict=True)
     if path:
         sinks.write_log(session.spark, [tuple(r.values()) for r in records], path)
     return records

@@ -43,7 +43,8 @@ class VizSession:
 
     Cached groups are read at the coarsest stored level that has ``initial_factor`` of them a column; where those are too
     wrong, at their finest.  A prefetch runs after the answer, as a job of its own in the scheduler's pool ``prefetch``;
-    ``settle`` waits for it, and if it fails the session goes on without, with the reason in ``prefetch_error``.
+    ``settle`` waits for it, and if it fails the session goes on without, with the reason in ``prefetch_error``; where the
+    prefetched spans themselves are the result, ``settle(strict=True)`` raises that instead.
     ``strict`` is the bound that also covers what the documented one leaves out (``error.column_errors``).
     With a ``catalog`` name what is cached outlives the session and is shared with others of that name.
     """
@@ -52,7 +53,7 @@ class VizSession:
         self.source, self.spark = source, source.table.sparkSession
         self.catalog = SpanCatalog(self.spark, folder, catalog)
         self.prefetching: threading.Thread | None = None
-        self.prefetch_error: Exception | None = None
+        self.prefetch_error: BaseException | None = None
         self.initial_factor, self.prefetch, self.raw_ratio, self.max_gap, self.compat, self.strict = initial_factor, prefetch, raw_ratio, max_gap, compat, strict
         self.extent, self.names, self.sampling = source.metadata()
 
@@ -188,14 +189,17 @@ class VizSession:
             _, gaps, _ = self._verdict(wider, measures)
             if any(gaps.values()):
                 self._fetch(wider, gaps, {m: self.initial_factor for m in measures})
-        except Exception as e:  # an answer was given; what a prefetch can't do the next query does
+        except BaseException as e:  # an answer was given; what a prefetch can't do the next query does
             self.prefetch_error = e
 
-    def settle(self) -> None:
-        """Wait for the prefetch that is under way."""
+    def settle(self, strict: bool = False) -> None:
+        """Wait for the prefetch that is under way; ``strict`` raises if it, or one before it, failed."""
         if self.prefetching:
             self.prefetching.join()
             self.prefetching = None
+        if strict and self.prefetch_error:
+            failed, self.prefetch_error = self.prefetch_error, None
+            raise RuntimeError("a prefetch failed; what it had to cache is missing") from failed
 
 
 def _stats(points: DataFrame) -> DataFrame:
