@@ -1,6 +1,7 @@
 """The corpus operators against brute force, and with nulls, empty and repeated rows, empty tables, clashing columns."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -684,6 +685,60 @@ def test_lines_against_all_pairs(spark, docs, tight, monkeypatch):
     assert all((r.match_doc_id, r.match_line) < (r.doc_id, r.line) and near(of[r.doc_id, r.line], of[r.match_doc_id, r.match_line]) for r in found)
 
 
+def line_bucket(lists, each):
+    """A bucket in which each line fits all others of its word's list; in rows of 5,000."""
+    rng, total = np.random.default_rng(1), lists * each
+    columns = [np.repeat(np.arange(lists), each).astype("<u4"), rng.permutation(total).astype("<i8"), np.zeros(total, "<u2"), rng.integers(8, 60, total).astype("<u2"), np.zeros(total, "<u2")]
+    columns += [rng.integers(0, 8, total).astype("<u8"), rng.integers(0, 1 << 32, total).astype("<u4"), np.ones(total, "u1"), np.zeros(total, "<u8")]
+    rows = [[c[at : at + 5000].tobytes() for c in columns] for at in range(0, total, 5000)]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names=lines.FIELDS)
+
+
+def proposed(batch, most):
+    return [tuple(r.values()) for b in lines.pairs_of(0.8, most)((pa.scalar(0),), iter([batch])) for r in b.to_pylist()]
+
+
+def test_found_partners_of_lines_are_sorted_out_meanwhile(monkeypatch):
+    """The same proposals however few partners are held at once, and memory for these, not for all that were found."""
+    small = line_bucket(3, 90)
+    for most in (4, None):
+        whole = proposed(small, most)
+        assert len(whole) > 500
+        monkeypatch.setattr(lines, "HELD", 100)
+        assert (sorted if most is None else list)(proposed(small, most)) == (sorted if most is None else list)(whole)
+        monkeypatch.undo()
+    # each of 130,000 lines finds 33 earlier ones at most; holding them all took 260 MB
+    large = line_bucket(200, 650)
+    tracemalloc.start()
+    count = sum(b.num_rows for b in lines.pairs_of(0.8, 4)((pa.scalar(0),), iter([large])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count > 400_000 and peak < 120e6
+
+
+def test_line_buckets_grow_in_number(spark, monkeypatch):
+    """More prefix words make more buckets and no larger ones; lines are found all the same."""
+    rng = random.Random(5)
+    made = [(k, "\n".join(" ".join(rng.choices([f"w{i}" for i in range(300)], k=rng.randint(8, 30))) for _ in range(4))) for k in range(300)]
+    made += [(1000 + k, t.replace(" w1 ", " v ")) for k, t in made]
+    frame, seen, posts = spark.createDataFrame(made, "doc_id long, text string"), [], lines.posts
+    want = sorted(map(tuple, lines.duplicate_lines(frame).collect()), key=repr)
+
+    def watched(rows, buckets, similarity, only=None):
+        out = posts(rows, buckets, similarity, only)
+        seen.append((buckets, max(r.s for r in out.groupBy("bucket").agg((F.sum(F.length("word")) / 4).alias("s")).collect())))
+        return out
+
+    monkeypatch.setattr(lines, "BUCKET", 100)
+    monkeypatch.setattr(lines, "GATHERED", 700)
+    monkeypatch.setattr(lines, "PER_ROW", 1)
+    monkeypatch.setattr(lines, "posts", watched)
+    assert sorted(map(tuple, lines.duplicate_lines(frame).collect()), key=repr) == want and len(want) > 1000
+    buckets, largest = seen[0]
+    # 300 words in as many lists: a list lies whole in a bucket
+    assert buckets >= 80 and largest < 1000
+
+
 def test_mix_query_is_the_training_order(spark, tmp_path):
     """The rows of op8 come from the sorted mix: in the order of their first positions, with what it holds of each; rows of one id stay apart."""
     from tracelens.llm import queries

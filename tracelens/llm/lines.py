@@ -9,6 +9,8 @@ matches an earlier one is removed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,6 +30,12 @@ CHUNK = 1 << 19
 SCANNED, PROPOSALS = 32, 4
 #: Of a line's proposed partners so many, those with the most shared words, are verified before the others.
 FIRST = 2
+#: Prefix words that a bucket holds on average: buckets grow in number with them, not in size.
+BUCKET = 1 << 19
+#: Prefix words that a task gathers, at least, before it deals them to buckets, and per bucket.
+GATHERED, PER_ROW = 1 << 18, 64
+#: Found partners that a task holds, beyond the proposals of every line, before it sorts out or hands on.
+HELD = 1 << 20
 #: Bits of the filter that sorts out, before a shuffle, lines in no proposed pair.
 FILTER_BITS = 1 << 26
 #: Lines with more words than this have parity maps of 128 bits, others of 64.
@@ -165,6 +173,12 @@ def prefix_length(n: np.ndarray, similarity: float) -> np.ndarray:
     return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
 
 
+def prefix_words(rows: DataFrame, similarity: float) -> int:
+    """How many prefix words the lines have."""
+    n = F.col("n")
+    return rows.agg(F.sum(n - F.ceil(F.lit(similarity) * n - F.lit(1e-9)) + 1)).first()[0] or 0
+
+
 def overlap_needed(total: np.ndarray, similarity: float) -> np.ndarray:
     return np.ceil(similarity / (1 + similarity) * total - 1e-9)
 
@@ -182,12 +196,23 @@ def widened(data: bytes, count: int) -> np.ndarray:
 def posts(rows: DataFrame, buckets: int, similarity: float, only=None) -> DataFrame:
     """Prefix words of the lines, dealt to buckets by word; ``wanted`` marks lines to find partners for.
 
-    A task posts lines of an equal word set once, or again when an earlier one comes.  ``only`` is a broadcast
-    array of flags by word hash, for the words that are to be posted.
+    A task posts lines of an equal word set once, or again when an earlier one comes.  A row holds what many lines
+    post to a bucket, so that rows don't shrink as buckets grow in number.  ``only`` is a broadcast array of flags
+    by word hash, for the words that are to be posted.
     """
 
+    def dealt(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        word, doc, line, n, place, parity, sig, wanted, upper = map(np.concatenate, zip(*held))
+        bucket = (mix64(word) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+        columns = [c[order] for c in (word, slender(doc, ("<u4", "<i8")), slender(line), slender(n), slender(place), parity, sig, wanted, upper)]
+        out = [(b, *[c[x:y].tobytes() for c in columns]) for b, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), *[pa.binary()] * len(FIELDS)])], names=["bucket", *FIELDS])
+
     def run(batches):
         posted: dict[int, tuple[int, int]] = {}
+        held, size = [], 0
         for batch in batches:
             n = batch.column("n").to_numpy().astype(np.int64)
             doc, line, sig = (batch.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "line", "sig"))
@@ -214,33 +239,47 @@ def posts(rows: DataFrame, buckets: int, similarity: float, only=None) -> DataFr
                 word, place, owner = word[kept], place[kept], owner[kept]
                 if not len(word):
                     continue
-            bucket = (mix64(word) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            owner = owner[order]
-            parity, wanted = batch.column("map").to_numpy(), batch.column("wanted").to_numpy().astype("u1")
-            columns = [word[order], slender(doc[owner], ("<u4", "<i8")), slender(line[owner]), slender(n[owner]), slender(place[order]), parity[owner], (sig[owner] & 0xFFFFFFFF).astype("<u4"), wanted[owner], batch.column("map2").to_numpy()[owner]]
-            out = [(b, *[c[x:y].tobytes() for c in columns]) for b, (x, y) in enumerate(zip(edges.tolist(), edges[1:].tolist())) if y > x]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), *[pa.binary()] * len(FIELDS)])], names=["bucket", *FIELDS])
+            parity, upper = (batch.column(c).to_numpy() for c in ("map", "map2"))
+            wanted = batch.column("wanted").to_numpy().astype("u1")
+            held.append((word, doc[owner], line[owner], n[owner], place, parity[owner], (sig[owner] & 0xFFFFFFFF).astype("<u4"), wanted[owner], upper[owner]))
+            size += len(word)
+            if size >= max(GATHERED, PER_ROW * buckets):
+                yield dealt(held)
+                held, size = [], 0
+        if held:
+            yield dealt(held)
 
     return rows.mapInArrow(run, POSTS)
 
 
+def nearest(found: list[tuple[np.ndarray, ...]], most: int) -> tuple[np.ndarray, ...]:
+    """Of (x, y, bits apart) the ``most`` least of every x, in order; those found first come first."""
+    x, y, apart = map(np.concatenate, zip(*found))
+    order = np.lexsort((apart, x))
+    x = x[order]
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+    kept = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x)))) < most
+    order = order[kept]
+    return x[kept], y[order], apart[order]
+
+
 def pairs_of(similarity: float, most: int | None):
     """applyInArrow over a bucket: a line, an earlier line that passes all filters, and whether there were more.
 
     Lists are sorted by length.  Each wanted line steps away from its place, one neighbour at a time on both
     sides, while the length filter holds; with ``most`` it stops once SCANNED earlier partners passed, and
-    proposes the ``most`` nearest of them.
+    proposes the ``most`` nearest of them.  Whenever HELD partners are found, those that aren't among the nearest
+    go, or without ``most`` all are handed on.
     """
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = [[] for _ in FIELDS]
-        for row in zip(*(table.column(f).to_pylist() for f in FIELDS)):
+        for row in (row for batch in batches for row in zip(*(batch.column(f).to_pylist() for f in FIELDS))):
             count = len(row[0]) // 4
             for k, data in enumerate(row):
                 parts[k].append(np.frombuffer(data, {0: "<u4", 5: "<u8", 6: "<u4", 7: "u1", 8: "<u8"}[k]) if k in (0, 5, 6, 7, 8) else widened(data, count))
         word, doc, line, n, place, parity, sig, wanted, upper = (np.concatenate(p) for p in parts)
+        del parts
         alone = lambda key: np.append(True, key[1:] != key[:-1])
         # by word, length (beyond 16 bits the rest of it follows) and part of the set's hash
         key = word.astype(np.uint64) << np.uint64(32) | np.minimum(n, 65535).astype(np.uint64) << np.uint64(16) | (sig & np.uint32(65535)).astype(np.uint64)
@@ -264,7 +303,15 @@ def pairs_of(similarity: float, most: int | None):
         word, doc, line, n, place, parity, wanted, upper = (c[order] for c in (word, doc, line, n, place, parity, wanted, upper))
         total = len(word)
         got = np.zeros(total, np.int64)
-        found_x, found_y, found_d = [], [], []
+        found, held = [], 0
+
+        def told(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(x), HELD // 16):
+                i, j = x[at : at + HELD // 16], y[at : at + HELD // 16]
+                more = got[i] > most if most is not None else np.zeros(len(i), bool)
+                columns = [doc[i], line[i].astype(np.int32), doc[j], line[j].astype(np.int32), more]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "line", "match_doc_id", "match_line", "more"])
+
         walking = {side: np.flatnonzero(wanted) for side in (-1, 1)}
         gap = 0
         while len(walking[-1]) or len(walking[1]):
@@ -292,20 +339,18 @@ def pairs_of(similarity: float, most: int | None):
                 fine = (np.minimum(a - p, b - q) >= need - np.minimum(p, q)) & ((doc[y] < doc[x]) | (doc[y] == doc[x]) & (line[y] < line[x]))
                 x, y = x[fine], y[fine]
                 got[x] += 1
-                found_x.append(x)
-                found_y.append(y)
-                found_d.append(apart[fine])
-        x = np.concatenate(found_x) if found_x else np.empty(0, np.int64)
-        y = np.concatenate(found_y) if found_y else np.empty(0, np.int64)
-        more = np.zeros(len(x), bool)
-        if most is not None and len(x):
-            nearest = np.lexsort((np.concatenate(found_d), x))
-            x, y = x[nearest], y[nearest]
-            first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-            turn = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
-            more = got[x] > most
-            x, y, more = x[turn < most], y[turn < most], more[turn < most]
-        return pa.table({"doc_id": doc[x], "line": line[x].astype(np.int32), "match_doc_id": doc[y], "match_line": line[y].astype(np.int32), "more": more})
+                if len(x):
+                    found.append((x.astype(np.int32), y.astype(np.int32), apart[fine].astype(np.uint8)))
+                    held += len(x)
+            if held >= HELD:
+                if most is None:
+                    yield from told(*map(np.concatenate, list(zip(*found))[:2]))
+                    found = []
+                else:
+                    found = [nearest(found, most)]
+                held = 0
+        if found:
+            yield from told(*(map(np.concatenate, list(zip(*found))[:2]) if most is None else nearest(found, most)[:2]))
 
     return run
 
@@ -372,9 +417,9 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, buckets: in
     match is the first of them.  Words are told apart by 32 bits of their hash and the class of their
     frequency.  A null doc_id comes before all others.  Repeated rows (an id twice) count as one document.
     """
-    buckets = buckets or min(max(24, docs.rdd.getNumPartitions()), 4096)
     classes = docs.sparkSession.sparkContext.broadcast(rarity(frequencies(docs, id_col, text_col)))
     rows = persist(line_rows(docs, classes, id_col, text_col), "lines")
+    buckets = buckets or max(min(max(24, docs.rdd.getNumPartitions()), 4096), -(-prefix_words(rows, similarity) // BUCKET))
     # equal sets: the first line of every set stands for it
     first = rows.groupBy("sig").agg(F.min(F.struct("doc_id", "line")).alias("f"), F.count("*").alias("c")).filter("c > 1")
     first = persist(first, "sets-first")
